@@ -1,4 +1,181 @@
-"""Registered queries of the engine."""
+"""Registered queries of the engine over the Shop model, each with SQL for DuckDB."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from morphspark.engine import Engine
+from morphspark.shop import shop
+
+MODULE = """
+module Catalogue;
+create OUT : Out from IN : Shop;
+
+helper context Shop!Order def : urgent() : Boolean = self.orderpriority.startsWith('1');
+helper context Shop!Customer def : label : String = self.mktsegment + '/' + self.name;
+helper def : factorial(n : Integer) : Integer = if n < 2 then 1 else n * factorial(n - 1) endif;
+"""
+
+#: name -> (expression, SQL). Tuples name the columns.
+EXPRESSIONS: dict[str, tuple[str, str]] = {
+    "extent_scan": ("Shop!Nation.allInstances()->collect(n | Tuple{nationkey = n.nationkey, name = n.name})", "select cast(n_nationkey as bigint) as nationkey, n_name as name from nation"),
+    "select_filter": ("Shop!Customer.allInstances()->select(c | c.acctbal > 5000)->collect(c | Tuple{custkey = c.custkey})", "select c_custkey as custkey from customer where c_acctbal > 5000"),
+    "reject_filter": ("Shop!Customer.allInstances()->reject(c | c.mktsegment = 'BUILDING')->collect(c | Tuple{custkey = c.custkey})", "select c_custkey as custkey from customer where not (c_mktsegment = 'BUILDING')"),
+    "collect_map": ("Shop!Part.allInstances()->collect(p | Tuple{id = p.partkey, u = p.name.toUpperCase(), n = p.name.size()})", "select p_partkey as id, upper(p_name) as u, cast(length(p_name) as bigint) as n from part"),
+    "tuple_project": ("Shop!Supplier.allInstances()->collect(s | Tuple{k = s.suppkey, rich = s.acctbal >= 0.0})", "select s_suppkey as k, s_acctbal >= 0 as rich from supplier"),
+    "arith_ops": ("Shop!Lineitem.allInstances()->collect(l | Tuple{p = l.order.orderkey, d = l.linenumber * 2 + 1 - 3, m = l.linenumber.mod(3), h = l.linenumber / 2})", "select l_orderkey as p, cast(l_linenumber as bigint)*2+1-3 as d, cast(l_linenumber as bigint) % 3 as m, cast(l_linenumber as double)/2 as h from lineitem"),
+    "unary_not_neg": ("Shop!Customer.allInstances()->collect(c | Tuple{k = c.custkey, neg = -c.custkey, b = not (c.acctbal < 0)})", "select c_custkey as k, -c_custkey as neg, not (c_acctbal < 0) as b from customer"),
+    "logic_and_or_implies": ("Shop!Order.allInstances()->select(o | (o.orderstatus = 'F' or o.orderstatus = 'O') and (o.totalprice > 100000 implies o.orderpriority <> '5-LOW'))->collect(o | Tuple{orderkey = o.orderkey})", "select o_orderkey as orderkey from orders where (o_orderstatus='F' or o_orderstatus='O') and ((not (o_totalprice > 100000)) or o_orderpriority <> '5-LOW')"),
+    "if_else_chain": ("Shop!Part.allInstances()->collect(p | Tuple{k = p.partkey, c = if p.size < 10 then 'Small' else if p.size < 30 then 'Medium' else 'Large' endif endif})", "select p_partkey as k, case when p_size < 10 then 'Small' when p_size < 30 then 'Medium' else 'Large' end as c from part"),
+    "let_in": ("Shop!Order.allInstances()->collect(o | let t : Real = o.totalprice in Tuple{k = o.orderkey, big = t > 200000})", "select o_orderkey as k, o_totalprice > 200000 as big from orders"),
+    "string_concat_tostring": ("Shop!Nation.allInstances()->collect(n | Tuple{v = n.name + ':' + n.nationkey.toString()})", "select n_name || ':' || cast(n_nationkey as varchar(20)) as v from nation"),
+    "string_reverse_sub": ("Shop!Supplier.allInstances()->collect(s | Tuple{k = s.suppkey, r = s.name.reverse(), p = s.name.substring(1, 8)})", "select s_suppkey as k, reverse(s_name) as r, substring(s_name,1,8) as p from supplier"),
+    "int_even_square_power": ("Shop!Nation.allInstances()->collect(n | Tuple{k = n.nationkey, e = n.nationkey.isEven(), s = n.nationkey.square(), p = n.nationkey.power(3)})", "select cast(n_nationkey as bigint) as k, n_nationkey % 2 = 0 as e, cast(n_nationkey as bigint)*n_nationkey as s, cast(power(n_nationkey,3) as bigint) as p from nation"),
+    "nav_to_one": ("Shop!Customer.allInstances()->collect(c | Tuple{k = c.custkey, n = c.nation.name})", "select c_custkey as k, n_name as n from customer left join nation on c_nationkey=n_nationkey"),
+    "nav_chain": ("Shop!Customer.allInstances()->collect(c | Tuple{k = c.custkey, n = c.nation.name, r = c.nation.region.name})", "select c_custkey as k, n_name as n, r_name as r from customer left join nation on c_nationkey=n_nationkey left join region on n_regionkey=r_regionkey"),
+    "nav_undefined": ("Shop!Document.allInstances()->collect(d | Tuple{k = d.docId, q = if d.label.oclIsUndefined() then -1 else d.label.quality endif})", "select d.doc_id as k, cast(case when l.doc_id is null then -1 else l.quality end as bigint) as q from documents d left join labels l on d.doc_id=l.doc_id"),
+    "to_many_size": ("Shop!Order.allInstances()->collect(o | Tuple{k = o.orderkey, n = o.lineitems->size()})", "select o_orderkey as k, coalesce(n,0) as n from orders left join (select l_orderkey, count(*) as n from lineitem group by l_orderkey) g on o_orderkey=l_orderkey"),
+    "to_many_select_size": ("Shop!Order.allInstances()->collect(o | Tuple{k = o.orderkey, n = o.lineitems->select(l | l.quantity > 30)->size()})", "select o_orderkey as k, coalesce(n,0) as n from orders left join (select l_orderkey, count(*) as n from lineitem where l_quantity > 30 group by l_orderkey) g on o_orderkey=l_orderkey"),
+    "to_many_is_empty": ("Shop!Order.allInstances()->select(o | o.lineitems->isEmpty())->collect(o | Tuple{orderkey = o.orderkey})", "select o_orderkey as orderkey from orders where not exists (select 1 from lineitem where l_orderkey=o_orderkey)"),
+    "exists_semi": ("Shop!Order.allInstances()->select(o | o.lineitems->exists(l | l.returnflag = 'R'))->collect(o | Tuple{orderkey = o.orderkey})", "select o_orderkey as orderkey from orders where exists (select 1 from lineitem where l_orderkey=o_orderkey and l_returnflag='R')"),
+    "forall_anti": ("Shop!Order.allInstances()->select(o | o.lineitems->forAll(l | l.discount < 0.08))->collect(o | Tuple{orderkey = o.orderkey})", "select o_orderkey as orderkey from orders where not exists (select 1 from lineitem where l_orderkey=o_orderkey and not (l_discount < 0.08))"),
+    "one_exactly": ("Shop!Order.allInstances()->select(o | o.lineitems->one(l | l.linestatus = 'F'))->collect(o | Tuple{orderkey = o.orderkey})", "select o_orderkey as orderkey from orders join (select l_orderkey from lineitem where l_linestatus='F' group by l_orderkey having count(*)=1) g on o_orderkey=l_orderkey"),
+    "any_first_match": ("Shop!Customer.allInstances()->collect(c | Tuple{k = c.custkey, o = c.orders->sortedBy(o | o.orderkey)->any(o | o.totalprice > 100000).orderkey})", "select c_custkey as k, o from customer left join (select o_custkey, min(o_orderkey) as o from orders where o_totalprice > 100000 group by o_custkey) g on c_custkey=o_custkey"),
+    "first_last": ("Shop!Customer.allInstances()->collect(c | Tuple{k = c.custkey, f = c.orders->sortedBy(o | o.orderkey)->first().orderkey, l = c.orders->sortedBy(o | o.orderkey)->last().orderkey})", "select c_custkey as k, f, l from customer left join (select o_custkey, min(o_orderkey) as f, max(o_orderkey) as l from orders group by o_custkey) g on c_custkey=o_custkey"),
+    "iterate_sum": ("Shop!Order.allInstances()->collect(o | Tuple{k = o.orderkey, s = o.lineitems->iterate(l; s : Integer = 0 | s + l.linenumber)})", "select o_orderkey as k, coalesce(s,0) as s from orders left join (select l_orderkey, cast(sum(l_linenumber) as bigint) as s from lineitem group by l_orderkey) g on o_orderkey=l_orderkey"),
+    "iterate_conditional_sum": ("Shop!Order.allInstances()->collect(o | Tuple{k = o.orderkey, t = o.lineitems->iterate(l; t : Integer = 0 | t + if l.quantity > 25 then 3 else 2 endif)})", "select o_orderkey as k, coalesce(t,0) as t from orders left join (select l_orderkey, cast(sum(case when l_quantity > 25 then 3 else 2 end) as bigint) as t from lineitem group by l_orderkey) g on o_orderkey=l_orderkey"),
+    "iterate_count_if": ("Shop!Order.allInstances()->select(o | o.lineitems->notEmpty())->collect(o | Tuple{k = o.orderkey, n = o.lineitems->iterate(l; n : Integer = 0 | if l.tax > 0.04 then n + 1 else n endif)})", "select l_orderkey as k, cast(sum(case when l_tax > 0.04 then 1 else 0 end) as bigint) as n from lineitem group by l_orderkey"),
+    "iterate_max_min": ("Shop!Order.allInstances()->select(o | o.lineitems->notEmpty())->collect(o | Tuple{k = o.orderkey, mx = o.lineitems->iterate(l; m : Real = 0.0 - 1.0 | if l.quantity > m then l.quantity else m endif), mn = o.lineitems->iterate(l; m : Real = 1000000.0 | if l.quantity < m then l.quantity else m endif)})", "select l_orderkey as k, max(l_quantity) as mx, min(l_quantity) as mn from lineitem group by l_orderkey"),
+    "iterate_argmax": ("Shop!Customer.allInstances()->select(c | c.orders->notEmpty())->collect(c | Tuple{k = c.custkey, o = c.orders->iterate(o; b : Shop!Order = c.orders->first() | if o.totalprice > b.totalprice then o else b endif).orderkey})", "select k, o from (select o_custkey as k, o_orderkey as o, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rn from orders) t where rn=1"),
+    "iterate_global": ("Tuple{n = Shop!Order.allInstances()->iterate(o; n : Integer = 0 | n + 1)}", "select count(*) as n from orders"),
+    "iterate_ordered_fold": ("Shop!Nation.allInstances()->collect(n | Tuple{k = n.nationkey, s = n.suppliers->iterate(s; t : String = '' | if t = '' then s.name else t + ',' + s.name endif)})", "select cast(n_nationkey as bigint) as k, coalesce(s,'') as s from nation left join (select s_nationkey, string_agg(s_name, ',' order by s_suppkey) as s from supplier group by s_nationkey) g on n_nationkey=s_nationkey"),
+    "sum_decimal_exact": ("Shop!Order.allInstances()->select(o | o.lineitems->notEmpty())->collect(o | Tuple{k = o.orderkey, s = o.lineitems->collect(l | l.extendedprice)->sum()})", "select l_orderkey as k, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as s from lineitem group by l_orderkey"),
+    "as_set_distinct": ("Shop!Part.allInstances()->collect(p | Tuple{brand = p.brand})->asSet()", "select distinct p_brand as brand from part"),
+    "set_union": ("Shop!Customer.allInstances()->collect(c | c.nation.nationkey)->asSet()->union(Shop!Supplier.allInstances()->collect(s | s.nation.nationkey)->asSet())->collect(k | Tuple{k = k})", "select cast(c_nationkey as bigint) as k from customer union select cast(s_nationkey as bigint) from supplier"),
+    "bag_union": ("Shop!Customer.allInstances()->collect(c | c.nation.nationkey)->union(Shop!Supplier.allInstances()->collect(s | s.nation.nationkey))->collect(k | Tuple{k = k})", "select cast(c_nationkey as bigint) as k from customer union all select cast(s_nationkey as bigint) from supplier"),
+    "set_intersection": ("Shop!Customer.allInstances()->select(c | c.acctbal < 0)->collect(c | c.nation.nationkey)->asSet()->intersection(Shop!Supplier.allInstances()->select(s | s.acctbal < 0)->collect(s | s.nation.nationkey)->asSet())->collect(k | Tuple{k = k})", "select cast(c_nationkey as bigint) as k from customer where c_acctbal < 0 intersect select cast(s_nationkey as bigint) from supplier where s_acctbal < 0"),
+    "set_difference": ("Shop!Nation.allInstances()->collect(n | n.nationkey)->asSet()->difference(Shop!Supplier.allInstances()->select(s | s.acctbal < 0)->collect(s | s.nation.nationkey)->asSet())->collect(k | Tuple{k = k})", "select cast(n_nationkey as bigint) as k from nation except select cast(s_nationkey as bigint) from supplier where s_acctbal < 0"),
+    "symmetric_difference": ("Shop!Nation.allInstances()->select(n | n.nationkey < 15)->collect(n | n.nationkey)->asSet()->symmetricDifference(Shop!Nation.allInstances()->select(n | n.nationkey > 9)->collect(n | n.nationkey)->asSet())->collect(k | Tuple{k = k})", "select cast(n_nationkey as bigint) as k from nation where n_nationkey < 10 or n_nationkey > 14"),
+    "includes_semi": ("Shop!Nation.allInstances()->select(n | Shop!Supplier.allInstances()->select(s | s.acctbal < 0)->collect(s | s.nation)->includes(n))->collect(n | Tuple{k = n.nationkey})", "select cast(n_nationkey as bigint) as k from nation where exists (select 1 from supplier where s_nationkey=n_nationkey and s_acctbal < 0)"),
+    "excludes_anti": ("Shop!Nation.allInstances()->select(n | Shop!Supplier.allInstances()->select(s | s.acctbal < 0)->collect(s | s.nation)->excludes(n))->collect(n | Tuple{k = n.nationkey})", "select cast(n_nationkey as bigint) as k from nation where not exists (select 1 from supplier where s_nationkey=n_nationkey and s_acctbal < 0)"),
+    "flatten_unnest": ("Shop!Customer.allInstances()->select(c | c.mktsegment = 'MACHINERY')->collect(c | c.orders->select(o | o.orderstatus = 'F')->collect(o | Tuple{c = c.custkey, o = o.orderkey}))->flatten()", "select c_custkey as c, o_orderkey as o from customer join orders on o_custkey=c_custkey where o_orderstatus='F' and c_mktsegment='MACHINERY'"),
+    "sorted_topk": ("Shop!Order.allInstances()->sortedBy(o | -o.totalprice)->subSequence(1, 20)->collect(o | Tuple{k = o.orderkey, t = o.totalprice})", "select o_orderkey as k, o_totalprice as t from orders order by o_totalprice desc, o_orderkey limit 20"),
+    "index_of_sibling": ("Shop!Order.allInstances()->collect(o | Tuple{k = o.orderkey, i = o.customer.orders->sortedBy(x | x.orderkey)->indexOf(o)})", "select o_orderkey as k, cast(row_number() over (partition by o_custkey order by o_orderkey) as bigint) as i from orders"),
+    "subsequence_per_parent": ("Shop!Customer.allInstances()->collect(c | c.orders->sortedBy(o | o.orderkey)->subSequence(1, 3)->collect(o | Tuple{c = o.customer.custkey, k = o.orderkey}))->flatten()", "select c, k from (select o_custkey as c, o_orderkey as k, row_number() over (partition by o_custkey order by o_orderkey) as i from orders) t where i between 1 and 3"),
+    "nested_depth2": ("Shop!Nation.allInstances()->collect(n | Tuple{k = n.nationkey, s = n.customers->collect(c | c.orders->size())->sum()})", "select cast(n_nationkey as bigint) as k, coalesce(s,0) as s from nation left join (select c_nationkey, count(*) as s from customer join orders on o_custkey=c_custkey group by c_nationkey) g on n_nationkey=c_nationkey"),
+    "theta_correlated": ("Shop!Customer.allInstances()->collect(c | Tuple{k = c.custkey, n = Shop!Supplier.allInstances()->select(s | s.nation = c.nation and s.acctbal > c.acctbal)->size()})", "select c_custkey as k, coalesce(cnt,0) as n from customer left join (select c_custkey as ck, count(*) as cnt from customer join supplier on s_nationkey=c_nationkey and s_acctbal > c_acctbal group by c_custkey) g on c_custkey=ck"),
+    "kind_of": ("Tuple{c = Shop!Customer.allInstances()->select(c | c.oclIsKindOf(Shop!Customer))->size(), s = Shop!Supplier.allInstances()->select(s | s.oclType().name = 'Supplier')->size()}", "select (select count(*) from customer) as c, (select count(*) from supplier) as s"),
+    "helper_context": ("Shop!Order.allInstances()->collect(o | Tuple{k = o.orderkey, urgent = o.urgent()})", "select o_orderkey as k, substring(o_orderpriority,1,1)='1' as urgent from orders"),
+    "helper_attribute": ("Shop!Customer.allInstances()->collect(c | Tuple{k = c.custkey, l = c.label})", "select c_custkey as k, c_mktsegment || '/' || c_name as l from customer"),
+    "helper_recursive": ("Shop!Nation.allInstances()->collect(n | Tuple{k = n.nationkey, f = factorial(n.nationkey.mod(6))})", "select cast(n_nationkey as bigint) as k, cast(case n_nationkey % 6 when 0 then 1 when 1 then 1 when 2 then 2 when 3 then 6 when 4 then 24 else 120 end as bigint) as f from nation"),
+    "query_string_report": ("Tuple{v = 'Model has ' + Shop!Order.allInstances()->size().toString() + ' orders, ' + Shop!Order.allInstances()->select(o | o.orderstatus = 'O')->size().toString() + ' open'}", "select 'Model has ' || cast(count(*) as varchar(20)) || ' orders, ' || cast(cast(sum(case when o_orderstatus='O' then 1 else 0 end) as bigint) as varchar(20)) || ' open' as v from orders"),
+    "child_nav_in_lambda": ("Shop!Order.allInstances()->select(o | o.lineitems->exists(l | l.part.brand = 'Brand#1'))->collect(o | Tuple{orderkey = o.orderkey})", "select o_orderkey as orderkey from orders where exists (select 1 from lineitem join part on l_partkey=p_partkey where l_orderkey=o_orderkey and p_brand='Brand#1')"),
+    "nested_to_many": ("Shop!Nation.allInstances()->collect(n | Tuple{k = n.nationkey, m = n.customers->select(c | c.orders->size() > 12)->size()})", "select cast(n_nationkey as bigint) as k, coalesce(m,0) as m from nation left join (select c_nationkey, count(*) as m from customer join (select o_custkey from orders group by o_custkey having count(*) > 12) g on o_custkey=c_custkey group by c_nationkey) h on n_nationkey=c_nationkey"),
+    "outer_var_lambda": ("Shop!Order.allInstances()->collect(o | Tuple{k = o.orderkey, n = o.customer.orders->select(x | x <> o and x.totalprice > o.totalprice)->size()})", "select a.o_orderkey as k, cast(sum(case when b.o_orderkey <> a.o_orderkey and b.o_totalprice > a.o_totalprice then 1 else 0 end) as bigint) as n from orders a join orders b on a.o_custkey=b.o_custkey group by a.o_orderkey"),
+    "array_ops": ("Shop!Nation.allInstances()->collect(n | let s : Sequence(Integer) = Sequence{n.nationkey, 3, 1, 3} in Tuple{k = n.nationkey, sz = s->asSet()->size(), inc = s->includes(7), tot = s->iterate(x; a : Integer = 0 | a + x), mx = s->sortedBy(x | -x)->first(), i = s->indexOf(3), ev = s->select(x | x.isEven())->size()})", "select cast(n_nationkey as bigint) as k, cast(case when n_nationkey in (1,3) then 2 else 3 end as bigint) as sz, n_nationkey = 7 as inc, cast(n_nationkey + 7 as bigint) as tot, cast(greatest(n_nationkey, 3) as bigint) as mx, cast(case when n_nationkey = 3 then 1 else 2 end as bigint) as i, cast(case when n_nationkey % 2 = 0 then 1 else 0 end as bigint) as ev from nation"),
+    "events_by_type": ("Shop!Event.allInstances()->select(e | e.eventType = 'purchase' and e.value > 10)->collect(e | Tuple{id = e.eventId, u = e.userId})", "select event_id as id, user_id as u from events where event_type = 'purchase' and value > 10"),
+}
+
+RULES = """
+module Transform;
+create OUT : Out, BANK : Bank from IN : Shop;
+
+rule N2C { from s : Shop!Nation (s.region.regionkey < 3) to c : Out!Country (name <- s.name) }
+rule C2A { from c : Shop!Customer (c.acctbal > 9000)
+  to a : Bank!Account (owner <- c.name), b : Bank!Badge (account <- a) }
+rule Emp { from c : Shop!Customer to e : Out!Emp (k <- c.custkey) }
+rule Mgr { from c : Shop!Customer (c.acctbal >= 5000) to m : Out!Mgr (k <- c.custkey) }
+rule S2V { from s : Shop!Supplier to v : Out!Vendor (k <- s.suppkey, country <- thisModule.resolveTemp(s.nation, 'c'), home <- s.nation) }
+rule Pair { from r : Shop!Region, n : Shop!Nation (n.region <> r) to p : Out!Pair (r <- r.regionkey, n <- n.nationkey) }
+rule Big { from c : Shop!Customer (c.acctbal > 9000) to p : Out!Pack (items <- c.orders->collect(o | thisModule.MakeItem(o))) }
+rule Seg { from c : Shop!Customer to s : Out!Member (k <- c.custkey, seg <- thisModule.MakeSegment(c.mktsegment)) }
+lazy rule MakeItem { from o : Shop!Order to i : Out!Item (k <- o.orderkey) }
+rule MakeSegment(name : String) { to s : Out!Segment (name <- name) }
+"""
+
+FLAGSHIP = """
+module Customer2Account;
+create OUT : Bank from IN : Shop;
+rule Customer2Account {
+  from c : Shop!Customer (c.acctbal > 0)
+  to a : Bank!Account (owner <- c.name, nation <- c.nation.name, segment <- c.mktsegment)
+}
+"""
+
+
+def _expression(name: str):
+    def run(spark, sf_dir):
+        engine = Engine(spark, MODULE).source("IN", shop(spark, sf_dir))
+        return engine.evaluate(EXPRESSIONS[name][0])
+
+    run.__name__ = name
+    return run
+
+
+def _run(spark, sf_dir, text=RULES):
+    return Engine(spark, text).source("IN", shop(spark, sf_dir)).run()
+
+
+def flagship_rule(spark, sf_dir):
+    return _run(spark, sf_dir, FLAGSHIP)["OUT"]["Account"].select(F.col("_id").alias("id"), "owner", "nation", "segment")
+
+
+def rule_two_targets(spark, sf_dir):
+    bank = _run(spark, sf_dir)["BANK"]
+    return bank["Account"].select(F.lit("Account").alias("cls"), F.col("_id").alias("id"), F.col("owner").alias("v")).union(bank["Badge"].select(F.lit("Badge"), "_id", "account"))
+
+
+def rule_overlap(spark, sf_dir):
+    out = _run(spark, sf_dir)["OUT"]
+    return out["Emp"].select(F.lit("Emp").alias("cls"), "k").union(out["Mgr"].select(F.lit("Mgr"), "k"))
+
+
+def multi_source_cross(spark, sf_dir):
+    return _run(spark, sf_dir)["OUT"]["Pair"].select("r", "n")
+
+
+def trace_links(spark, sf_dir):
+    return _run(spark, sf_dir).trace.where("rule = 'N2C'").select("rule", "pattern_var", "source_id", "target_id")
+
+
+def resolve_temp(spark, sf_dir):
+    return _run(spark, sf_dir)["OUT"]["Vendor"].select("k", "country")
+
+
+def implicit_resolution(spark, sf_dir):
+    return _run(spark, sf_dir)["OUT"]["Vendor"].select("k", F.col("home").alias("country"))
+
+
+def lazy_rule_memo(spark, sf_dir):
+    return _run(spark, sf_dir)["OUT"]["Segment"].select(F.col("_id").alias("id"), "name")
+
+
+def lazy_rule_in_collect(spark, sf_dir):
+    out = _run(spark, sf_dir)["OUT"]
+    owners = out["Pack"].select(F.explode("items").alias("id"), F.col("_id").alias("owner"))
+    items = out["Item"].select(F.lit("Item").alias("cls"), F.col("_id").alias("id")).join(owners, "id").select("cls", "id", "owner")
+    return out["Pack"].select(F.lit("Pack").alias("cls"), F.col("_id").alias("id"), F.lit(None).cast("string").alias("owner")).union(items)
+
+
+def called_rule(spark, sf_dir):
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_name").alias("name"))
+    return Engine(spark, RULES).source("IN", shop(spark, sf_dir)).call("MakeSegment", regions)["Segment"].select(F.col("_id").alias("id"), "name")
+
+
+ACC = "'C2A#a#Customer:' || cast(c_custkey as varchar(20))"
+RULE_SQL = {
+    "flagship_rule": "select 'Customer2Account#a#Customer:' || cast(c_custkey as varchar(20)) as id, c_name as owner, n_name as nation, c_mktsegment as segment from customer left join nation on c_nationkey=n_nationkey where c_acctbal > 0",
+    "rule_two_targets": f"select 'Account' as cls, {ACC} as id, c_name as v from customer where c_acctbal > 9000 union all select 'Badge', 'C2A#b#Customer:' || cast(c_custkey as varchar(20)), {ACC} from customer where c_acctbal > 9000",
+    "rule_overlap": "select 'Emp' as cls, c_custkey as k from customer union all select 'Mgr', c_custkey from customer where c_acctbal >= 5000",
+    "multi_source_cross": "select cast(r_regionkey as bigint) as r, cast(n_nationkey as bigint) as n from region cross join nation where n_regionkey <> r_regionkey",
+    "trace_links": "select 'N2C' as rule, 'c' as pattern_var, 'Nation:' || cast(n_nationkey as varchar(20)) as source_id, 'N2C#c#Nation:' || cast(n_nationkey as varchar(20)) as target_id from nation where n_regionkey < 3",
+    "resolve_temp": "select s_suppkey as k, case when n_nationkey is not null then 'N2C#c#Nation:' || cast(n_nationkey as varchar(20)) end as country from supplier left join (select * from nation where n_regionkey < 3) m on s_nationkey=n_nationkey",
+    "implicit_resolution": "select s_suppkey as k, case when n_nationkey is not null then 'N2C#c#Nation:' || cast(n_nationkey as varchar(20)) end as country from supplier left join (select * from nation where n_regionkey < 3) m on s_nationkey=n_nationkey",
+    "lazy_rule_memo": "select distinct 'MakeSegment#s#' || c_mktsegment as id, c_mktsegment as name from customer",
+    "lazy_rule_in_collect": "select 'Pack' as cls, 'Big#p#Customer:' || cast(c_custkey as varchar(20)) as id, cast(null as varchar(60)) as owner from customer where c_acctbal > 9000 union all select 'Item', 'MakeItem#i#Order:' || cast(o_orderkey as varchar(20)), 'Big#p#Customer:' || cast(c_custkey as varchar(20)) from customer join orders on o_custkey=c_custkey where c_acctbal > 9000",
+    "called_rule": "select 'MakeSegment#s#' || r_name as id, r_name as name from region",
+}
+
+QUERIES = {n: _expression(n) for n in EXPRESSIONS} | {f.__name__: f for f in (
+    flagship_rule, rule_two_targets, rule_overlap, multi_source_cross, trace_links, resolve_temp, implicit_resolution, lazy_rule_memo, lazy_rule_in_collect, called_rule)}
+ORACLES = {n: sql for n, (_, sql) in EXPRESSIONS.items()} | RULE_SQL
