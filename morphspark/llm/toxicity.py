@@ -6,10 +6,10 @@ weights), bigrams and skip-grams over one word, hashed into ``2**BITS`` slots.
 A feature counts once per text, so length does not drown a single insult.
 
 Training: at most ``SAMPLE`` labelled rows (the smallest hashes of doc_id; the
-bound is a parameter), dealt to ``SHARDS`` tasks. Each epoch every shard runs
-FTRL-proximal from the common state and the states are averaged; only arrays
-of the fixed size ``2**BITS`` travel. Scoring covers every row and whole texts;
-the L1 term leaves few weights, which are broadcast.
+bound is a parameter), dealt to ``SHARDS`` tasks. Every shard runs FTRL-proximal
+for ``EPOCHS`` passes and the shards' weights are averaged; only arrays of the
+fixed size ``2**BITS`` travel. Scoring covers every row and whole texts; the L1
+term leaves few weights, which are broadcast.
 
 Nulls: a null text is empty and gets the score of the bias alone; a null doc_id
 is never trained on and counts as not held out. Repeated rows give repeated
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from morphspark.llm import common
 
-BITS, SAMPLE, SHARDS, EPOCHS = 20, 20_000, 2, 3
+BITS, SAMPLE, SHARDS, EPOCHS = 19, 20_000, 2, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.6, 0.5
 STEMS = (4, 5, 6)
 
@@ -76,24 +76,25 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _epoch(state, epoch: int):
-    """A shard's pass: the changes it makes to the common state, in an order of its own for each epoch."""
+def _shard(bits: int, epochs: int):
+    """A shard's weights: all epochs of FTRL-proximal over its rows, each in an order of its own."""
 
     def shard(table: pa.Table) -> pa.Table:
         slots, toxic = table.column("slots").combine_chunks(), table.column("toxic").to_numpy()
         flat, off = slots.flatten().to_numpy(), slots.offsets.to_numpy() - slots.offsets[0].as_py()
         own = np.array([zlib.crc32(flat[off[i]:off[i + 1]].tobytes()) for i in range(len(toxic))], np.uint64)
-        z, n = (x.copy() for x in state.value)
-        learn(((flat[off[i]:off[i + 1]], toxic[i]) for i in np.argsort(common.mix(own + np.uint64(epoch)), kind="stable")), z, n)
-        at = np.flatnonzero((z != state.value[0]) | (n != state.value[1]))
-        return pa.table({"at": pa.array([at.astype(np.int32).tobytes()]), "z": pa.array([(z[at] - state.value[0][at]).tobytes()]), "n": pa.array([(n[at] - state.value[1][at]).tobytes()])})
+        z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+        for epoch in range(epochs):
+            learn(((flat[off[i]:off[i + 1]], toxic[i]) for i in np.argsort(common.mix(own + np.uint64(epoch)), kind="stable")), z, n)
+        w = weights(z, n)
+        at = np.flatnonzero(w)
+        return pa.table({"at": pa.array([at.astype(np.int32).tobytes()]), "w": pa.array([w[at].astype(np.float32).tobytes()])})
 
     return shard
 
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SAMPLE, shards: int = SHARDS, epochs: int = EPOCHS) -> np.ndarray:
     """The weights, 2**bits and a bias; learnt from labelled rows that are not held out."""
-    size = (1 << bits) + 1
     rows = (labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
             .groupBy("doc_id").agg(F.max("toxic").cast("double").alias("toxic"))
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
@@ -108,25 +109,14 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SA
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(slots))], ["shard", "toxic", "slots"])
 
-    data = common.stored(picked.mapInArrow(featurize, "shard int, toxic double, slots array<int>"), "toxicity")
-    spark = docs.sparkSession
-    z, n = np.zeros(size), np.zeros(size)
-    for epoch in range(epochs):
-        state = spark.sparkContext.broadcast((z, n))
-
-        told = data.groupBy("shard").applyInArrow(_epoch(state, epoch), "at binary, z binary, n binary").collect()  # one row a shard, 2**bits slots at most
-        dz, dn, seen = np.zeros(size), np.zeros(size), np.zeros(size)
-        for r in told:
-            at = np.frombuffer(r.at, np.int32)
-            dz[at] += np.frombuffer(r.z)
-            dn[at] += np.frombuffer(r.n)
-            seen[at] += 1
-        z, n = z + dz / np.maximum(seen, 1), n + dn / np.maximum(seen, 1)
-        state.unpersist()
-    w = weights(z, n)
-    if not len(n) or not n.any():
+    w, seen = np.zeros((1 << bits) + 1), 0
+    data = picked.mapInArrow(featurize, "shard int, toxic double, slots array<int>")
+    for r in data.groupBy("shard").applyInArrow(_shard(bits, epochs), "at binary, w binary").toLocalIterator():  # a row a shard, 2**bits weights at most
+        w[np.frombuffer(r.at, np.int32)] += np.frombuffer(r.w, np.float32)
+        seen += 1
+    if not seen:
         w[-1] = -np.inf
-    return w
+    return w / max(seen, 1)
 
 
 def score(docs: DataFrame, w: np.ndarray, bits: int = BITS) -> DataFrame:
