@@ -38,7 +38,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,37 +48,51 @@ WINDOW, GRAM, GROUP = 35, 8, 2000
 SEP = common.separators()
 
 
-def runs(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first start, last start, group) of the runs of suffixes of one text with the same prefix end."""
-    n = len(h) - window + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    g = common.ngram_hashes(h, gram)
-    width = window - gram + 1
-    value, place, size = g, np.arange(len(g)), 1
-    while 2 * size <= width:  # smallest of `size` values from each place, the left one of equals
-        a, b = value[:-size], value[size:]
-        left = a <= b
-        value, place, size = np.where(left, a, b), np.where(left, place[:-size], place[size:]), 2 * size
+def runs(h: np.ndarray, woff: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first start, last start, group) of the runs of suffixes with the same prefix end, for all texts of a chunk."""
+    n = np.maximum(np.diff(woff) - window + 1, 0)
+    if not n.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    value = common.ngram_hashes(h, gram)
+    place, size, width = np.arange(len(value), dtype=np.int32), 1, window - gram + 1
+
+    def smaller(value, place, step):  # the left one of equals
+        left = value[:-step] <= value[step:]
+        return np.where(left, value[:-step], value[step:]), np.where(left, place[:-step], place[step:])
+
+    while 2 * size <= width:  # the smallest of `size` values from each place
+        value, place = smaller(value, place, size)
+        size *= 2
     if size < width:
-        a, b = value[:n], value[width - size:width - size + n]
-        left = a <= b
-        value, place = np.where(left, a, b), np.where(left, place[:n], place[width - size:width - size + n])
-    new = np.flatnonzero(np.concatenate([[True], place[1:n] != place[:n - 1]]))
-    return new, np.append(new[1:], n) - 1, value[new]
+        value, place = smaller(value, place, width - size)
+    text = np.repeat(np.arange(len(n)), n)
+    start = np.repeat(woff[:-1] - (np.cumsum(n) - n), n) + np.arange(len(text))
+    at = place[start]
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
+    last = start[np.append(new[1:], len(start)) - 1]
+    return text[new], start[new], last, value[start[new]]
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i < n."""
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        one = [np.full(max(n, 1 << 20), np.uint64(b)) for b in (base, pow(base, -1, 1 << 64))]
+        for x in one:
+            x[0] = 1
+        _POWERS[base] = tuple(np.multiply.accumulate(x) for x in one)
+    return tuple(x[:n] for x in _POWERS[base])
 
 
-def block_hashes(h: np.ndarray, h2: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hash of the words lo..hi-1 of each run: sums of powers over two word hashes."""
+def block_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hash of the words lo..hi-1 of each run, from running sums of words times powers of two bases."""
     out = []
-    for x, seed in ((h, 0x51ED270B76F8AD3D), (h2, 0x2545F4914F6CDD1D)):
-        base = np.uint64(seed)
-        longest = int((hi - lo).max()) if len(lo) else 0
-        acc = common.mix(group + (hi - lo).astype(np.uint64))
-        for k in range(longest):
-            on = np.flatnonzero(lo + k < hi)
-            acc[on] = (acc[on] ^ common.mix(x[lo[on] + k] + np.uint64(k))) * (base | np.uint64(1))
-        out.append(common.mix(acc))
+    for x, base in ((h, 0x51ED270B76F8AD3D), (common.mix(h + common.K3), 0x2545F4914F6CDD1D)):
+        up, down = powers(base, len(h) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(x * up[:-1])])
+        out.append(common.mix((total[hi] - total[lo]) * down[lo] + common.mix(group + (hi - lo).astype(np.uint64))))
     return out[0], out[1]
 
 
@@ -87,82 +100,100 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def text_runs(batch: pa.RecordBatch, window: int, gram: int):
-    """For each chunk of texts: row offset, and per row (word hashes, second hashes, runs)."""
-    for lo, hi, buf, offsets in common.chunks(batch, "text"):
-        starts, ends, woff = common.word_spans(buf, offsets, SEP)
-        h = common.word_hashes(buf, starts, ends)
-        rows, first, last, group = [], [], [], []
-        for i in np.flatnonzero(np.diff(woff) >= window):
-            a, b, g = runs(h[woff[i]:woff[i + 1]], window, gram)
-            rows.append(np.full(len(a), i))
-            first.append(a + woff[i])
-            last.append(b + woff[i])
-            group.append(g)
-        if rows:
-            yield lo, buf, starts, ends, woff, h, np.concatenate(rows), np.concatenate(first), np.concatenate(last), np.concatenate(group)
-
-
 def run_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """th, start, length (suffixes of the run), g (group), b1, b2 (block)."""
+    """th, copies, start, length (suffixes of the run), g (group), b1, b2 (block)."""
 
     def run(batches):
         for batch in batches:
-            th = batch.column(0)
-            for lo, buf, starts, ends, woff, h, row, first, last, group in text_runs(batch, window, gram):
-                h2 = common.word_hashes(buf, starts, ends, seed=77)
-                b1, b2 = block_hashes(h, h2, first, last + window, group)
-                yield pa.RecordBatch.from_arrays(
-                    [th.take(pa.array(row + lo)), pa.array((first - woff[row]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), signed(group), signed(b1), signed(b2)],
-                    ["th", "start", "length", "g", "b1", "b2"])
+            for lo, _, buf, offsets in common.chunks(batch, "text"):
+                starts, ends, woff = common.word_spans(buf, offsets, SEP)
+                h = common.word_hashes(buf, starts, ends)
+                text, first, last, group = runs(h, woff, window, gram)
+                if len(text):
+                    b1, b2 = block_hashes(h, first, last + window, group)
+                    rows = pa.array(text + lo)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((first - woff[text]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), signed(group), signed(b1), signed(b2)],
+                        ["th", "copies", "start", "length", "g", "b1", "b2"])
 
-    return texts.select("th", "text").mapInArrow(run, "th binary, start int, length int, g bigint, b1 bigint, b2 bigint")
+    return texts.select("th", "copies", "text").mapInArrow(run, "th binary, copies bigint, start int, length int, g bigint, b1 bigint, b2 bigint")
 
 
-def subtree(words: list[np.ndarray], window: int) -> list[np.ndarray]:
-    """Per block, which of its suffixes meet another one at a depth of `window` words or more.
+def deep_leaves(groups: np.ndarray, words: list[np.ndarray], window: int) -> list[np.ndarray]:
+    """Per block, which of its suffixes meet another one of its group at a depth of `window` words or more.
 
-    The suffixes are sorted (a suffix tree's leaves in order); a pair of neighbours whose common
-    prefix reaches the window hangs below a deep inner node.
+    The suffixes of each group are put in order (the leaves of its suffix tree, whose edges are
+    labelled by up to eight words); neighbours with the same first `window` words hang below a deep
+    inner node.
     """
-    lengths = [len(w) - window + 1 for w in words]
-    rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(w, window) for w in words])
-    order = np.lexsort(rows.T[::-1])
-    same = (rows[order[1:]] == rows[order[:-1]]).all(1)
-    deep = np.zeros(len(rows), bool)
+    flat = np.concatenate(words)
+    n = np.array([len(w) - window + 1 for w in words])
+    at = np.repeat(np.cumsum([0, *map(len, words[:-1])]) - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    edges = common.ngram_hashes(flat, min(8, window))
+    steps = [*range(0, window - 7, 8), *([window - 8] if window > 8 else [])] if window >= 8 else [0]
+    keys = [edges[at + k] for k in dict.fromkeys(steps)]
+    own = np.repeat(groups, n)
+    order = np.lexsort([*keys[::-1], own])
+    same = own[order[1:]] == own[order[:-1]]
+    for k in keys:
+        same &= k[order[1:]] == k[order[:-1]]
+    deep = np.zeros(len(at), bool)
     deep[order[1:][same]] = True
     deep[order[:-1][same]] = True
-    return np.split(deep, np.cumsum(lengths)[:-1])
+    return np.split(deep, np.cumsum(n)[:-1])
+
+
+def _leaves(window: int):
+    """Subtrees of a partition that is sorted by group: as many whole groups at once as a batch holds."""
+    names = ["th", "start", "length", "marks"]
+
+    def flush(table: pa.Table) -> pa.RecordBatch | None:
+        deep = deep_leaves(table.column("g").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("words")], window)
+        asks = table.column("asks").to_numpy()
+        keep = [i for i, d in enumerate(deep) if asks[i] and d.any()]
+        if not keep:
+            return None
+        part = table.take(pa.array(keep)).combine_chunks()
+        return pa.RecordBatch.from_arrays([*(part.column(x).combine_chunks() for x in names[:3]), pa.array([deep[i].astype(np.uint8).tobytes() for i in keep])], names)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = batch.column(batch.schema.get_field_index("g")).to_numpy()
+            last = int(np.searchsorted(g, g[-1]))
+            if last or held and held[-1].column("g")[-1].as_py() != g[0]:
+                done = [*held, batch.slice(0, last)]
+                held = [batch.slice(last)]
+                if (out := flush(pa.Table.from_batches([x for x in done if x.num_rows]))) is not None:
+                    yield out
+            else:
+                held.append(batch)
+        if held and (out := flush(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return run
 
 
 def repeated_runs(texts: DataFrame, window: int, gram: int, group: int) -> DataFrame:
     """th, start, length, whole (all windows repeat), marks (else one byte a suffix, 1: repeats); only runs with repeats."""
-    rows = common.stored(run_rows(texts.where("copies = 1"), window, gram), "suffixes")
-    # A text with copies is repeated as a whole; its blocks still take part once (as occurring twice).
-    copied = common.stored(run_rows(texts.where("copies > 1"), window, gram), "suffixes")
-    both = rows.select("g", "b1", "b2", "th", "start", F.lit(1).cast("bigint").alias("n")).union(copied.select("g", "b1", "b2", "th", "start", F.lit(2).cast("bigint").alias("n")))
-    blocks = both.groupBy("g", "b1", "b2").agg(F.sum("n").alias("n"))
+    rows = common.stored(run_rows(texts, window, gram), "suffixes")
+    # A text with copies is repeated as a whole; its blocks still take part, as occurring twice.
+    blocks = rows.groupBy("g", "b1", "b2").agg(F.sum(F.least("copies", F.lit(2))).alias("n"))
     groups = blocks.groupBy("g").agg(F.count(F.lit(1)).alias("blocks"), F.max("n").alias("most")).where("blocks > 1 or most > 1")
-    flagged = common.stored(blocks.join(groups, "g"), "groups")
     # Runs whose group may repeat, with what is known of their block.
-    open_runs = common.stored(rows.join(flagged, ["g", "b1", "b2"]), "runs")
-    whole = open_runs.where("n > 1").select("th", "start", "length", F.lit(True).alias("whole"), F.lit(None).cast("binary").alias("marks"))
-    # Blocks in doubt: one place of each of the blocks of a group with several.
-    single = open_runs.where("blocks > 1 and n = 1").select("g", "b1", "b2", "th", "start", "length", "blocks", F.lit(True).alias("asks"))
-    shared = (open_runs.where("blocks > 1 and n > 1").select("g", "b1", "b2", "th", "start", "length", "blocks")
-              .union(copied.join(flagged.where("blocks > 1"), ["g", "b1", "b2"]).select("g", "b1", "b2", "th", "start", "length", "blocks"))
-              .groupBy("g", "b1", "b2").agg(F.min(F.struct("th", "start", "length", "blocks")).alias("x")).select("g", "b1", "b2", "x.*", F.lit(False).alias("asks")))
-    # Groups in which some block asks.
-    places = single.union(shared).join(single.select("g").distinct(), "g", "left_semi")
-    per_text = places.groupBy("th").agg(F.collect_list(F.struct("g", "start", "length", "blocks", "asks")).alias("places"))
+    open_runs = common.stored(rows.join(blocks.join(groups, "g"), ["g", "b1", "b2"]), "runs")
+    whole = open_runs.where("n > 1 and copies = 1").select("th", "start", "length", F.lit(True).alias("whole"), F.lit(None).cast("binary").alias("marks"))
+    # Blocks in doubt: one place of each of the blocks of a group with several, where some block occurs once.
+    places = open_runs.where("blocks > 1").groupBy("g", "b1", "b2").agg(
+        F.min(F.struct("th", "start", "length", "blocks", (F.col("n") == 1).alias("asks"))).alias("x")).select("g", "x.*")
+    asked = places.where("asks").select("g").distinct()
+    per_text = places.join(asked, "g", "left_semi").groupBy("th").agg(F.collect_list(F.struct("g", "start", "length", "blocks", "asks")).alias("places"))
     fetched = common.stored(texts.select("th", "text").join(per_text, "th").mapInArrow(_fetch(window), "th binary, g bigint, start int, length int, blocks bigint, asks boolean, words binary"), "blocks")
-
-    def leaves(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        deep = subtree([np.frombuffer(w, np.uint64).reshape(-1) for w in pdf.words], window)
-        out = pdf[["th", "start", "length"]].assign(marks=[d.astype(np.uint8).tobytes() if d.any() else None for d in deep])
-        return out[pdf.asks & out.marks.notna()]
-
-    small = fetched.where(F.col("blocks") <= group).groupBy("g").applyInPandas(leaves, "th binary, start int, length int, marks binary")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = (fetched.where(F.col("blocks") <= group).repartition(parts, "g").sortWithinPartitions("g")
+             .mapInArrow(_leaves(window), "th binary, start int, length int, marks binary"))
     # Groups beyond that: each suffix's whole window is its prefix.
     large = fetched.where(F.col("blocks") > group).mapInArrow(_windows(window), "g bigint, w1 bigint, w2 bigint, th binary, start int, length int, at int, asks boolean")
     twice = large.groupBy("g", "w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "w1", "w2")
