@@ -136,7 +136,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, edit=None) -> Da
     edits = F.col("edits") if "edits" in docs.columns else F.lit(None).cast("array<struct<at:bigint,cut:bigint,new:string>>")
 
     def run(batches):
-        encoder = tokens.Encoder(path)
+        encoder = tokens.encoder(path)
         for batch in batches:
             for lo, hi, _, _ in common.chunks(batch, "text"):
                 part = batch.slice(lo, hi - lo)

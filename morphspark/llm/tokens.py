@@ -1,16 +1,18 @@
 """Token ids of whole texts by a byte-level BPE, one pre-token at a time.
 
 The merges never cross a pre-token, so each different pre-token is encoded once
-per task and its ids are looked up afterwards. Texts that hold one of the
+per Python worker and its ids are looked up afterwards. Texts that hold one of the
 vocabulary's special tokens go through the library's own encoder.
 """
 
 from __future__ import annotations
 
 import array
+import json
 import re
 
 import public_tokenizers
+import tiktoken
 from tokenizers import Tokenizer
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,8 +22,8 @@ END = 1
 FAST = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Latin, Greek and Cyrillic letters, ASCII and general punctuation: there FAST equals the pattern.
 SURE = re.compile(r"[\x09-\x0D\x20-\x7EÀ-ɏͰ-ͳΆ-҂Ҋ-ԯ‐-‧‰-⁞]*")
-#: Entries of a task's memory of pre-tokens; beyond it the memory starts anew.
-MEMORY = 400_000
+#: Entries of a memory of pre-tokens or parts; beyond it that memory starts anew.
+MEMORY = 1_000_000
 
 
 def vocabulary(name: str = TOKENIZER) -> str:
@@ -38,24 +40,36 @@ class Encoder:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes | None] = {}
+        self.single = self._single(path)
+
+    def _single(self, path: str):
+        """The ids of one pre-token. Where ids follow the order of the merges, tiktoken's merger gives the same ones sooner."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        shift = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in shift]
+        byte = {chr(b): b for b in shift} | {chr(256 + i): b for i, b in enumerate(rest)}
+        merges = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
+        ranks = {bytes(byte[c] for c in t): i for t, i in model["vocab"].items() if all(c in byte for c in t)}
+        if model["type"] != "BPE" or any(model["vocab"][a + b] != 256 + i for i, (a, b) in enumerate(merges)) or sorted(ranks.values()) != list(range(256 + len(merges))):
+            return lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        merger = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        return lambda x: merger.encode_single_piece(x.encode("utf-8"))
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of a text; joined they are the text."""
         return (FAST if SURE.fullmatch(text) else self.pattern).findall(text)
 
     def _learn(self, pieces: list[str]) -> None:
-        new = list({x for x in pieces if x not in self.known})
-        if len(self.known) + len(new) > MEMORY:
+        if len(self.known) + len(pieces) > MEMORY:
             self.known = {}
-            new = list(set(pieces))
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[x] = array.array("I", e.ids).tobytes()
+        known, single = self.known, self.single
+        for x in pieces:
+            if x not in known:
+                known[x] = array.array("I", single(x)).tobytes()
 
-    def encode(self, text: str) -> bytes:
-        if any(x in text for x in self.special):
-            return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def _of_pieces(self, text: str) -> bytes:
         pieces = self.pieces(text)
         try:
             return b"".join([self.known[x] for x in pieces])
@@ -63,6 +77,28 @@ class Encoder:
             self._learn(pieces)
             return b"".join([self.known[x] for x in pieces])
 
+    def encode(self, text: str) -> bytes:
+        """All ids of a text.
+
+        A space begins a pre-token unless white space stands beside it; so a text in which none
+        does splits at its spaces, and parts are looked up whole.
+        """
+        if any(x in text for x in self.special):
+            return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        head, *parts = text.split(" ")
+        try:
+            ids = [self.parts[x] for x in parts]
+        except KeyError:
+            if len(self.parts) + len(parts) > MEMORY:
+                self.parts = {}
+            for x in parts:
+                if x not in self.parts:
+                    self.parts[x] = None if not x or x[0].isspace() or x[-1].isspace() else self._of_pieces(" " + x)
+            ids = [self.parts[x] for x in parts]
+        if None in ids or parts and (not head or head[-1].isspace()):
+            return self._of_pieces(text)
+        return self._of_pieces(head) + b"".join(ids)
+
     def lengths(self, pieces: list[str]) -> list[int]:
         """Number of ids of each pre-token."""
         try:
@@ -70,3 +106,13 @@ class Encoder:
         except KeyError:
             self._learn(pieces)
             return [len(self.known[x]) >> 2 for x in pieces]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this process; what it has learnt serves later tasks of the same Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
