@@ -409,12 +409,17 @@ class Compiler:
         child = Frame(df, [*parent.rowid, *s.frame.rowid], {**parent.joined, **s.frame.joined})
         return s.but(frame=child, parent=parent, correlated=True, link=[])
 
-    def bind(self, s: SetV, fn: A.Lambda, env: dict, frame: Frame | None):
-        """(collection, value of the body over its elements)."""
+    def scope(self, s: SetV, fn: A.Lambda, env: dict, frame: Frame | None) -> SetV:
+        """A copy of the collection in whose rows the body can be lowered: beside the parent's columns if it reads outer variables."""
         outer = [n for n in A.free_vars(fn.body) - {fn.param} if n in env and isinstance(env[n], (V, ObjV, TupleV))]
         s = s.but(frame=s.frame.copy())
         if outer and frame is not None and frame is not s.frame:
             s = self.correlate(s, frame)
+        return s
+
+    def bind(self, s: SetV, fn: A.Lambda, env: dict, frame: Frame | None):
+        """(collection, value of the body over its elements)."""
+        s = self.scope(s, fn, env, frame)
         return s, self.lower(fn.body, {**env, fn.param: s.element}, s.frame)
 
     def attach(self, s: SetV, aggregates: dict[str, Column], frame: Frame | None) -> Frame:
@@ -447,8 +452,8 @@ class Compiler:
     def set_call(self, s: SetV, name: str, args: tuple, env: dict, frame: Frame | None):
         fn = args[0] if args and isinstance(args[0], A.Lambda) else None
         if name == "select" and fn:
-            s, v = self.bind(s, fn, env, frame)
-            s.frame.df = s.frame.df.where(column(v))
+            s = self.scope(s, fn, env, frame)
+            self.filter(s.frame, fn.body, {**env, fn.param: s.element})
             return s
         if name == "reject" and fn:
             s, v = self.bind(s, fn, env, frame)
