@@ -6,10 +6,10 @@ is one row per task. The rows then join their digest's first row (a sort-merge
 join whose skewed partitions Spark can split) and become records: ``response``
 with the payload, or ``revisit`` that refers to the response's record.
 
-Records go to uncompressed WARC files through Spark's own committed writer: a
+Records go to gzipped WARC files through Spark's own committed writer: a
 record is one row, and the row delimiter is the two line breaks that close a
-WARC record. The reader takes each file whole (files stay below ``FILE_BYTES``
-or hold one record) and cuts it by Content-Length, so payloads may hold anything.
+WARC record. The reader takes each file whole (unpacked they stay below
+``FILE_BYTES`` or hold one record) and cuts it by Content-Length, so payloads may hold anything.
 
 Null html is the empty payload. A payload below ``min_revisit_bytes`` is always a
 response. The response of a digest is the row with the smallest page_id; null ids
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import datetime
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -91,7 +92,12 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: str | N
     body = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload"))
     record = F.concat(F.encode(head, "UTF-8"), body).cast("string")  # bytes stay as they are
     (resolve(pages, min_revisit_bytes).select(record.alias("value")).write
-     .option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", max(1, FILE_BYTES // (most + 2048))).text(path))
+     .option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_BYTES // (most + 2048))).text(path))
+
+
+def plain(data: bytes) -> bytes:
+    """The records of a file, unpacked if it is gzipped."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
 def parse(data: bytes):
@@ -121,7 +127,7 @@ def read(spark, path: str, with_payload: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for row in parse(content.as_py()):
+                for row in parse(plain(content.as_py())):
                     size += len(row["payload"] or b"") if with_payload else 0
                     rows.append(row)
                     if size > common.CHUNK_BYTES or len(rows) >= 5000:
