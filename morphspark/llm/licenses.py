@@ -32,16 +32,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 #: A text without any of these (in lower case) has no detection.
-GATES = ("licen", "gpl", "gnu", "cc", "spdx", "copyright", "copyleft", "domain", "reserved", "permission", "redistribut", "merchantability", "creative", "contributors", "proprietary", "unencumbered", "plainly", "lgpl", "eupl", "cecill", "gfdl", "openrail", "sil ofl", "perl", "want", "attribution", "advertising", "bsd")
+GATES = ("licen", "gpl", "gnu", "cc", "spdx", "copyright", "copyleft", "domain", "reserved", "permission", "redistribut", "merchantability", "creative", "contributors", "proprietary", "unencumbered", "plainly", "lgpl", "eupl", "cecill", "gfdl", "openrail", "sil ofl", "perl", "want", "attribution", "advertising", "bsd", "mpl", "cddl", "wtfpl", "mulan")
 
 #: License names as words: label, keyword, pattern. {v} stands for an optional "version" or "v".
 NAMES = [
-    ("gpl-3.0", "gnu", r"(?:gnu )?(?:general public license|gpl) {v}3(?: 0)?"),
-    ("gpl-2.0", "gnu", r"(?:gnu )?(?:general public license|gpl) {v}2(?: 0)?"),
-    ("gpl-1.0", "gnu", r"(?:gnu )?(?:general public license|gpl) {v}1(?: 0)?"),
+    ("gpl-3.0", "general", r"(?:gnu )?general public licen[sc]e {v}3(?: 0)?"),
+    ("gpl-2.0", "general", r"(?:gnu )?general public licen[sc]e {v}2(?: 0)?"),
+    ("gpl-1.0", "general", r"(?:gnu )?general public licen[sc]e {v}1(?: 0)?"),
     ("gpl", "gnu", r"gnu general public licen[sc]e"),
     ("gpl-3.0", "gpl", r"gpl {v}3(?: 0)?"),
     ("gpl-2.0", "gpl", r"gpl {v}2(?: 0)?"),
+    ("gpl-1.0", "gpl", r"gpl {v}1(?: 0)?"),
     ("gpl-3.0", "gplv3", r"gplv3"),
     ("gpl-2.0", "gplv2", r"gplv2"),
     ("lgpl-3.0", "lesser", r"(?:gnu )?lesser general public licen[sc]e {v}3(?: 0)?"),
@@ -68,7 +69,8 @@ NAMES = [
     ("bsd-2-clause", "bsd", r"(?:(?:simplified|freebsd|2 clause|two clause) bsd(?: licen[sc]e)?|bsd 2 clause(?: licen[sc]e)?)"),
     ("bsd-3-clause", "bsd", r"(?:(?:new|modified|revised|3 clause|three clause) bsd(?: licen[sc]e)?|bsd 3 clause(?: licen[sc]e)?)"),
     ("bsd-4-clause", "bsd", r"(?:(?:original|old|4 clause|four clause) bsd(?: licen[sc]e)?|bsd 4 clause(?: licen[sc]e)?)"),
-    ("bsd-0-clause", "bsd", r"(?:zero clause bsd|0bsd|bsd zero clause)"),
+    ("bsd-0-clause", "bsd", r"(?:zero clause bsd|bsd zero clause)"),
+    ("bsd-0-clause", "0bsd", r"0bsd"),
     ("bsd", "bsd", r"(?:bsd (?:style )?licen[sc]e|berkeley software distribution licen[sc]e)"),
     ("mpl-2.0", "mozilla", r"mozilla public licen[sc]e {v}2(?: 0)?"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[sc]e {v}1 1"),
@@ -198,8 +200,8 @@ def rules() -> list[tuple[str, str, str, str, int, float]]:
 
 def _rules() -> Column:
     """The rules as one constant array of structs (parsed from one literal: quicker to plan than hundreds)."""
-    rows = [{"label": label, "key": f" {key}", "key2": f" {key2}", "pattern": f" (?:{pattern})(?= )", "priority": priority, "weight": weight} for label, key, key2, pattern, priority, weight in rules()]
-    return F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,key:string,key2:string,pattern:string,priority:int,weight:double>>")
+    rows = [{"label": label, "key": f" {key}", "key2": f" {key2}", "pattern": f" (?:{pattern})(?= )", "priority": priority, "weight": weight, "nth": nth} for nth, (label, key, key2, pattern, priority, weight) in enumerate(rules())]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<label:string,key:string,key2:string,pattern:string,priority:int,weight:double,nth:int>>")
 
 
 def _spaces(text: Column) -> Column:
@@ -213,7 +215,9 @@ def scan(docs: DataFrame) -> DataFrame:
     gate = F.lit(False)
     for word in GATES:
         if word == "cc":
-            gate = gate | (low.contains("cc") & low.rlike(r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+(?:by|zero)|cc0"))
+            gate = gate | (low.contains("cc") & low.rlike(rf"cc{GAP}(?:by|zero)|cc0"))
+        elif word == "mpl":
+            gate = gate | (low.contains("mpl") & low.rlike(rf"mpl{GAP}(?:v|2)"))
         else:
             gate = gate | low.contains(word)
     norm = F.when(gate, F.concat(F.lit(" "), F.btrim(F.regexp_replace(F.translate("raw", UPPER, LOWER), GAP, " ")), F.lit(" ")))
@@ -236,10 +240,10 @@ def scan(docs: DataFrame) -> DataFrame:
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
         step = lambda acc, x: F.struct((acc["at"] + x["gap"] + x["len"]).alias("at"), F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("s"), (acc["at"] + x["gap"] + x["len"]).alias("e")))).alias("spans"))
         spans = F.aggregate(F.zip_with(F.slice(between, 1, F.size(found)), found, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("len"))), zero, step)["spans"]
-        return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), (-r["priority"]).alias("p"), r["label"].alias("label"), r["weight"].alias("weight")))
+        return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), (-r["priority"]).alias("p"), r["nth"].alias("nth"), r["label"].alias("label"), r["weight"].alias("weight")))
 
     hits = F.flatten(F.transform(F.filter(_rules(), lambda r: F.contains(F.col("norm"), r["key"]) & F.contains(F.col("norm"), r["key2"])), places))
-    # In the order start, longest, priority, an interval is contained in an earlier one exactly if that one's end is as far;
+    # In the order start, longest, priority, rule, an interval is contained in an earlier one exactly if that one's end is as far;
     # `far` is the farthest end so far for each priority and all above it.
     zero = F.struct(F.array(*[F.lit(-1)] * 4).alias("far"), F.array().cast("array<struct<label:string,weight:double>>").alias("kept"))
 
