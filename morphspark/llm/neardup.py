@@ -14,17 +14,18 @@ only make a shingle look commoner).
    every pair that is not yet connected is compared by its exact weighted Jaccard
    similarity; a block yields a spanning set of links, never all pairs. A bucket
    of several blocks sends the best-linked text of each component (a text without
-   links is its own) on to the next level, until one block holds what is left.
-   After ``LEVELS`` levels the blocks of what is left meet pair by pair.
+   links is its own) on to the next level, until one block holds what is left or
+   after ``LEVELS`` levels.
 4. Links become classes by distributed connected components.
+5. In a bucket of several blocks every text outside its largest class meets, block
+   by block, every text of the bucket that is of another class, so no link of a
+   bucket is lost; the classes that such links join become one.
 
 Two texts are linked if their weighted Jaccard similarity is ``THRESHOLD`` or more.
 A large group of copies lowers the idf of what it shares, so a pair whose
 unweighted Jaccard similarity reaches the threshold is linked as well.
 
 A pair of similarity 0.8 shares no bucket with a chance of (1 - 0.8**3)**10 < 0.1 %.
-In a bucket of several blocks, a link between two texts in different blocks that
-are neither the best linked of their components is not tried in that bucket.
 
 Texts without words are alike only if equal. Null text is empty. Exact copies and
 repeated rows share a class; class_id is the smallest doc_id (null if all are).
@@ -158,8 +159,8 @@ def signatures(texts: DataFrame, table: np.ndarray, bands: int, rows: int) -> Da
     return texts.select("th", "text").mapInArrow(run, "th binary, buckets array<bigint>")
 
 
-def block_links(texts: list[str], table: np.ndarray, threshold: float):
-    """(links, degree, root): a spanning set of verified links of a block, links seen per text, component per text."""
+def nearness(texts: list[str], table: np.ndarray, threshold: float):
+    """(count, near): shingles per text; near(i, first) gives the texts from ``first`` on that are linked to text i."""
     raw = [x.encode() for x in texts]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
     g, tf, off = shingles(np.frombuffer(b"".join(raw), np.uint8), offsets)
@@ -167,25 +168,37 @@ def block_links(texts: list[str], table: np.ndarray, threshold: float):
     n = len(texts)
     total = np.add.reduceat(np.append(w, 0.0), off[:-1]) * (np.diff(off) > 0)
     count = np.diff(off)
-    root, degree, links = np.arange(n), np.zeros(n, np.int64), []
     _, ids = np.unique(g, return_inverse=True)
     mine = np.zeros(ids.max() + 1 if len(ids) else 1)
     owner = np.repeat(np.arange(n), count)
-    for i in range(n - 1):
-        if not count[i] or (root[i + 1:] == root[i]).all():
-            continue
+
+    def near(i: int, first: int) -> np.ndarray:
         own = slice(off[i], off[i + 1])
         mine[ids[own]] = w[own]
-        rest = slice(off[i + 1], len(g))
+        rest = slice(off[first], len(g))
         there = mine[ids[rest]]
         hit = there > 0
         least = np.bincount(owner[rest][hit], np.minimum(there[hit], w[rest][hit]), n)
         same = np.bincount(owner[rest][hit], minlength=n)
         mine[ids[own]] = 0.0
-        near = (least >= threshold * (total[i] + total - least) - 1e-9) | (same >= threshold * (count[i] + count - same) - 1e-9)
-        near &= count > 0
-        near[:i + 1] = False
-        found = np.flatnonzero(near)
+        linked = (least >= threshold * (total[i] + total - least) - 1e-9) | (same >= threshold * (count[i] + count - same) - 1e-9)
+        linked &= count > 0
+        linked[:first] = False
+        linked[i] = False
+        return np.flatnonzero(linked)
+
+    return count, near
+
+
+def block_links(texts: list[str], table: np.ndarray, threshold: float):
+    """(links, degree, root): a spanning set of verified links of a block, links seen per text, component per text."""
+    count, near = nearness(texts, table, threshold)
+    n = len(texts)
+    root, degree, links = np.arange(n), np.zeros(n, np.int64), []
+    for i in range(n - 1):
+        if not count[i] or (root[i + 1:] == root[i]).all():
+            continue
+        found = near(i, i + 1)
         degree[i] += len(found)
         degree[found] += 1
         for j in found:
@@ -198,7 +211,7 @@ def block_links(texts: list[str], table: np.ndarray, threshold: float):
 def verified_links(texts: DataFrame, members: DataFrame, table: np.ndarray, threshold: float, block: int, levels: int) -> DataFrame:
     """members (bucket, n, th) -> links a, b (keys of texts)."""
     told = texts.sparkSession.sparkContext.broadcast(table)
-    schema = "bucket bigint, th binary, other binary, size bigint"
+    schema = "bucket bigint, th binary, other binary"
 
     def verify(t: pa.Table) -> pa.Table:
         """Links (th, other), and with other null the texts that go on to the next level."""
@@ -213,28 +226,63 @@ def verified_links(texts: DataFrame, members: DataFrame, table: np.ndarray, thre
                 inside = np.flatnonzero(root == r)
                 out.append((th[inside[degree[inside].argmax()]], None))
         bucket = t.column("bucket")[0].as_py()
-        return pa.table({"bucket": pa.array([bucket] * len(out), pa.int64()), "th": pa.array([x for x, _ in out], pa.binary()), "other": pa.array([y for _, y in out], pa.binary()), "size": pa.array([0] * len(out), pa.int64())})
+        return pa.table({"bucket": pa.array([bucket] * len(out), pa.int64()), "th": pa.array([x for x, _ in out], pa.binary()), "other": pa.array([y for _, y in out], pa.binary())})
 
     links, now = None, members
-    for level in range(levels + 1):
-        pairs = level == levels
+    for level in range(levels):
         dealt = now.withColumn("blocks", F.ceil(F.col("n") / block).cast("bigint")).withColumn("one", F.pmod(F.xxhash64("th", F.lit(level)), "blocks"))
-        if pairs:  # what is left meets block by block
-            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-            dealt = dealt.withColumn("two", F.greatest("one", "other")).withColumn("one", F.least("one", "other")).withColumn("blocks", F.lit(1).cast("bigint"))
-        else:
-            dealt = dealt.withColumn("two", F.col("one"))
-        with_text = dealt.select("bucket", "blocks", "one", "two", "th").join(texts.select("th", "text"), "th")
-        out = common.stored(with_text.groupBy("bucket", "one", "two").applyInArrow(verify, schema), "links")
+        with_text = dealt.select("bucket", "blocks", "one", "th").join(texts.select("th", "text"), "th")
+        out = common.stored(with_text.groupBy("bucket", "one").applyInArrow(verify, schema), "links")
         found = out.where("other is not null").select(F.col("th").alias("a"), F.col("other").alias("b"))
         links = found if links is None else links.union(found)
         going = out.where("other is null").select("bucket", "th")
-        if pairs or not going.head(1):
+        if level == levels - 1 or not going.head(1):
             break
         now = common.stored(going.join(going.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket"), "members")
     return links
 
 
+def cross_links(texts: DataFrame, members: DataFrame, found: DataFrame, table: np.ndarray, threshold: float, block: int) -> DataFrame | None:
+    """Links a, b (roots of classes) between texts of one bucket in different classes of ``found``; None if no bucket can hold one.
+
+    Buckets of one block were compared whole, and those of one class have nothing to add.
+    """
+    told = texts.sparkSession.sparkContext.broadcast(table)
+    rooted = members.where(F.col("n") > block).join(found.select(F.col("node").alias("th"), "root"), "th", "left").withColumn("root", F.coalesce("root", "th"))
+    rooted = common.stored(rooted.select("bucket", "th", "root"), "rooted")
+    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    half = max(block // 2, 1)
+    blocks = lambda n: F.ceil(n / half).cast("bigint")
+    mixed = common.stored(mixed.select("bucket", F.col("main.root").alias("main"), blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("main.c")).alias("few")), "mixed")
+    if not mixed.head(1):
+        return None
+
+    def meet(t: pa.Table) -> pa.Table:
+        few = t.column("minor").to_numpy()
+        links: list[tuple[bytes, bytes]] = []
+        roots = t.column("root").to_pylist()
+        known = {r: k for k, r in enumerate(sorted(set(roots)))}
+        label = np.array([known[r] for r in roots])
+        if few.any() and len(known) > 1:
+            count, near = nearness(t.column("text").to_pylist(), told.value, threshold)
+            for i in np.flatnonzero(few & (count > 0)):
+                if (label == label[i]).all():
+                    break
+                for j in near(i, 0):
+                    if label[j] != label[i]:
+                        links.append((roots[i], roots[j]))
+                        label[label == label[j]] = label[i]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+    dealt, where = rooted.join(mixed, "bucket"), F.xxhash64("th", F.lit(-1))
+    to = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    every = dealt.select("bucket", "th", "root", F.lit(False).alias("minor"), F.pmod(where, F.col("all")).alias("one"), to("few").alias("two"))
+    minor = dealt.where("root != main").select("bucket", "th", "root", F.lit(True).alias("minor"), to("all").alias("one"), F.pmod(where, F.col("few")).alias("two"))
+    with_text = every.union(minor).join(texts.select("th", "text"), "th")
+    return common.stored(with_text.groupBy("bucket", "one", "two").applyInArrow(meet, "a binary, b binary"), "cross")
+
+
 def classes(texts: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
     """node, root (keys of texts) for every text that is near another one."""
     sketch, docs = document_frequencies(texts)
@@ -244,7 +292,13 @@ def classes(texts: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("th").cast("decimal(38,0)")).alias("members")).where("n > 1")
     kept = sizes.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
     members = common.stored(entries.join(kept, "bucket").select("bucket", "n", "th"), "members")
-    return components(verified_links(texts, members, table, threshold, block, levels))
+    found = components(verified_links(texts, members, table, threshold, block, levels))
+    cross = cross_links(texts, members, found, table, threshold, block)
+    if cross is None or not cross.head(1):
+        return found
+    joined = components(cross)
+    top = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return found.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(joined.join(found, "node", "left_anti").select("node", "root"))
 
 
 def _with_class(docs: DataFrame, found: DataFrame) -> DataFrame:

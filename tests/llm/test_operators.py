@@ -88,6 +88,23 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_near_duplicates_in_many_blocks(spark):
+    """In one bucket of all texts (no sampled rows), chains, whose links run between texts that represent no block, stay whole."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for c in range(4):
+        words = [f"c{c // 2}w{x}" for x in range(300)]
+        at = rng.permutation(300)
+        for k in range(40):  # neighbours keep 0.8 of their shingles, those further apart fewer
+            texts.append(" ".join(words))
+            for i in at[4 * k % 300:4 * k % 300 + 4]:
+                words[i] = f"c{c}n{k}x{i}"
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    d = table(spark, texts)
+    whole, split = ({r.doc_id: r.class_id for r in neardup.near_duplicates(d, bands=1, rows=0, **p).collect()} for p in ({"block": 1000}, {"block": 4, "levels": 1}))
+    assert split == whole and len(set(whole.values())) < len(texts) / 4
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 200), (200, 100), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
