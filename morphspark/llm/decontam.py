@@ -4,9 +4,9 @@
    fixed size ``2**SLOTS``) give idf weights; words in more than ``COMMON`` of the
    documents weigh nothing.
 2. A distributed randomised SVD (subspace iteration on A'A, A the TF-IDF passages
-   of the benchmark, a row an item) gives the latent space: ``RANK`` directions over
-   the words that occur in the benchmark. Tasks hold rows of A; only sums of
-   A'(A M) over words travel.
+   of the benchmark, a row an item) gives the latent space, one for each ``RANK``
+   items: as many directions as items, so no item loses any of its energy however
+   many there are. Tasks hold rows of A; only sums of A'(A M) over words travel.
 3. Every text is cut into passages of ``2 * STEP`` words at steps of ``STEP``. A passage
    whose cosine with an item, in the latent space, is ``COSINE`` or more is a
    candidate.
@@ -16,7 +16,8 @@
    (its last ``ANSWER`` words) is there as well, all but a fifth of it.
 
 Items come in blocks of at most ``ITEMS`` (the bound of what is broadcast); each
-block is a pass over the texts in the same job, without shuffle.
+block is a pass over the texts in the same job, without shuffle, and holds its
+latent spaces.
 
 Words are ASCII letters and digits and all other characters beyond ASCII, in lower
 case. Null texts and items without words take no part; such documents are clean.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from morphspark.llm import common
 
 SLOTS, RANK, STEP, COSINE, SAME, PARAPHRASE, ANSWER = 18, 192, 32, 0.25, 0.75, 0.5, 5
-ITEMS, COMMON, LEAST_COMMON, ROUNDS = 20_000, 0.1, 50, 2
+ITEMS, COMMON, LEAST_COMMON, ROUNDS = 2_000, 0.1, 50, 2
 PART = 256 << 10
 SEP = common.separators("alnum")
 
@@ -164,7 +165,7 @@ def _masks(item: list[int]) -> dict[int, int]:
 
 
 class Items:
-    """A block of the benchmark as broadcast: ids, words, latent vectors."""
+    """At most ``RANK`` items as broadcast: ids, words, latent vectors."""
 
     def __init__(self, ids: list[int], texts: list[str], weight: np.ndarray, slots: np.ndarray, v: np.ndarray):
         raw = [pc.utf8_lower(pa.scalar(t)).as_py().encode() for t in texts]
@@ -231,39 +232,45 @@ def mark(docs: DataFrame, benchmark: DataFrame, items_per_block: int = ITEMS) ->
     spark = docs.sparkSession
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     weight = idf(*document_frequencies(docs))
-    slots, v = latent_space(items, weight)
     out = docs.withColumn("__leaks", F.create_map().cast("map<bigint,double>"))
     schema, at = out.schema, len(docs.columns)
     text_at = docs.columns.index("text")
     kind = pa.map_(pa.int64(), pa.float64())
 
     def passes(ids: list[int], texts: list[str], df: DataFrame) -> DataFrame:
-        block = Items(ids, texts, weight, slots, v)
-        sent = spark.sparkContext.broadcast(block)
+        blocks = []
+        for i in range(0, len(ids), RANK):
+            part = spark.createDataFrame([(x,) for x in texts[i:i + RANK]], "text string")
+            slots, v = latent_space(part, weight)
+            if len(slots):
+                blocks.append(Items(ids[i:i + RANK], texts[i:i + RANK], weight, slots, v))
+        sent = spark.sparkContext.broadcast(blocks)
 
         def run(batches):
-            block = sent.value
-            block.prepare()
+            blocks = sent.value
+            for block in blocks:
+                block.prepare()
             for batch in batches:
                 leaks = [dict(x) for x in batch.column(at).to_pylist()]
                 one = pa.RecordBatch.from_arrays([batch.column(text_at)], ["text"])
                 for lo, _, buf, offsets in common.chunks(one, "text", PART, lower=True):
-                    for t, found in block.leaks(*words(buf, offsets)).items():
-                        leaks[lo + t].update(found)
+                    h, woff = words(buf, offsets)
+                    for block in blocks:
+                        for t, found in block.leaks(h, woff).items():
+                            leaks[lo + t].update(found)
                 columns = [*batch.columns[:at], pa.array([sorted(x.items()) for x in leaks], kind)]
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
         return df.mapInArrow(run, schema)
 
     ids, texts = [], []
-    if len(slots):
-        for r in items.toLocalIterator():
-            ids.append(r.item_id)
-            texts.append(r.text)
-            if len(ids) == items_per_block:
-                out, ids, texts = passes(ids, texts, out), [], []
-        if ids:
-            out = passes(ids, texts, out)
+    for r in items.toLocalIterator():
+        ids.append(r.item_id)
+        texts.append(r.text)
+        if len(ids) == items_per_block:
+            out, ids, texts = passes(ids, texts, out), [], []
+    if ids:
+        out = passes(ids, texts, out)
     return out
 
 
