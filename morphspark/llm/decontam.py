@@ -1,19 +1,22 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of hashed words over the whole corpus (a table of the
-   fixed size ``2**SLOTS``) give idf weights; words in more than ``COMMON`` of the
-   documents weigh nothing.
+   fixed size ``2**SLOTS``) give idf weights; every word weighs something.
 2. A distributed randomised SVD (subspace iteration on A'A, A the TF-IDF passages
    of the benchmark, a row an item) gives the latent space, one for each ``RANK``
    items: as many directions as items, so no item loses any of its energy however
    many there are. Tasks hold rows of A; only sums of A'(A M) over words travel.
 3. Every text is cut into passages of ``2 * STEP`` words at steps of ``STEP``. A passage
-   whose cosine with an item, in the latent space, is ``COSINE`` or more is a
-   candidate.
-4. A candidate's words with an item's length of context on either side are held
-   against the item by the longest common subsequence. At ``SAME`` of the item's words
-   or more it is a leak; at ``PARAPHRASE`` or more it is one if the item's answer
-   (its last ``ANSWER`` words) is there as well, all but a fifth of it.
+   has an item's length of context on either side. It is a candidate if it holds
+   ``MATCH`` or more of the item's energy (the squared weights of its words): a share
+   of the item alone, which other words of the passage do not lessen, so a verbatim
+   item is always one. Its product with the item in the latent space bounds that share
+   from above; where this is enough, the item's words are counted, and those that are
+   too few for 4 in any order are left out.
+4. A candidate's words are held against the item by the longest common subsequence.
+   At ``SAME`` of the item's words or more it is a leak; at ``PARAPHRASE`` or more it is
+   one if the item's answer (its last ``ANSWER`` words) is there as well, all but a fifth
+   of it.
 
 Items come in blocks of at most ``ITEMS`` (the bound of what is broadcast); each
 block is a pass over the texts in the same job, without shuffle, and holds its
@@ -35,8 +38,10 @@ from pyspark.sql import functions as F
 
 from morphspark.llm import common
 
-SLOTS, RANK, STEP, COSINE, SAME, PARAPHRASE, ANSWER = 18, 192, 32, 0.25, 0.75, 0.5, 5
-ITEMS, COMMON, LEAST_COMMON, ROUNDS = 2_000, 0.1, 50, 2
+SLOTS, RANK, STEP, MATCH, SAME, PARAPHRASE, ANSWER = 18, 192, 32, 0.3, 0.75, 0.5, 5
+ITEMS, ROUNDS = 2_000, 2
+#: Passages looked at at once.
+PASSAGES = 2048
 PART = 256 << 10
 SEP = common.separators("alnum")
 
@@ -82,9 +87,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def idf(df: np.ndarray, docs: int) -> np.ndarray:
-    w = np.log((docs + 1.0) / (df + 1.0)) + 0.1
-    w[df > max(COMMON * docs, LEAST_COMMON)] = 0.0
-    return w.astype(np.float32)
+    return (np.log((docs + 1.0) / (df + 1.0)) + 0.1).astype(np.float32)
 
 
 def latent_space(items: DataFrame, weight: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +147,7 @@ def latent_space(items: DataFrame, weight: np.ndarray, rank: int = RANK, rounds:
         m = np.linalg.qr(apply(m))[0]
     values, turn = np.linalg.eigh(m.T @ apply(m))
     keep = np.argsort(-values)[:rank]
-    keep = keep[values[keep] > 1e-9 * max(values.max(), 1e-30)]
+    keep = keep[values[keep] > 1e-12 * max(values.max(), 1e-30)]
     return slots, (m @ turn[:, keep]).astype(np.float32)
 
 
@@ -172,14 +175,16 @@ class Items:
         h, woff = words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
         self.place = np.full(1 << SLOTS, -1, np.int32)
         self.place[slots] = np.arange(len(slots))
-        self.ids, self.v, self.weight = ids, v, weight
+        self.ids = ids
+        self.wide = v * weight[slots][:, None]
+        self.square = weight[slots].astype(np.float64) ** 2
         self.words = [h[woff[i]:woff[i + 1]].tolist() for i in range(len(ids))]
-        self.latent = np.zeros((len(ids), v.shape[1]), np.float32)
-        for i in range(len(ids)):
-            s = slot_of(h[woff[i]:woff[i + 1]])
-            at = self.place[s]
-            self.latent[i] = (weight[s][at >= 0, None] * v[at[at >= 0]]).sum(0)
-        self.latent /= np.maximum(np.linalg.norm(self.latent, axis=1, keepdims=True), 1e-9)
+        self.at = [self.place[slot_of(h[woff[i]:woff[i + 1]])] for i in range(len(ids))]
+        self.latent = np.array([self.wide[x].sum(0) for x in self.at], np.float32)
+        #: What a candidate holds of an item at least, and the item's norm for the rounding of products.
+        self.least = np.array([MATCH * self.square[x].sum() for x in self.at])
+        self.norm = np.linalg.norm(self.latent, axis=1).astype(np.float64)
+        self.reach = np.array([-(-len(x) // STEP) for x in self.at])
 
     def prepare(self) -> None:
         self.masks = [_masks(w) for w in self.words]
@@ -192,24 +197,47 @@ class Items:
         if not len(firsts):
             return []
         text = np.repeat(np.arange(len(n)), -(-n // STEP))
-        s = slot_of(h)
-        w = self.weight[s]
-        square = np.add.reduceat(w.astype(np.float64) ** 2, firsts)
-        at = self.place[s]
-        used = np.flatnonzero((at >= 0) & (w > 0))
-        latent = np.zeros((len(firsts), self.v.shape[1]), np.float32)
-        if not len(used):
-            return []
-        block = np.searchsorted(firsts, used, side="right") - 1
-        new = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        latent[block[new]] = np.add.reduceat(self.v[at[used]] * w[used, None], new)
-        joined = np.zeros(len(firsts), bool)
-        joined[:-1] = text[1:] == text[:-1]
-        nxt = np.minimum(np.arange(len(firsts)) + 1, len(firsts) - 1)
-        latent = latent + latent[nxt] * joined[:, None]
-        norm = np.sqrt(np.maximum(square + square[nxt] * joined, 1e-9))
-        i, k = np.nonzero(latent @ self.latent.T >= COSINE * norm[:, None])
-        return list(zip(text[i].tolist(), (firsts[i] - woff[text[i]]).tolist(), k.tolist()))
+        start = np.repeat(np.cumsum(-(-n // STEP)) - (-(-n // STEP)), -(-n // STEP))
+        end = start + (-(-n // STEP))[text]
+        at = self.place[slot_of(h)]
+        used = np.flatnonzero(at >= 0)
+        # Each word once for each step of STEP words.
+        key = np.unique((np.searchsorted(firsts, used, side="right") - 1) * len(self.wide) + at[used])
+        out, most = [], int(self.reach.max())
+        for a in range(0, len(firsts), PASSAGES):
+            b = min(a + PASSAGES, len(firsts))
+            lo, hi = max(0, a - most), min(len(firsts), b + 1 + most)
+            part = key[np.searchsorted(key, lo * len(self.wide)):np.searchsorted(key, hi * len(self.wide))] - lo * len(self.wide)
+            if len(part):
+                out += [(int(text[x]), int(firsts[x] - woff[text[x]]), k) for x, k in self._candidates(part, hi - lo, np.arange(a, b) - lo, start[a:b] - lo, end[a:b] - lo, lo)]
+        return sorted(out)
+
+    def _candidates(self, key: np.ndarray, m: int, own: np.ndarray, start: np.ndarray, end: np.ndarray, shift: int) -> list[tuple[int, int]]:
+        """(passage, item) for the passages ``own`` of m steps; key: step and word; start, end: the steps of the passage's text."""
+        step, at = np.divmod(key, len(self.wide))
+        new = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1]]))
+        latent = np.zeros((m, self.wide.shape[1]), np.float32)
+        latent[step[new]] = np.add.reduceat(self.wide[at], new)
+        products, norms = np.zeros((m + 1, len(self.ids))), np.zeros(m + 1)
+        np.cumsum(latent @ self.latent.T, axis=0, dtype=np.float64, out=products[1:])
+        np.cumsum(np.sqrt(np.bincount(step, self.square[at], m)), out=norms[1:])
+        last = np.full((m, len(self.wide)), -1, np.int32)  # the last step up to this one that holds the word
+        last[step, at] = step
+        np.maximum.accumulate(last, axis=0, out=last)
+        out = []
+        for r in np.unique(self.reach[self.reach > 0]).tolist():
+            items = np.flatnonzero(self.reach == r)
+            lo, hi = np.maximum(own - r, np.maximum(start, 0)), np.minimum(own + 2 + r, np.minimum(end, m))
+            got = products[hi][:, items] - products[lo][:, items] + 1e-5 * (norms[hi] - norms[lo])[:, None] * self.norm[items] >= 0.999 * self.least[items]
+            for j, k in enumerate(items.tolist()):
+                near = np.flatnonzero(got[:, j])
+                if not len(near):
+                    continue
+                there = last[(hi[near] - 1)[:, None], self.at[k]] >= lo[near, None]
+                held, size, answer = there.sum(1), len(self.at[k]), min(ANSWER, len(self.at[k]))
+                near = near[(there @ self.square[self.at[k]] >= (1 - 1e-9) * self.least[k]) & ((held >= SAME * size) | (held >= PARAPHRASE * size) & (there[:, -answer:].sum(1) >= 0.8 * answer))]
+                out += [(x, k) for x in (own[near] + shift).tolist()]
+        return out
 
     def leaks(self, h: np.ndarray, woff: np.ndarray) -> dict[int, dict[int, float]]:
         """Per text with leaks: item id and score."""

@@ -141,6 +141,58 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in two.collect()) == [80, 81]
 
 
+def test_decontamination_of_many_items(spark):
+    """Items are found however many there are: all verbatim ones, and 99 of 100 with each third word replaced but for the answer."""
+    rng = np.random.default_rng(4)
+    word = lambda n: [f"v{x}" for x in rng.zipf(1.2, n) % 20_000]
+    items, texts, planted = [word(30) for _ in range(2000)], [], []
+    for k in range(0, 2000, 10):
+        own = list(items[k])
+        if k % 20:
+            own[:25] = [f"z{k}x{i}" if i % 3 == 0 else w for i, w in enumerate(own[:25])]
+        texts.append(" ".join([*word(60), *own, *word(60)]))
+        planted.append(k)
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontam.contamination(table(spark, texts), b).collect()}
+    missed = [k for i, k in enumerate(planted) if k not in got[i]]
+    assert len(missed) <= 1 and all(k % 20 for k in missed)
+
+
+def test_decontamination_equals_brute_force(spark):
+    """No leak is lost against every item with every passage: items of common words only, short and long ones, paraphrases."""
+    rng = np.random.default_rng(6)
+    common = [f"c{x}" for x in range(40)]
+    rare = lambda n: [f"v{x}" for x in rng.zipf(1.3, n) % 5000]
+    text = lambda n: [w if rng.random() < 0.5 else str(rng.choice(common)) for w in rare(n)]
+    items = [list(rng.choice(common, int(rng.integers(15, 21)))) for _ in range(40)] + [text(int(n)) for n in rng.integers(1, 110, 260)]
+    texts = []
+    for k in range(0, 300, 2):
+        own = list(items[k])
+        for i in range(len(own)):
+            if k % 4 and rng.random() < 0.3:
+                own[i] = f"z{i}"
+        texts.append([*text(int(rng.integers(0, 200))), *own, *text(int(rng.integers(0, 200)))])
+    df, want = Counter(x for w in texts for x in set(w)), []
+    square = lambda x: (np.log((len(texts) + 1) / (df[x] + 1)) + 0.1) ** 2
+    for w in texts:
+        found = {}
+        for k, own in enumerate(items):
+            n, m, masks, answer = len(own), min(decontam.ANSWER, len(own)), decontam._masks(own), decontam._masks(own[-decontam.ANSWER:])
+            for first in range(0, len(w), decontam.STEP):
+                near = w[max(0, first - n):first + 2 * decontam.STEP + n]
+                context = decontam.STEP * -(-n // decontam.STEP)
+                there = set(w[max(0, first - context):first + 2 * decontam.STEP + context])
+                if sum(square(x) for x in own if x in there) < decontam.MATCH * sum(map(square, own)):
+                    continue
+                score = decontam.lcs(masks, n, near) / n
+                if score >= decontam.SAME or score >= decontam.PARAPHRASE and decontam.lcs(answer, m, near) >= 0.8 * m:
+                    found[k] = max(score, found.get(k, 0.0))
+        want.append((sorted(found), max(found.values(), default=0.0)))
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: (r["items"], r.score) for r in decontam.contamination(table(spark, [" ".join(w) for w in texts]), b).collect()}
+    assert [got[i] for i in range(len(texts))] == want and all(2 * i in x for i, (x, _) in enumerate(want) if i % 2 == 0)
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(3)
     texts, labels = [], []
