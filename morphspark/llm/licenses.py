@@ -71,7 +71,8 @@ NAMES = [
     ("bsd-4-clause", "bsd", r"(?:(?:original|old|4 clause|four clause) bsd(?: licen[sc]e)?|bsd 4 clause(?: licen[sc]e)?)"),
     ("bsd-0-clause", "bsd", r"(?:zero clause bsd|bsd zero clause)"),
     ("bsd-0-clause", "0bsd", r"0bsd"),
-    ("bsd", "bsd", r"(?:bsd (?:style )?licen[sc]e|berkeley software distribution licen[sc]e)"),
+    ("bsd", "bsd", r"bsd (?:style )?licen[sc]e"),
+    ("bsd", "berkeley", r"berkeley software distribution licen[sc]e"),
     ("mpl-2.0", "mozilla", r"mozilla public licen[sc]e {v}2(?: 0)?"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[sc]e {v}1 1"),
     ("mpl-1.0", "mozilla", r"mozilla public licen[sc]e {v}1 0"),
@@ -180,8 +181,8 @@ PASSAGES = [
     ("proprietary", "proprietary", r"(?:confidential and proprietary|proprietary and confidential)", 1, 0.6),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d", 0, 0.3),
     ("copyleft", "copyleft", r"copyleft", 0, 0.3),
-    ("license-file", "license", r"see (?:the )?(?:accompanying )?licen[sc]e (?:file|txt|md)", 0, 0.3),
-    ("other", "license", r"(?:licen[sc]ed|released|distributed) under (?:the )?(?:\S+ ){1,4}licen[sc]e", 0, 0.4),
+    ("license-file", "licen", r"see (?:the )?(?:accompanying )?licen[sc]e (?:file|txt|md)", 0, 0.3),
+    ("other", "licen", r"(?:licen[sc]ed|released|distributed) under (?:the )?(?:\S+ ){1,4}licen[sc]e", 0, 0.4),
 ]
 
 

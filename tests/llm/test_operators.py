@@ -288,6 +288,14 @@ def test_license_rules(spark, docs):
         assert got[i] == brute_licenses(t), t[:200]
 
 
+def test_license_rules_run_for_each_alternative(spark):
+    """A rule's keyword is part of each of its forms."""
+    texts = ["Berkeley Software Distribution License", "under the Berkeley Software Distribution Licence", "License identifier: Berkeley Software Distribution License", "released under the Foo Licence", "released under the Foo License",
+             "see the licence file", "see the LICENSE file", "BSD style licence"]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [brute_licenses(t) for t in texts] and all(got[i][0] for i in range(len(texts)))
+
+
 def test_html(spark):
     page = "<html><head><title>t</title></head><body><nav><ul><li><a href=a>menu</a></ul></nav><div class='ad'>buy</div><article><h1>T &amp; t</h1><p>Long text  of\nthe article, with words.<p>Be.<br>x</p><div id=comments><p>reader</p></div></article><footer>f</footer><script>var a='<p>';</script></body></html>"
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", ""), (4, None, "plain &lt;x")], "page_id long, url string, html string")).collect()}
