@@ -39,6 +39,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.splits = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})")
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes | None] = {}
         self.single = self._single(path)
@@ -58,7 +59,12 @@ class Encoder:
         return lambda x: merger.encode_single_piece(x.encode("utf-8"))
 
     def pieces(self, text: str) -> list[str]:
-        """The pre-tokens of a text; joined they are the text."""
+        """The pre-tokens of a text, a special token being one of its own; joined they are the text."""
+        if any(x in text for x in self.special):
+            return [y for x in self.splits.split(text) if x for y in ([x] if x in self.special else self._split(x))]
+        return self._split(text)
+
+    def _split(self, text: str) -> list[str]:
         return (FAST if SURE.fullmatch(text) else self.pattern).findall(text)
 
     def _learn(self, pieces: list[str]) -> None:
@@ -67,7 +73,7 @@ class Encoder:
         known, single = self.known, self.single
         for x in pieces:
             if x not in known:
-                known[x] = array.array("I", single(x)).tobytes()
+                known[x] = array.array("I", self.tokenizer.encode(x, add_special_tokens=False).ids if x in self.special else single(x)).tobytes()
 
     def _of_pieces(self, text: str) -> bytes:
         pieces = self.pieces(text)

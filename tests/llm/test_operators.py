@@ -124,6 +124,23 @@ def test_token_counts(spark, docs):
         assert (r.n_tokens_after, r.n_chars_after) == (n(t), len(t))
 
 
+def test_token_counts_of_special_tokens():
+    """Special tokens are counted as the library does, where edits make, break and move them too."""
+    enc, end, long = tokens.Encoder(tokens.vocabulary()), "<|endoftext|>", "some words  of text\n " * 60
+    n = lambda t: len(enc.tokenizer.encode(t, add_special_tokens=False).ids)
+    assert n(end) == 1
+    for text in (end, f"a {end} b", f"{long}{end}{long}", f"{long}<|endof", f"{long}{end}{end} x", end + long, (long + end) * 3):
+        near = [m.start() + k for m in re.finditer(r"<\|", text) for k in range(-2, 16)]
+        for at in [*range(0, len(text) + 1, max(1, len(text) // 20)), *near]:
+            for cut, new in ((0, end), (3, ""), (0, "text|>"), (1, "")):
+                at = max(0, min(at, len(text)))
+                tree = tokencount.TokenTree(enc, text)
+                assert tree.n_tokens == n(text)
+                tree.edit(at, cut, new)
+                after = text[:at] + new + text[at + cut:]
+                assert (tree.text(), tree.n_tokens) == (after, n(after)), (text[:30], at, cut, new)
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(2)
     word = lambda n: [f"v{x}" for x in rng.zipf(1.3, n) % 5000]
