@@ -44,6 +44,19 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(taken: list[str], *stems: str) -> list[str]:
+    """A column name for each stem that is none of ``taken`` (letter case does not tell names apart)."""
+    known = {c.lower() for c in taken}
+    out = []
+    for stem in stems:
+        name = f"__{stem}"
+        while name in known:
+            name += "_"
+        known.add(name)
+        out.append(name)
+    return out
+
+
 def text_key(text: Column) -> Column:
     """128-bit key of a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

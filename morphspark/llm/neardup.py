@@ -1,10 +1,11 @@
 """Near-duplicate texts by improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are five consecutive words (ASCII letters in lower case); a shorter text
-is one shingle. A shingle weighs tf * idf, idf = 1 + SPAN * ln(N / df) / ln(N):
-document frequencies over all documents, counted in a count-min sketch of the
-fixed size ``2**SLOTS`` (so it can be broadcast at any corpus size; collisions
-only make a shingle look commoner).
+is one shingle. A shingle weighs tf * idf, idf = 1 + SPAN * ln(N / df) / ln(N) over
+the N different texts. Document frequencies are counted in a count-min sketch of
+``DEPTH`` rows whose width follows the corpus up to ``2**SLOTS`` (so its size is
+bounded at any corpus size; an estimate is too great by about all shingles / width,
+which only moves the idf of shingles rarer than that).
 
 1. Texts are folded to one row for all their exact copies.
 2. ``BANDS * ROWS`` improved consistent weighted samples per text; a band's
@@ -17,18 +18,31 @@ only make a shingle look commoner).
    links is its own) on to the next level, until one block holds what is left or
    after ``LEVELS`` levels.
 4. Links become classes by distributed connected components.
-5. In a bucket of several blocks every text outside its largest class meets, block
-   by block, every text of the bucket that is of another class, so no link of a
-   bucket is lost; the classes that such links join become one.
+5. A bucket of several blocks and classes may hold links that no block has seen.
+   Which texts can have one follows from the bucket's consensus c, the shingles
+   of at least half of its texts. Let M and R be the weights that a text lacks of
+   c and has beyond it, e = M + t R, and s the weight that two texts' differences
+   from c share. Then (t the threshold, W the weight of c)
+
+       J(x, y) >= t  exactly if  e(x) + e(y) <= (1 - t) W + (1 + t) s.
+
+   s is at most the part S of a text's differences that another text of the bucket
+   has too, so a link needs e(y) <= g(x) and e(x) <= g(y), g = (1 + t) S - e + (1 - t) W.
+   Texts that meet no such partner drop out. Those left outside the bucket's largest
+   class meet, block by block, all those left. So no link of a bucket is lost.
 
 Two texts are linked if their weighted Jaccard similarity is ``THRESHOLD`` or more.
-A large group of copies lowers the idf of what it shares, so a pair whose
-unweighted Jaccard similarity reaches the threshold is linked as well.
+A large group of near copies lowers the idf of what it shares; SPAN keeps weights
+within 1 and 1.25, so that such a group is not torn: a pair of plain Jaccard
+similarity 0.84 or more is linked whatever its idf.
 
 A pair of similarity 0.8 shares no bucket with a chance of (1 - 0.8**3)**10 < 0.1 %.
 
 Texts without words are alike only if equal. Null text is empty. Exact copies and
-repeated rows share a class; class_id is the smallest doc_id (null if all are).
+repeated rows share a class; class_id is the smallest doc_id (null if all are). An
+empty table gives an empty result. Other columns, whatever their names, are kept by
+drop_near_duplicates and ignored by near_duplicates. A very long text is one row, whose
+shingles are worked on at once. Ties (equal ids) are told apart by text.
 """
 
 from __future__ import annotations
@@ -43,7 +57,9 @@ from morphspark.llm import common
 from morphspark.llm.components import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK, LEVELS = 5, 0.8, 10, 3, 128, 4
-SLOTS, SPAN = 18, 0.25
+SLOTS, DEPTH, SPAN = 20, 2, 0.25
+#: Shingles of a bucket that one task holds in step 5, and room for rounding there.
+SLICE, SLACK = 1 << 20, 1e-6
 PART = 1 << 20
 SEP = common.separators()
 
@@ -77,19 +93,26 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple
     return g[new], np.diff(np.append(new, len(g))), np.searchsorted(gdoc[new], np.arange(len(n) + 1))
 
 
-def document_frequencies(texts: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, int]:
-    """Counts of documents by slot of the shingle hash, and all documents; 2**slots counters whatever the corpus."""
-    cut = 64
+def _slots(g: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The slot of each shingle in each row of the sketch."""
+    own = [g, *(common.mix(g + np.uint64(d)) >> np.uint64(8) for d in range(1, DEPTH))]
+    return [(x >> np.uint64(56 - bits)).astype(np.int64) for x in own]
+
+
+def document_frequencies(texts: DataFrame, most: int = SLOTS) -> tuple[np.ndarray, int]:
+    """(DEPTH x slots counts of different texts by slot, all different texts)."""
+    known = texts.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    bits = min(most, max(12, int(known[1] or 0).bit_length() - 2))  # a slot or two for each shingle
+    size, cut = DEPTH << bits, 64
 
     def count(batches):
-        sketch = np.zeros(1 << slots, np.int64)
+        sketch = np.zeros((DEPTH, 1 << bits), np.int64)
         for batch in batches:
-            copies = batch.column(1).to_numpy()
-            for lo, hi, buf, offsets in common.chunks(batch, "text", PART):
-                g, _, off = shingles(buf, offsets)
-                sketch += np.bincount((g >> np.uint64(56 - slots)).astype(np.int64), np.repeat(copies[lo:hi], np.diff(off)), 1 << slots).astype(np.int64)
-        part = TaskContext.get().partitionId() % 64
-        pieces = np.split(sketch, cut)
+            for _, _, buf, offsets in common.chunks(batch, "text", PART):
+                g, _, _ = shingles(buf, offsets)
+                for row, slots in zip(sketch, _slots(g, bits)):
+                    row += np.bincount(slots, minlength=1 << bits)
+        pieces, part = np.split(sketch.ravel(), cut), TaskContext.get().partitionId() % 64
         yield pa.RecordBatch.from_arrays([pa.array(range(cut), pa.int32()), pa.array([part] * cut, pa.int32()), pa.array([p.tobytes() for p in pieces])], ["slice", "part", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
@@ -100,19 +123,26 @@ def document_frequencies(texts: DataFrame, slots: int = SLOTS) -> tuple[np.ndarr
         return pa.table({"slice": table.column("slice")[:1], "part": table.column("part")[:1], "counts": pa.array([acc.tobytes()])})
 
     schema = "slice int, part int, counts binary"
-    parts = texts.select("text", "copies").mapInArrow(count, schema).groupBy("slice", "part").applyInArrow(total, schema).groupBy("slice").applyInArrow(total, schema)
-    sketch = np.zeros((cut, (1 << slots) // cut), np.int64)
-    for r in parts.collect():  # 64 rows of fixed size
+    parts = texts.select("text").mapInArrow(count, schema).groupBy("slice", "part").applyInArrow(total, schema).groupBy("slice").applyInArrow(total, schema)
+    sketch = np.zeros((cut, size // cut), np.int64)
+    for r in parts.collect():  # 64 rows of bounded size
         sketch[r.slice] = np.frombuffer(r.counts, np.int64)
-    return sketch.ravel(), int(texts.agg(F.sum("copies")).first()[0] or 0)
+    return sketch.reshape(DEPTH, 1 << bits), int(known[0])
 
 
 def idf(sketch: np.ndarray, docs: int) -> np.ndarray:
+    """DEPTH x slots; a shingle's idf is the greatest of its slots' (the least count)."""
     return (1.0 + SPAN * np.log(max(docs, 1) / np.clip(sketch, 1, max(docs, 1))) / np.log(max(docs, 2))).astype(np.float32)
 
 
-def weigh(g: np.ndarray, tf: np.ndarray, table: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    return tf.astype(np.float32) * table[(g >> np.uint64(56 - slots)).astype(np.int64)]
+def rarity(g: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The idf of each shingle."""
+    slots = _slots(g, table.shape[1].bit_length() - 1)
+    return np.max([row[x] for row, x in zip(table, slots)], axis=0) if len(g) else np.zeros(0, np.float32)
+
+
+def weigh(g: np.ndarray, tf: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return tf.astype(np.float32) * rarity(g, table)
 
 
 def samples(g: np.ndarray, w: np.ndarray, off: np.ndarray, count: int) -> np.ndarray:
@@ -136,7 +166,7 @@ def samples(g: np.ndarray, w: np.ndarray, off: np.ndarray, count: int) -> np.nda
 
 
 def signatures(texts: DataFrame, table: np.ndarray, bands: int, rows: int) -> DataFrame:
-    """th, buckets array<bigint> (one a band) of every text with words."""
+    """th, size (shingles) and buckets array<bigint> (one a band) of every text with words."""
     told = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -154,9 +184,9 @@ def signatures(texts: DataFrame, table: np.ndarray, bands: int, rows: int) -> Da
                         acc = common.mix(acc * common.K1 + s[:, b * rows + k])
                     h[:, b] = acc
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(has + lo)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(has) * bands + 1, bands, dtype=np.int32)), pa.array(h.ravel().view(np.int64)))], ["th", "buckets"])
+                    [batch.column(0).take(pa.array(has + lo)), pa.array(np.add.reduceat(tf, off[has]).astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(has) * bands + 1, bands, dtype=np.int32)), pa.array(h.ravel().view(np.int64)))], ["th", "size", "buckets"])
 
-    return texts.select("th", "text").mapInArrow(run, "th binary, buckets array<bigint>")
+    return texts.select("th", "text").mapInArrow(run, "th binary, size bigint, buckets array<bigint>")
 
 
 def nearness(texts: list[str], table: np.ndarray, threshold: float):
@@ -179,9 +209,8 @@ def nearness(texts: list[str], table: np.ndarray, threshold: float):
         there = mine[ids[rest]]
         hit = there > 0
         least = np.bincount(owner[rest][hit], np.minimum(there[hit], w[rest][hit]), n)
-        same = np.bincount(owner[rest][hit], minlength=n)
         mine[ids[own]] = 0.0
-        linked = (least >= threshold * (total[i] + total - least) - 1e-9) | (same >= threshold * (count[i] + count - same) - 1e-9)
+        linked = least >= threshold * (total[i] + total - least) - 1e-9
         linked &= count > 0
         linked[:first] = False
         linked[i] = False
@@ -242,6 +271,79 @@ def verified_links(texts: DataFrame, members: DataFrame, table: np.ndarray, thre
     return links
 
 
+def _profiles(texts: DataFrame, members: DataFrame, table: np.ndarray, threshold: float) -> DataFrame:
+    """members (bucket, slices, th) -> bucket, th, e, g (see the module): what a link of a text needs of its partner.
+
+    The shingles of a bucket are dealt over ``slices`` groups by their hash; a task packs what it
+    has of a group into one row, and each group tells its part of every text's e and g.
+    """
+    told = texts.sparkSession.sparkContext.broadcast(table)
+    names = ["bucket", "slice", "keys", "sizes", "shingles", "weights"]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+
+    def packed_rows(held: dict[tuple[int, int], list]) -> pa.RecordBatch:
+        out = [(bucket, one, [p[0] for p in parts], [len(p[1]) for p in parts], np.concatenate([p[1] for p in parts]).tobytes(), np.concatenate([p[2] for p in parts]).tobytes())
+               for (bucket, one), parts in held.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    def pack(batches):
+        held: dict[tuple[int, int], list] = {}
+        size = 0
+        for batch in batches:
+            th, asked = batch.column(0).to_pylist(), batch.column(2)
+            for lo, hi, buf, offsets in common.chunks(batch, "text", PART):
+                g, tf, off = shingles(buf, offsets)
+                unit = rarity(g, told.value)
+                for i in range(lo, hi):
+                    own = slice(off[i - lo], off[i - lo + 1])
+                    # The k-th occurrence of a shingle is an element of its own, so texts are sets.
+                    nth = np.arange(tf[own].sum()) - np.repeat(np.cumsum(tf[own]) - tf[own], tf[own])
+                    x, w = np.repeat(g[own], tf[own]), np.repeat(unit[own], tf[own])
+                    x = np.where(nth > 0, common.mix(x + nth.astype(np.uint64) * common.K1), x)
+                    for b in asked[i].as_py():
+                        part = (x % np.uint64(b["slices"])).astype(np.int64)
+                        for k in range(b["slices"]):
+                            held.setdefault((b["bucket"], k), []).append((th[i], x[part == k], w[part == k]))
+                        size += len(x)
+                    if size > SLICE:
+                        yield packed_rows(held)
+                        held, size = {}, 0
+        if held:
+            yield packed_rows(held)
+
+    def profile(t: pa.Table) -> pa.Table:
+        keys = [k for x in t.column("keys").to_pylist() for k in x]
+        n, sizes = len(keys), np.array([k for x in t.column("sizes").to_pylist() for k in x], np.int64)
+        x = np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in t.column("shingles")])
+        w = np.concatenate([np.frombuffer(b.as_buffer(), np.float32) for b in t.column("weights")]).astype(np.float64)
+        owner = np.repeat(np.arange(n), sizes)
+        _, first, ids, df = np.unique(x, return_index=True, return_inverse=True, return_counts=True)
+        weight, agreed = w[first], 2 * df >= n
+        last, alone = agreed & (df == n - 1), ~agreed & (df == 1)  # one text differs here, alone
+        has = lambda what: np.bincount(owner, w * what[ids], n)
+        whole = weight[agreed].sum()
+        lacks, more = whole - has(agreed), has(~agreed)
+        shared = lacks - (weight[last].sum() - has(last)) + more - has(alone)
+        e = lacks + threshold * more
+        g = (1 + threshold) * shared - e + (1 - threshold) * whole
+        return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()] * n, pa.int64()), "th": pa.array(keys, pa.binary()), "e": pa.array(e), "g": pa.array(g)})
+
+    asked = members.groupBy("th").agg(F.collect_list(F.struct("bucket", "slices")).alias("asked"))  # at most one a band
+    packed = texts.select("th", "text").join(asked, "th").mapInArrow(pack, "bucket bigint, slice bigint, keys array<binary>, sizes array<bigint>, shingles binary, weights binary")
+    parts = packed.groupBy("bucket", "slice").applyInArrow(profile, "bucket bigint, th binary, e double, g double")
+    return parts.groupBy("bucket", "th").agg(F.sum("e").alias("e"), F.sum("g").alias("g"))
+
+
+def _partners(rows: DataFrame) -> DataFrame:
+    """rows (bucket, th, root, minor, e, g) that may link a minor text (outside the largest class, x) with another one (y)."""
+    rows = rows.select("*", F.col("minor").alias("x"), F.lit(True).alias("y"))
+    for side, other in (("y", "x"), ("x", "y"), ("y", "x")):
+        reach = rows.where(other).groupBy("bucket").agg(F.min("e").alias("least"), F.max("g").alias("most")).repartition("bucket")
+        meets = (F.col("g") + SLACK >= F.col("least")) & (F.col("e") <= F.col("most") + SLACK)
+        rows = rows.join(reach, "bucket").withColumn(side, F.col(side) & meets).drop("least", "most")
+    return rows.where("x or y")
+
+
 def cross_links(texts: DataFrame, members: DataFrame, found: DataFrame, table: np.ndarray, threshold: float, block: int) -> DataFrame | None:
     """Links a, b (roots of classes) between texts of one bucket in different classes of ``found``; None if no bucket can hold one.
 
@@ -249,13 +351,19 @@ def cross_links(texts: DataFrame, members: DataFrame, found: DataFrame, table: n
     """
     told = texts.sparkSession.sparkContext.broadcast(table)
     rooted = members.where(F.col("n") > block).join(found.select(F.col("node").alias("th"), "root"), "th", "left").withColumn("root", F.coalesce("root", "th"))
-    rooted = common.stored(rooted.select("bucket", "th", "root"), "rooted")
-    sizes = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    mixed = sizes.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    rows = common.stored(rooted.select("bucket", "th", "size", "root"), "rooted")
+    sizes = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("size"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("size").alias("all")).where("roots > 1")
+    mixed = mixed.select("bucket", F.col("main.root").alias("main"), F.ceil(F.col("all") / SLICE).cast("bigint").alias("slices")).repartition("bucket")
+    dealt = common.stored(rows.join(mixed, "bucket").select("bucket", "th", "root", (F.col("root") != F.col("main")).alias("minor"), "slices"), "mixed")
+    if not dealt.head(1):
+        return None
+    known = common.stored(dealt.join(_profiles(texts, dealt, table, threshold), ["bucket", "th"]), "profiles")
+    rows = common.stored(_partners(known), "partners")
     half = max(block // 2, 1)
-    blocks = lambda n: F.ceil(n / half).cast("bigint")
-    mixed = common.stored(mixed.select("bucket", F.col("main.root").alias("main"), blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("main.c")).alias("few")), "mixed")
-    if not mixed.head(1):
+    blocks = lambda side: F.ceil(F.count_if(F.col(side)) / half).cast("bigint")
+    sides = common.stored(rows.groupBy("bucket").agg(blocks("y").alias("all"), blocks("x").alias("few")).where("`all` > 0 and few > 0"), "sides")
+    if not sides.head(1):
         return None
 
     def meet(t: pa.Table) -> pa.Table:
@@ -265,33 +373,37 @@ def cross_links(texts: DataFrame, members: DataFrame, found: DataFrame, table: n
         known = {r: k for k, r in enumerate(sorted(set(roots)))}
         label = np.array([known[r] for r in roots])
         if few.any() and len(known) > 1:
+            e, g = t.column("e").to_numpy(), t.column("g").to_numpy() + SLACK
             count, near = nearness(t.column("text").to_pylist(), told.value, threshold)
             for i in np.flatnonzero(few & (count > 0)):
-                if (label == label[i]).all():
-                    break
+                if not ((label != label[i]) & (e <= g[i]) & (g >= e[i])).any():
+                    continue
                 for j in near(i, 0):
                     if label[j] != label[i]:
                         links.append((roots[i], roots[j]))
                         label[label == label[j]] = label[i]
         return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
-    dealt, where = rooted.join(mixed, "bucket"), F.xxhash64("th", F.lit(-1))
+    dealt, where = rows.join(sides, "bucket"), F.xxhash64("th", F.lit(-1))
     to = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
-    every = dealt.select("bucket", "th", "root", F.lit(False).alias("minor"), F.pmod(where, F.col("all")).alias("one"), to("few").alias("two"))
-    minor = dealt.where("root != main").select("bucket", "th", "root", F.lit(True).alias("minor"), to("all").alias("one"), F.pmod(where, F.col("few")).alias("two"))
+    every = dealt.where("y").select("bucket", "th", "root", "e", "g", F.lit(False).alias("minor"), F.pmod(where, F.col("all")).alias("one"), to("few").alias("two"))
+    minor = dealt.where("x").select("bucket", "th", "root", "e", "g", F.lit(True).alias("minor"), to("all").alias("one"), F.pmod(where, F.col("few")).alias("two"))
     with_text = every.union(minor).join(texts.select("th", "text"), "th")
     return common.stored(with_text.groupBy("bucket", "one", "two").applyInArrow(meet, "a binary, b binary"), "cross")
 
 
-def classes(texts: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
-    """node, root (keys of texts) for every text that is near another one."""
-    sketch, docs = document_frequencies(texts)
-    table = idf(sketch, docs)
-    signed = common.stored(signatures(texts, table, bands, rows), "signatures")
-    entries = signed.select("th", F.posexplode("buckets").alias("band", "hash")).select("th", F.xxhash64("band", "hash").alias("bucket"))
+def bucket_members(signed: DataFrame) -> DataFrame:
+    """bucket, n, th, size: every text of every bucket of several texts, buckets with the same texts once."""
+    entries = signed.select("th", "size", F.posexplode("buckets").alias("band", "hash")).select("th", "size", F.xxhash64("band", "hash").alias("bucket"))
     sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("th").cast("decimal(38,0)")).alias("members")).where("n > 1")
     kept = sizes.groupBy("n", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    members = common.stored(entries.join(kept, "bucket").select("bucket", "n", "th"), "members")
+    return entries.join(kept, "bucket").select("bucket", "n", "th", "size")
+
+
+def classes(texts: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
+    """node, root (keys of texts) for every text that is near another one."""
+    table = idf(*document_frequencies(texts))
+    members = common.stored(bucket_members(common.stored(signatures(texts, table, bands, rows), "signatures")), "members")
     found = components(verified_links(texts, members, table, threshold, block, levels))
     cross = cross_links(texts, members, found, table, threshold, block)
     if cross is None or not cross.head(1):
@@ -301,28 +413,30 @@ def classes(texts: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS,
     return found.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(joined.join(found, "node", "left_anti").select("node", "root"))
 
 
-def _with_class(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with __th and __root (the key of its class)."""
-    keyed = docs.withColumn("__th", common.text_key(F.col("text")))
-    back = found.select(F.col("node").alias("__th"), F.col("root").alias("__root"))
-    return keyed.join(back, "__th", "left").withColumn("__root", F.coalesce("__root", "__th"))
+def _with_class(docs: DataFrame, found: DataFrame, key: str, root: str) -> DataFrame:
+    """docs with the columns key (of its text) and root (the key of its class)."""
+    keyed = docs.withColumn(key, common.text_key(F.col("text")))
+    back = found.select(F.col("node").alias(key), F.col("root").alias(root))
+    return keyed.join(back, key, "left").withColumn(root, F.coalesce(root, key))
 
 
 def near_duplicates(docs: DataFrame, **params) -> DataFrame:
     """Per row: doc_id, class_id (the smallest doc_id of its class) and class_size (its rows)."""
     found = classes(common.distinct_texts(docs.select("text"), "texts"), **params)
-    rows = common.stored(_with_class(docs.select("doc_id", "text"), found).select("doc_id", "__root"), "classes")
-    return rows.join(rows.groupBy("__root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "__root").select("doc_id", "class_id", "class_size")
+    rows = common.stored(_with_class(docs.select("doc_id", "text"), found, "th", "root").select("doc_id", "root"), "classes")
+    # The second exchange of the aggregate lets Spark split a hot class on the other side.
+    known = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).repartition("root")
+    return rows.join(known, "root").select("doc_id", "class_id", "class_size")
 
 
 def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
     """One row of each class stays: the one of the smallest doc_id (null last), then text key, then other columns' hash."""
     texts = common.distinct_texts(docs.select("text"), "texts")
     found = classes(texts, **params)
-    others = [c for c in docs.columns if c != "text"]
-    small = docs.select(*others, "text").withColumn("__null", F.col("text").isNull())
-    rows = _with_class(small, found).drop("text")
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "__th", F.xxhash64(*others))
-    kept = rows.groupBy("__root").agg(F.min_by(F.struct("__th", "__null", *others), first).alias("__row")).select("__row.*")
-    joined = kept.join(texts.select(F.col("th").alias("__th"), F.col("text").alias("__text")), "__th")
-    return joined.select([F.when(~F.col("__null"), F.col("__text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    key, root, empty, row = common.free_names(docs.columns, "key", "root", "empty", "row")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rows = _with_class(docs.select(*others, "text", F.col("text").isNull().alias(empty)), found, key, root).drop("text")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", key, F.xxhash64(*others))
+    kept = rows.groupBy(root).agg(F.min_by(F.struct(key, empty, *others), first).alias(row)).select(f"{row}.*")
+    joined = kept.join(texts.select(F.col("th").alias(key), "text"), key)
+    return joined.select([F.when(~F.col(empty), F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

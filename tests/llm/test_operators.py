@@ -105,6 +105,79 @@ def test_near_duplicates_in_many_blocks(spark):
     assert split == whole and len(set(whole.values())) < len(texts) / 4
 
 
+def brute_similarities(texts):
+    """Weighted Jaccard similarity of all pairs, with exact document frequencies over different texts."""
+    def counted(t):
+        w = t.lower().split()
+        return Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+
+    rows, n = [counted(t) for t in texts], len(set(texts))
+    df = Counter(x for t in set(texts) for x in counted(t))
+    weight = lambda x, k: k * (1 + neardup.SPAN * np.log(n / df[x]) / np.log(max(n, 2)))
+    out = np.zeros((len(texts), len(texts)))
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows[:i]):
+            both = sum(weight(x, min(k, b[x])) for x, k in a.items() if x in b)
+            out[i, j] = out[j, i] = both / max(1e-9, sum(weight(x, k) for x, k in (a | b).items()))
+    return out
+
+
+def edited(rng, n, words=120, edits=10, spare=60):
+    """Texts that replace up to ``edits`` words of one text by ``spare`` others."""
+    base, out = [f"b{x % 90}" for x in range(words)], []
+    for _ in range(n):
+        w = list(base)
+        for p in rng.choice(words, int(rng.integers(1, edits)), replace=False):
+            w[p] = f"e{rng.integers(0, spare)}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("spare", [3, 60, 5000])
+def test_near_duplicates_equal_brute_force(spark, spare):
+    """All texts in one bucket of many blocks: every pair above the threshold is in one class, which only such pairs join."""
+    rng = np.random.default_rng(spare)
+    texts = [*edited(rng, 110, spare=spare), *(" ".join(f"q{x}" for x in rng.integers(0, 50, 80)) for _ in range(10)), "b1 b2 b3 " * 40, "b1 b2 b3 " * 36]
+    sim = brute_similarities(texts)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(table(spark, texts), bands=1, rows=0, block=4, levels=1).collect()}
+    label = np.array([got[i] for i in range(len(texts))])
+    assert (label[:, None] == label[None])[sim >= 0.801].all()
+    for c in set(label):  # connected by pairs of 0.799 or more (counts of the sketch are estimates)
+        own = np.flatnonzero(label == c)
+        reached, todo = {own[0]}, [own[0]]
+        while todo:
+            i = todo.pop()
+            for j in own:
+                if j not in reached and sim[i, j] >= 0.799:
+                    reached.add(j)
+                    todo.append(j)
+        assert len(reached) == len(own)
+
+
+def test_texts_without_partner_drop_out(spark, monkeypatch):
+    """Texts with edits of their own need no comparison with each other, however many share a bucket."""
+    seen, real = [], neardup.common.stored
+
+    def stored(df, tag):
+        out = real(df, tag)
+        if tag == "partners":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup.common, "stored", stored)
+    for n in (150, 300):
+        texts = edited(np.random.default_rng(n), n, words=400, edits=60, spare=10**9)
+        neardup.near_duplicates(table(spark, texts), bands=1, rows=0, block=8).count()
+    assert len(seen) == 2 and seen[0] <= 0.3 * 150 and seen[1] <= 0.3 * 300
+
+
+def test_near_duplicates_keep_other_columns(spark):
+    rows = [(2, "a b c d e f", 1, 7), (1, "a b c d e f", 2, 8), (1, None, 3, 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, `__root` int, `__KEY` int")
+    got = neardup.drop_near_duplicates(d)
+    assert got.columns == d.columns and sorted((r.doc_id, r.text or "", r[2], r[3]) for r in got.collect()) == [(1, "", 3, 9), (1, "a b c d e f", 2, 8)]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 200), (200, 100), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}

@@ -1,14 +1,11 @@
 import array
 import zlib
 
+import numpy as np
+
 import corpus_pipeline
 from morphspark.llm import common, toxicity, tokens
-from tests.llm.test_operators import SF, brute_substring
-
-
-def shingles(text):
-    w = (text or "").lower().split()
-    return frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+from tests.llm.test_operators import SF, brute_similarities, brute_substring
 
 
 def test_pipeline_by_stage(spark):
@@ -26,11 +23,12 @@ def test_pipeline_by_stage(spark):
             scores = {r.doc_id: r.predicted for r in toxicity.toxicity(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")).collect()}
             assert after.keys() == {i for i in before if not scores[i]}
         elif name == "near_duplicates":
-            sets = {i: shingles(r.text) for i, r in before.items()}
-            near = lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0  # noqa: B023, E731
-            kept = sorted(after)
-            assert not [(a, b) for k, a in enumerate(kept) for b in kept[k + 1:] if sets[a] and near(a, b)]
-            assert all(any(near(i, j) for j in before if j != i) for i in before.keys() - after.keys())
+            ids = sorted(before)
+            sim = brute_similarities([before[i].text or "" for i in ids])
+            kept = np.array([i in after for i in ids])
+            assert not (sim[kept][:, kept] >= 0.801).any()
+            gone = np.flatnonzero(~kept)
+            assert all((sim[k] >= 0.799).any() or any((before[j].text or "") == (before[ids[k]].text or "") for j in after) for k in gone)
         elif name == "substring_dedup":
             assert after.keys() == before.keys()
             for i, want in zip(sorted(before), brute_substring([before[i].text for i in sorted(before)])):
