@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -391,3 +392,90 @@ def test_html(spark):
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame([(1, "u", page), (2, "u", None), (3, "u", ""), (4, None, "plain &lt;x")], "page_id long, url string, html string")).collect()}
     assert got[1].text == "T & t\n\nLong text of the article, with words.\n\nBe. x" and got[1].n_chars == len(got[1].text)
     assert got[2].text == got[3].text == "" and got[4].text == "plain <x"
+
+
+WORDS = "some words of the article, which go on for a while. "
+CORE = f"<h1>Title</h1><p>{WORDS * 9}</p><p>Short one.</p><p>{WORDS * 7}</p>"
+TEXT = ["Title", (WORDS * 9).strip(), "Short one.", (WORDS * 7).strip()]
+
+
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<div id=page><div class='post'>%s</div></div>", "<main><div>%s</div></main>", "<div class='content has-sidebar'>%s</div>", "%s"])
+@pytest.mark.parametrize("furniture", [
+    "<nav><ul><li><a href=a>Home</a><li><a href=b>About</a></ul></nav>", "<header><a href=/>Site name</a> slogan of the site</header>", "<footer>All rights reserved.</footer>", "<aside>On the side.</aside>",
+    "<div class='sidebar-left'>Popular: words and words</div>", "<div class=ad>Buy this thing now!</div>", "<form>Search <input name=q></form>", "<div id='cookie-notice'>This site uses cookies, as sites do, to know its readers.</div>",
+    "<section id=comments><p>A reader says that it is long, and so on and on and on and on and on and on.</p></section>", "<div class='share'><a href=x>Post it</a></div>", "<div class='related'><a href=1>One more</a> <a href=2>And another</a></div>",
+    "<script>document.write('<p>x</p>')</script>", "<style>p{}</style>", "<div role='navigation'>Menu words</div>", "<div hidden>Not seen</div>", "<div><a href=1>Unmarked teaser of a story</a> <a href=2>Unmarked teaser of another</a></div>"])
+def test_html_furniture(wrap, furniture):
+    """Furniture of each kind goes, before the article or after it, and all else stays."""
+    for page in (furniture + wrap % CORE, wrap % CORE + furniture):
+        assert html_text.main_text(f"<html><body>{page}</body></html>").split("\n\n") == TEXT
+
+
+def test_html_keeps_the_article_whole():
+    text = lambda x: html_text.main_text(x).split("\n\n")
+    long = WORDS * 8
+    assert text(f"<article><p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi></math> and {long}</p></article>") == [f"Energy E=m and {long}".strip()]
+    assert text(f"<article><p>{long}</p><section class='related-work'><h2>Related work</h2><p>{long}</p></section></article>") == [long.strip(), "Related work", long.strip()]
+    assert text(f"<div><table><tr><td>a<td>b<tr><td>c</table><p>{long}</div>") == ["a b", "c", long.strip()]
+    assert text(f"<div class=c><h1>T</h1><p>{long}</p></div><div>Copyright of the site.</div>") == ["T", long.strip()]  # no article, no class
+    assert text(f"<main><article><p>{long}</p></article><p>Line of the site.</p></main>") == [long.strip()]
+    assert text("<b>x" * 3) == ["xxx"] and text("<p>a<p>b") and html_text.main_text("<nav>only</nav>") == ""
+
+
+def test_html_densities_equal_brute_force(spark):
+    """Counts, densities and sums of every node against a walk of each subtree by itself."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").limit(15).collect()] + [f"<div>{CORE}<ul><li><a href=a>x <b>y</b></a> z<li>w</ul></div><p>tail"]
+    for page in pages:
+        root = html_text.tree(page)
+        html_text.prune(root)
+        order = html_text.measure(root)
+
+        def walk(node, linked=False):
+            linked = linked or node.tag == "a"
+            chars = [(len("".join(x.split())), linked) for x in node.children if isinstance(x, str)]
+            inner = [x for x in node.children if not isinstance(x, str)]
+            tags = [(1, linked or x.tag == "a") for x in inner]
+            for x in inner:
+                c, t = walk(x, linked)
+                chars, tags = chars + c, tags + t
+            return chars, tags
+
+        totals = {}
+        share = sum(n for n, linked in walk(root)[0] if linked) / max(1, sum(n for n, _ in walk(root)[0]))
+        for node in order:
+            if node.tag == "a" or any(x.tag == "a" for x in ancestors(node)):
+                continue  # the measure of a link itself counts its own tag
+            chars, tags = walk(node)
+            c, lc = sum(n for n, _ in chars), sum(n for n, linked in chars if linked)
+            t, lt = max(1, len(tags)), max(1, sum(linked for _, linked in tags))
+            base = np.log(c * lc / max(1, c - lc) + share * c + np.e)
+            inner = c / max(1, lc) * t / lt
+            want = 0.0 if not c or base > 1 and inner <= 1 else c / t * (np.log(inner) / np.log(base) if base > 1 else 1.0)
+            assert (node.chars, node.link_chars) == (c, lc) and node.density == pytest.approx(want)
+            totals[id(node)] = node.density
+        best = max(order, key=lambda x: x.total)
+        assert best.total == pytest.approx(sum(len(x) for x in best.children if isinstance(x, str) and not x.isspace()) + sum(x.density for x in best.children if not isinstance(x, str)))
+
+
+def ancestors(node):
+    while node.parent is not None:
+        node = node.parent
+        yield node
+
+
+def test_html_time_grows_with_the_page():
+    for part in ("<b>", "<div class=ad>", "<div class=related>", "<ul><li>", "<td>", "</p>", "<p>x"):
+        took = []
+        for n in (4000, 32000):
+            start = time.perf_counter()
+            html_text.main_text(part * n + "x")
+            took.append(time.perf_counter() - start)
+        assert took[1] < 30 * max(took[0], 0.02), part
+
+
+def test_html_odd_tables(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None)], "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
+    assert sorted((r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [("", 0), ("a", 1), ("a", 1)]
+    assert html_text.extract(pages.limit(0)).count() == 0
+    big = html_text.main_text(f"<article><p>{WORDS * 40_000}</p></article>")
+    assert big == (WORDS * 40_000).strip()
