@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from morphspark.llm import common
+
 TABLES, PROBES, BLOCK, SEED = 10, 10, 4096, 20240229
 
 
@@ -159,7 +161,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, dim: int | None = N
                     a, i, d = search_batch(batch.column(0).to_numpy(), x, q_ids, q, lists, signs, k)
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(i), pa.array(d)], ["query_id", "vec_id", "score"])
 
-        return base.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+        return base.mapInArrow(common.freed(run), "query_id bigint, vec_id bigint, score double")
 
     ids, vectors = [], []
     for r in asked.toLocalIterator():

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text worked on at once by the numpy code; one longer text is one chunk.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Words longer than this are hashed one by one.
 LONG_WORD = 512
 
@@ -57,6 +58,26 @@ def free_names(taken: list[str], *stems: str) -> list[str]:
     return out
 
 
+def apart(df: DataFrame, key: str) -> DataFrame:
+    """An aggregate by ``key``, dealt by another hash: a join back by the key then has an exchange on
+    either side, so that Spark can split the rows of a hot key (it can't below an aggregate's own exchange)."""
+    return df.repartition(F.xxhash64(key))
+
+
+def freed(run: Callable) -> Callable:
+    """``run`` (for mapInArrow), which in the end gives the memory back that a reused Python worker would keep."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+    return wrapped
+
+
 def text_key(text: Column) -> Column:
     """128-bit key of a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

@@ -25,10 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(now)
     for _ in range(ROUNDS):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # The second exchange of an aggregate lets Spark split a hub on the join's other side.
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("u")
+        least = common.apart(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).repartition("u")
+        low = common.apart(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = large.join(low, "u").select("u", "v", "m")
         now = common.stored(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
         before, state = state, _state(now)

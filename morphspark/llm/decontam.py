@@ -79,7 +79,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         return pa.table({"slice": table.column("slice")[:1], "part": table.column("part")[:1], "counts": pa.array([acc.tobytes()])})
 
     schema = "slice int, part int, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema).groupBy("slice", "part").applyInArrow(total, schema).groupBy("slice").applyInArrow(total, schema)
+    parts = docs.select("text").mapInArrow(common.freed(count), schema).groupBy("slice", "part").applyInArrow(total, schema).groupBy("slice").applyInArrow(total, schema)
     told = {r.slice: np.frombuffer(r.counts, np.int64) for r in parts.collect()}  # 65 rows of fixed size
     if not told:
         return np.zeros(1 << SLOTS, np.int64), 0
@@ -106,7 +106,7 @@ def latent_space(items: DataFrame, weight: np.ndarray, rank: int = RANK, rounds:
                 off = pa.array(woff.astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(off, pa.array(s.astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(w.astype(np.float64)))], ["slots", "weights"])
 
-    rows = common.stored(items.select("text").mapInArrow(featurize, "slots array<int>, weights array<double>"), "items")
+    rows = common.stored(items.select("text").mapInArrow(common.freed(featurize), "slots array<int>, weights array<double>"), "items")
     slots = np.array(sorted(r[0] for r in rows.select(F.explode("slots").alias("s")).distinct().collect()), np.int64)  # at most 2**SLOTS
     rank = min(rank, len(slots), max(1, rows.count()))
     place = np.full(1 << SLOTS, -1, np.int64)
@@ -138,7 +138,7 @@ def latent_space(items: DataFrame, weight: np.ndarray, rank: int = RANK, rounds:
             return pa.table({"at": table.column("at")[:1], "v": pa.array([sum(np.frombuffer(x.as_buffer()) for x in table.column("v")).tobytes()])})
 
         out = np.zeros_like(m)
-        for r in rows.mapInArrow(run, "at bigint, v binary").groupBy("at").applyInArrow(total, "at bigint, v binary").toLocalIterator():
+        for r in rows.mapInArrow(common.freed(run), "at bigint, v binary").groupBy("at").applyInArrow(total, "at bigint, v binary").toLocalIterator():
             out[r.at] = np.frombuffer(r.v)
         sent.unpersist()
         return out
@@ -289,7 +289,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, items_per_block: int = ITEMS) ->
                 columns = [*batch.columns[:at], pa.array([sorted(x.items()) for x in leaks], kind)]
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-        return df.mapInArrow(run, schema)
+        return df.mapInArrow(common.freed(run), schema)
 
     ids, texts = [], []
     for r in items.toLocalIterator():

@@ -341,4 +341,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(x or "") for x in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(common.freed(run), "page_id bigint, url string, text string, n_chars bigint")

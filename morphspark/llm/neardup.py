@@ -57,7 +57,7 @@ from morphspark.llm import common
 from morphspark.llm.components import components
 
 SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK, LEVELS = 5, 0.8, 10, 3, 128, 4
-SLOTS, DEPTH, SPAN = 20, 2, 0.25
+SLOTS, DEPTH, SPAN = 19, 2, 0.25
 #: Shingles of a bucket that one task holds in step 5, and room for rounding there.
 SLICE, SLACK = 1 << 20, 1e-6
 PART = 1 << 20
@@ -113,17 +113,16 @@ def document_frequencies(texts: DataFrame, most: int = SLOTS) -> tuple[np.ndarra
                 for row, slots in zip(sketch, _slots(g, bits)):
                     row += np.bincount(slots, minlength=1 << bits)
         pieces, part = np.split(sketch.ravel(), cut), TaskContext.get().partitionId() % 64
-        yield pa.RecordBatch.from_arrays([pa.array(range(cut), pa.int32()), pa.array([part] * cut, pa.int32()), pa.array([p.tobytes() for p in pieces])], ["slice", "part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(cut), pa.int32()), pa.array([part] * cut, pa.int32()), pa.array([p.astype(np.int32).tobytes() for p in pieces])], ["slice", "part", "counts"])
 
     def total(table: pa.Table) -> pa.Table:
-        acc = None
+        acc = np.zeros(size // cut, np.int64)
         for x in table.column("counts"):
-            own = np.frombuffer(x.as_buffer(), np.int64)
-            acc = own.copy() if acc is None else acc + own
+            acc += np.frombuffer(x.as_buffer(), np.int64 if len(x.as_buffer()) == 8 * len(acc) else np.int32)
         return pa.table({"slice": table.column("slice")[:1], "part": table.column("part")[:1], "counts": pa.array([acc.tobytes()])})
 
     schema = "slice int, part int, counts binary"
-    parts = texts.select("text").mapInArrow(count, schema).groupBy("slice", "part").applyInArrow(total, schema).groupBy("slice").applyInArrow(total, schema)
+    parts = texts.select("text").mapInArrow(common.freed(count), schema).groupBy("slice", "part").applyInArrow(total, schema).groupBy("slice").applyInArrow(total, schema)
     sketch = np.zeros((cut, size // cut), np.int64)
     for r in parts.collect():  # 64 rows of bounded size
         sketch[r.slice] = np.frombuffer(r.counts, np.int64)
@@ -186,7 +185,7 @@ def signatures(texts: DataFrame, table: np.ndarray, bands: int, rows: int) -> Da
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(has + lo)), pa.array(np.add.reduceat(tf, off[has]).astype(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(has) * bands + 1, bands, dtype=np.int32)), pa.array(h.ravel().view(np.int64)))], ["th", "size", "buckets"])
 
-    return texts.select("th", "text").mapInArrow(run, "th binary, size bigint, buckets array<bigint>")
+    return texts.select("th", "text").mapInArrow(common.freed(run), "th binary, size bigint, buckets array<bigint>")
 
 
 def nearness(texts: list[str], table: np.ndarray, threshold: float):
@@ -329,7 +328,7 @@ def _profiles(texts: DataFrame, members: DataFrame, table: np.ndarray, threshold
         return pa.table({"bucket": pa.array([t.column("bucket")[0].as_py()] * n, pa.int64()), "th": pa.array(keys, pa.binary()), "e": pa.array(e), "g": pa.array(g)})
 
     asked = members.groupBy("th").agg(F.collect_list(F.struct("bucket", "slices")).alias("asked"))  # at most one a band
-    packed = texts.select("th", "text").join(asked, "th").mapInArrow(pack, "bucket bigint, slice bigint, keys array<binary>, sizes array<bigint>, shingles binary, weights binary")
+    packed = texts.select("th", "text").join(asked, "th").mapInArrow(common.freed(pack), "bucket bigint, slice bigint, keys array<binary>, sizes array<bigint>, shingles binary, weights binary")
     parts = packed.groupBy("bucket", "slice").applyInArrow(profile, "bucket bigint, th binary, e double, g double")
     return parts.groupBy("bucket", "th").agg(F.sum("e").alias("e"), F.sum("g").alias("g"))
 
@@ -338,7 +337,7 @@ def _partners(rows: DataFrame) -> DataFrame:
     """rows (bucket, th, root, minor, e, g) that may link a minor text (outside the largest class, x) with another one (y)."""
     rows = rows.select("*", F.col("minor").alias("x"), F.lit(True).alias("y"))
     for side, other in (("y", "x"), ("x", "y"), ("y", "x")):
-        reach = rows.where(other).groupBy("bucket").agg(F.min("e").alias("least"), F.max("g").alias("most")).repartition("bucket")
+        reach = common.apart(rows.where(other).groupBy("bucket").agg(F.min("e").alias("least"), F.max("g").alias("most")), "bucket")
         meets = (F.col("g") + SLACK >= F.col("least")) & (F.col("e") <= F.col("most") + SLACK)
         rows = rows.join(reach, "bucket").withColumn(side, F.col(side) & meets).drop("least", "most")
     return rows.where("x or y")
@@ -354,8 +353,8 @@ def cross_links(texts: DataFrame, members: DataFrame, found: DataFrame, table: n
     rows = common.stored(rooted.select("bucket", "th", "size", "root"), "rooted")
     sizes = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("size"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("size").alias("all")).where("roots > 1")
-    mixed = mixed.select("bucket", F.col("main.root").alias("main"), F.ceil(F.col("all") / SLICE).cast("bigint").alias("slices")).repartition("bucket")
-    dealt = common.stored(rows.join(mixed, "bucket").select("bucket", "th", "root", (F.col("root") != F.col("main")).alias("minor"), "slices"), "mixed")
+    mixed = mixed.select("bucket", F.col("main.root").alias("main"), F.ceil(F.col("all") / SLICE).cast("bigint").alias("slices"))
+    dealt = common.stored(rows.join(common.apart(mixed, "bucket"), "bucket").select("bucket", "th", "root", (F.col("root") != F.col("main")).alias("minor"), "slices"), "mixed")
     if not dealt.head(1):
         return None
     known = common.stored(dealt.join(_profiles(texts, dealt, table, threshold), ["bucket", "th"]), "profiles")
@@ -424,8 +423,7 @@ def near_duplicates(docs: DataFrame, **params) -> DataFrame:
     """Per row: doc_id, class_id (the smallest doc_id of its class) and class_size (its rows)."""
     found = classes(common.distinct_texts(docs.select("text"), "texts"), **params)
     rows = common.stored(_with_class(docs.select("doc_id", "text"), found, "th", "root").select("doc_id", "root"), "classes")
-    # The second exchange of the aggregate lets Spark split a hot class on the other side.
-    known = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")).repartition("root")
+    known = common.apart(rows.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")), "root")
     return rows.join(known, "root").select("doc_id", "class_id", "class_size")
 
 

@@ -116,7 +116,7 @@ def run_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                         [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((first - woff[text]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), signed(group), signed(b1), signed(b2)],
                         ["th", "copies", "start", "length", "g", "b1", "b2"])
 
-    return texts.select("th", "copies", "text").mapInArrow(run, "th binary, copies bigint, start int, length int, g bigint, b1 bigint, b2 bigint")
+    return texts.select("th", "copies", "text").mapInArrow(common.freed(run), "th binary, copies bigint, start int, length int, g bigint, b1 bigint, b2 bigint")
 
 
 def deep_leaves(groups: np.ndarray, words: list[np.ndarray], window: int) -> list[np.ndarray]:
@@ -190,12 +190,12 @@ def repeated_runs(texts: DataFrame, window: int, gram: int, group: int) -> DataF
         F.min(F.struct("th", "start", "length", "blocks", (F.col("n") == 1).alias("asks"))).alias("x")).select("g", "x.*")
     asked = places.where("asks").select("g").distinct()
     per_text = places.join(asked, "g", "left_semi").groupBy("th").agg(F.collect_list(F.struct("g", "start", "length", "blocks", "asks")).alias("places"))
-    fetched = common.stored(texts.select("th", "text").join(per_text, "th").mapInArrow(_fetch(window), "th binary, g bigint, start int, length int, blocks bigint, asks boolean, words binary"), "blocks")
+    fetched = common.stored(texts.select("th", "text").join(per_text, "th").mapInArrow(common.freed(_fetch(window)), "th binary, g bigint, start int, length int, blocks bigint, asks boolean, words binary"), "blocks")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = (fetched.where(F.col("blocks") <= group).repartition(parts, "g").sortWithinPartitions("g")
-             .mapInArrow(_leaves(window), "th binary, start int, length int, marks binary"))
+             .mapInArrow(common.freed(_leaves(window)), "th binary, start int, length int, marks binary"))
     # Groups beyond that: each suffix's whole window is its prefix.
-    large = fetched.where(F.col("blocks") > group).mapInArrow(_windows(window), "g bigint, w1 bigint, w2 bigint, th binary, start int, length int, at int, asks boolean")
+    large = fetched.where(F.col("blocks") > group).mapInArrow(common.freed(_windows(window)), "g bigint, w1 bigint, w2 bigint, th binary, start int, length int, at int, asks boolean")
     twice = large.groupBy("g", "w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "w1", "w2")
     found = large.where("asks").join(twice, ["g", "w1", "w2"], "left_semi").groupBy("th", "start", "length").agg(F.collect_set("at").alias("ats"))
     marks = F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda i: F.when(F.array_contains("ats", i), F.lit("01")).otherwise(F.lit("00")))
@@ -284,7 +284,7 @@ def removal(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(woff)), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["th", "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(run, "th binary, n_words bigint, n_removed bigint, kept string")
+    return joined.mapInArrow(common.freed(run), "th binary, n_words bigint, n_removed bigint, kept string")
 
 
 def _join(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:

@@ -150,7 +150,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, edit=None) -> Da
                     rows.append((n, tree.n_tokens, tree.n_chars, tree.n_pieces, tree.recoded))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows))], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", edits.alias("edits")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", edits.alias("edits")).mapInArrow(common.freed(run), SCHEMA)
 
 
 def standard_edits(docs: DataFrame) -> DataFrame:

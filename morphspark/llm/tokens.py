@@ -23,7 +23,7 @@ FAST = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+
 #: Latin, Greek and Cyrillic letters, ASCII and general punctuation: there FAST equals the pattern.
 SURE = re.compile(r"[\x09-\x0D\x20-\x7EÀ-ɏͰ-ͳΆ-҂Ҋ-ԯ‐-‧‰-⁞]*")
 #: Entries of a memory of pre-tokens or parts; beyond it that memory starts anew.
-MEMORY = 1_000_000
+MEMORY = 250_000
 
 
 def vocabulary(name: str = TOKENIZER) -> str:

@@ -110,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, sample: int = SA
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(1), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(slots))], ["shard", "toxic", "slots"])
 
     w, seen = np.zeros((1 << bits) + 1), 0
-    data = picked.mapInArrow(featurize, "shard int, toxic double, slots array<int>")
+    data = picked.mapInArrow(common.freed(featurize), "shard int, toxic double, slots array<int>")
     for r in data.groupBy("shard").applyInArrow(_shard(bits, epochs), "at binary, w binary").toLocalIterator():  # a row a shard, 2**bits weights at most
         w[np.frombuffer(r.at, np.int32)] += np.frombuffer(r.w, np.float32)
         seen += 1
@@ -136,7 +136,7 @@ def score(docs: DataFrame, w: np.ndarray, bits: int = BITS) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(part.schema) - 1)), pa.array(p)], [*part.schema.names[:-1], "score"])
 
-    return docs.mapInArrow(run, "doc_id bigint, held_out boolean, score double")
+    return docs.mapInArrow(common.freed(run), "doc_id bigint, held_out boolean, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
@@ -167,4 +167,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **par
                     yield part
 
     assert docs.columns[at] == "text"
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.freed(run), docs.schema)

@@ -137,7 +137,7 @@ def read(spark, path: str, with_payload: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     out = T.StructType([f for f in schema if with_payload or f.name != "payload"])
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, out)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(common.freed(run), out)
 
 
 def archive(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
