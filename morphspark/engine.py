@@ -10,11 +10,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphspark.errors import InvalidOperation, MissingModel, UnknownOperation
+from morphspark.errors import Diagnostics, InvalidOperation, MissingModel, MorphError, UnknownClass, UnknownOperation
 from morphspark.evaluate import Evaluator
 from morphspark.lang import ast as A
 from morphspark.lang.parser import parse_expression, parse_module
 from morphspark.metamodel import Metamodel, Model
+from morphspark.operators.ranks import global_rank
 from morphspark.plans.compiler import Compiler
 from morphspark.plans.rules import RuleSet
 from morphspark.plans.values import Frame, ObjV, SetV, TupleV, V, column
@@ -33,6 +34,8 @@ class RunReport:
     error: str | None = None
     rules: dict[str, int] = field(default_factory=dict)
     elements: dict[str, int] = field(default_factory=dict)
+    #: How often the plans hold each helper and each navigation.
+    uses: dict[str, int] = field(default_factory=dict)
 
     @property
     def created(self) -> int:
@@ -45,25 +48,45 @@ class RunReport:
         lines = [f"{'done' if self.successful else 'failed: ' + str(self.error)} in {self.seconds:.3f} s, {self.created} elements ({self.efficiency():.0f} a second)"]
         lines += [f"  rule {n}: {c} matches" for n, c in self.rules.items()]
         lines += [f"  class {n}: {c} elements" for n, c in self.elements.items()]
+        lines += [f"  {n}: {c} in the plans" for n, c in sorted(self.uses.items())]
         return "\n".join(lines)
 
 
 class Result:
     """Target models by alias, the trace, and the plans behind them."""
 
-    def __init__(self, models: dict[str, Model], trace: DataFrame, rules: RuleSet, started: float):
+    def __init__(self, models: dict[str, Model], trace: DataFrame, rules: RuleSet, started: float, diagnostics: Diagnostics | None = None):
         self.models, self.trace, self.rules, self.started = models, trace, rules, started
+        self.diagnostics = diagnostics or Diagnostics()
 
     def __getitem__(self, alias: str) -> dict[str, DataFrame]:
         return self.models[alias].tables
 
+    def find_element(self, element_id: str) -> DataFrame:
+        """model, _id, _class of the element with that id; of the targets if one of them has it, else of the sources."""
+        parts = [t.select(F.lit(0).alias("side"), F.lit(a).alias("model"), "_id", "_class") for a, m in self.models.items() for t in m.tables.values()]
+        parts += [m.element(element_id).select(F.lit(1).alias("side"), F.lit(a).alias("model"), "_id", "_class") for a, m in self.rules.models.items() if any(map(m.metamodel.key, m.tables))]
+        return reduce(DataFrame.union, parts).where(F.col("_id") == element_id).orderBy("side").limit(1).drop("side")
+
+    def extent(self, cls: str) -> DataFrame:
+        """All elements of a class by its bare name: a target class if there is one, else a source class."""
+        for m in self.models.values():
+            if cls in m.tables:
+                return m.tables[cls]
+        for m in self.rules.models.values():
+            if cls in m.metamodel.classes:
+                e = m.extent(cls, "e")
+                return e.select(*[F.col(f"`{c}`").alias(c.removeprefix("e__").replace("$", "")) for c in e.columns])
+        raise UnknownClass(cls)
+
     def report(self) -> RunReport:
-        report = RunReport()
+        report = RunReport(uses=dict(self.rules.compiler.uses))
         try:
             report.rules = {r["rule"]: r["n"] for r in self.trace.groupBy("rule").agg(F.count_distinct("source_id").alias("n")).collect()}  # a row a rule
             report.elements = {f"{a}!{c}": t.count() for a, m in self.models.items() for c, t in m.tables.items()}
         except Exception as e:  # noqa: BLE001
             report.successful, report.error = False, str(e)
+            self.diagnostics.error(str(e))
         report.seconds = time.time() - self.started
         return report
 
@@ -75,6 +98,7 @@ class Engine:
         self.metamodels = metamodels or {}
         self.models: dict[str, Model] = {}
         self.helpers: dict = {}
+        self.diagnostics = Diagnostics()
 
     @classmethod
     def load(cls, spark: SparkSession, path: str | Path, **options) -> Engine:
@@ -105,12 +129,34 @@ class Engine:
             raise UnknownOperation(f"no query {name}")
         return self.evaluate(q.body)
 
-    def evaluate(self, expression: A.Expr | str) -> DataFrame:
-        """The value of an expression as rows: tuples a column a field, elements their attributes, else `value`."""
+    def evaluate(self, expression: A.Expr | str, position: str | None = None) -> DataFrame:
+        """The value of an expression as rows: tuples a column a field, elements their attributes, else `value`.
+
+        A sequence comes in its order. ``position`` names a column for the 1-based place in it.
+        """
         e = parse_expression(expression) if isinstance(expression, str) else expression
         compiler = self.compiler()
         one = Frame(self.spark.range(1), [])
-        return to_frame(compiler.lower(e, {}, one), one, compiler)
+        return to_frame(compiler.lower(e, {}, one), one, compiler, position)
+
+    def explain(self, expression: A.Expr | str, mode: str = "formatted") -> str:
+        """The physical plan of an expression."""
+        df = self.evaluate(expression)
+        return self.spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
+
+    def cache(self) -> Engine:
+        """Keep the source tables once they have been read."""
+        for m in self.models.values():
+            m.cache()
+        return self
+
+    def clear_caches(self) -> None:
+        for m in self.models.values():
+            m.uncache()
+
+    def cache_statistics(self) -> dict[str, int]:
+        """Tables of each source model that are kept."""
+        return {a: sum(t.storageLevel.useMemory for t in m.tables.values()) for a, m in self.models.items()}
 
     def constant(self, expression: A.Expr | str):
         """The value of an expression that needs no model, on the driver."""
@@ -119,9 +165,21 @@ class Engine:
 
     # transformations
 
-    def run(self, targets: dict[str, Metamodel] | None = None) -> Result:
-        """Run all matched rules and the lazy and called rules they ask for. Lazy: nothing is computed yet."""
+    def run(self, targets: dict[str, Metamodel] | None = None, strict: bool = False) -> Result:
+        """Run all matched rules and the lazy and called rules they ask for. Lazy: nothing is computed yet.
+
+        strict: a reference to an element that no rule matched is an error when it is read, not null.
+        """
+        try:
+            return self._run(targets, strict)
+        except MorphError as e:
+            self.diagnostics.error(f"{type(e).__name__}: {e}")
+            raise
+
+    def _run(self, targets: dict[str, Metamodel] | None, strict: bool) -> Result:
         started = time.time()
+        for w in self.module.warnings:
+            self.diagnostics.warning(w)
         for alias, mm in self.module.sources:
             if alias not in self.models and mm not in self.models and not any(m.metamodel.name in (alias, mm) for m in self.models.values()):
                 raise MissingModel(f"no model for source {alias}")
@@ -132,11 +190,12 @@ class Engine:
                     models[known] = m
         known = {**{mm: self.metamodels.get(mm) for _, mm in self.module.targets}, **(targets or {})}
         out = {alias: Model(known.get(mm) or known.get(alias) or Metamodel(mm), {}, writable=True) for alias, mm in self.module.targets}
-        rules = RuleSet(self.module, models, out, self.helpers)
+        rules = RuleSet(self.module, models, out, self.helpers, strict)
         made: list[tuple[str, str, DataFrame]] = []
         for rule in self.module.rules:
             if rule.kind == "matched":
                 made += rules.run_matched(rule)
+                self.diagnostics.event(f"rule {rule.name} planned")
         done, lazy = {}, {}
         for _ in range(ROUNDS):  # targets of lazy rules may ask for more of them
             todo = [n for n, asked in rules.requests.items() if len(asked) > done.get(n, 0)]
@@ -155,7 +214,7 @@ class Engine:
             model = next((m for a, m in out.items() if alias in (a, m.metamodel.name)), None) or next(iter(out.values()))
             rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
             model.tables[cls] = model.created[cls] = rows
-        return Result(out, rules.trace(), rules, started)
+        return Result(out, rules.trace(), rules, started, self.diagnostics)
 
     def call(self, rule: str, arguments: DataFrame) -> dict[str, DataFrame]:
         """Targets by class of a called rule, for every row of arguments."""
@@ -166,8 +225,11 @@ class Engine:
         return out
 
 
-def to_frame(v, one: Frame, compiler: Compiler) -> DataFrame:
+def to_frame(v, one: Frame, compiler: Compiler, position: str | None = None) -> DataFrame:
     if isinstance(v, SetV):
+        if v.kind in ("Sequence", "OrderedSet") and v.order and not v.group() and not isinstance(v.element, SetV):
+            v.frame.df = global_rank(v.frame.df, v.order, position) if position else v.frame.df.orderBy(*v.order)
+        place = [position] if position else []
         e, df = v.element, v.frame.df
         if isinstance(e, SetV):
             v = compiler.flatten(v)
@@ -176,10 +238,10 @@ def to_frame(v, one: Frame, compiler: Compiler) -> DataFrame:
             compiler.load(e, v.frame)
             mm = compiler.models[e.alias].metamodel
             names = [n for n in mm.features(e.cls) if f"{e.prefix}__{n}" in v.frame.df.columns]
-            return v.frame.df.select(*[F.col(f"{e.prefix}__{n}").alias(n) for n in names])
+            return v.frame.df.select(*[F.col(f"{e.prefix}__{n}").alias(n) for n in names], *place)
         if isinstance(e, TupleV):
-            return df.select(*[column(x).alias(n) for n, x in e.fields.items()])
-        return df.select(column(e).alias("value"))
+            return df.select(*[column(x).alias(n) for n, x in e.fields.items()], *place)
+        return df.select(column(e).alias("value"), *place)
     if isinstance(v, TupleV):
         return one.df.select(*[column(x).alias(n) for n, x in v.fields.items()])
     if isinstance(v, ObjV):

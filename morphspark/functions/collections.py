@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from morphspark import types as ty
 from morphspark.types import ANY, BOOLEAN, INTEGER, REAL, CollType, MapType, TupleType
 
-ITERATORS = frozenset("select reject collect exists forAll one any sortedBy isUnique closure".split())
+ITERATORS = frozenset("select reject collect exists forAll one any sortedBy isUnique".split())
 
 
 def _unique(kind: str) -> bool:

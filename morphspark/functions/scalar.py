@@ -56,9 +56,9 @@ def _string(name: str, c, args: list, types: list):
     if name in ("contains", "includes"):
         return c.contains(args[0]), BOOLEAN
     if name == "split":
-        return F.split(c, args[0]), CollType("Sequence", STRING)
+        return F.split(c, F.concat(F.lit("\\Q"), args[0], F.lit("\\E"))), CollType("Sequence", STRING)
     if name == "replaceAll":
-        return F.regexp_replace(c, args[0], args[1]), STRING
+        return F.replace(c, args[0], args[1]), STRING
     if name == "toInteger":
         return _int(c), INTEGER
     if name == "toReal":
@@ -140,7 +140,7 @@ def binary(op: str, a, ta, b, tb):
     if op in ("=", "<>"):
         if ta not in (ANY, VOID) and tb not in (ANY, VOID) and ta != tb and {ta, tb} != {INTEGER, REAL} and isinstance(ta, str) and isinstance(tb, str):
             raise TypeMismatch(f"{ta} {op} {tb}")
-        if isinstance(ta, CollType) and isinstance(tb, CollType) and "Set" in (ta.kind, tb.kind):
+        if isinstance(ta, CollType) and isinstance(tb, CollType) and not {"Set", "Bag"}.isdisjoint((ta.kind, tb.kind)):
             a, b = F.array_sort(a), F.array_sort(b)
         return (a == b if op == "=" else a != b), BOOLEAN
     if op in ("<", ">", "<=", ">="):

@@ -181,6 +181,14 @@ class Model:
             raise ReadOnlyModel(self.metamodel.name)
         self.tables[cls] = self.tables[cls].join(keys, keys.columns, "left_anti")
 
+    def cache(self) -> None:
+        """Keep the tables in memory (and on disk beyond it) once they have been read."""
+        self.tables = {n: t.persist() for n, t in self.tables.items()}
+
+    def uncache(self) -> None:
+        for t in self.tables.values():
+            t.unpersist()
+
     def statistics(self) -> dict[str, float]:
         total = sum(t.count() for t in self.tables.values())
         made = sum(t.count() for t in self.created.values())

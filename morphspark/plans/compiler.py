@@ -10,10 +10,11 @@ Nothing runs here; Catalyst plans and executes.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from morphspark import types as ty
@@ -23,6 +24,7 @@ from morphspark.functions import collections as fc
 from morphspark.functions import scalar as fs
 from morphspark.lang import ast as A
 from morphspark.metamodel import Attribute, Model
+from morphspark.operators.ranks import global_rank
 from morphspark.plans.values import Frame, ModuleV, ObjV, SetV, TupleV, TypeV, V, column, type_of
 
 
@@ -47,11 +49,21 @@ def literal(v):
     raise InvalidOperation(f"no column for {type(v).__name__}")
 
 
+def packed(c: Column, order: list[Column]) -> Column:
+    """An aggregate: the values (no nulls) as an array by ``order``, else by themselves."""
+    if not order:
+        return F.array_sort(F.collect_list(c))
+    rows = F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], c.alias("x")))
+    return F.filter(F.transform(F.array_sort(rows), lambda s: s["x"]), lambda x: x.isNotNull())
+
+
 class Compiler:
     def __init__(self, module: A.Module | None, models: dict[str, Model], registered: dict | None = None, rules=None):
         self.module, self.models, self.registered, self.rules = module, models, registered or {}, rules
         self.evaluator = Evaluator(module)
         self.inlining: list[str] = []
+        #: How often each helper was put in place and each class navigated to.
+        self.uses: Counter[str] = Counter()
 
     # models
 
@@ -135,7 +147,7 @@ class Compiler:
             case A.Nav():
                 return self.navigate(self.lower(e.source, env, frame), e.name, frame, env)
             case A.Bin():
-                return self.binary(e.op, self.lower(e.left, env, frame), self.lower(e.right, env, frame))
+                return self.binary(e.op, self.held(self.lower(e.left, env, frame), frame), self.held(self.lower(e.right, env, frame), frame))
             case A.Un(op, operand):
                 v = self.lower(operand, env, frame)
                 t = type_of(v)
@@ -152,9 +164,9 @@ class Compiler:
             case A.Let(name, _, init, body):
                 return self.lower(body, {**env, name: self.lower(init, env, frame)}, frame)
             case A.TupleLit(parts):
-                return TupleV({n: self.lower(x, env, frame) for n, _, x in parts})
+                return TupleV({n: self.held(self.lower(x, env, frame), frame) for n, _, x in parts})
             case A.CollLit(kind, items):
-                values = [self.lower(x, env, frame) for x in items]
+                values = [self.held(self.lower(x, env, frame), frame) for x in items]
                 c, t = fc.literal(kind, [column(v) for v in values], [type_of(v) for v in values])
                 return V(c, t)
             case A.MapLit(items):
@@ -175,6 +187,15 @@ class Compiler:
         t = ty.join(type_of(a), type_of(b))
         return V(F.when(cond, column(a).cast(ty.to_spark(t)) if t != type_of(a) else column(a)).otherwise(column(b).cast(ty.to_spark(t)) if t != type_of(b) else column(b)), t)
 
+    def held(self, v, frame: Frame | None):
+        """A collection of rows as a value of the row that it belongs to: an array column, in the collection's order."""
+        if not isinstance(v, SetV) or frame is None:
+            return v
+        if isinstance(v.element, SetV):
+            v = self.flatten(v)
+        t = ty.CollType(v.kind, type_of(v.element))
+        return V(column(self.aggregate(v, packed(column(v.element), v.order), t, F.array(), frame)), t)
+
     def binary(self, op: str, a, b):
         if isinstance(a, SetV) or isinstance(b, SetV):
             raise InvalidOperation(f"{op} of collections of rows")
@@ -191,6 +212,7 @@ class Compiler:
             return
         model = self.models[obj.alias]
         key = model.metamodel.key(obj.cls)
+        self.uses[f"navigation {obj.cls}"] += 1
         target = model.extent(obj.cls, obj.prefix)
         frame.df = frame.df.join(target, obj.key == target[f"{obj.prefix}__{key}"], "left")
 
@@ -286,6 +308,9 @@ class Compiler:
             found = fc.iterator(name, c, t, body)
         else:
             args = [self.lower(a, env, frame) for a in e.args]
+            if self.rules and t.element == ty.STRING:  # ids of targets beside elements of the source
+                args = [self.rules.resolve(a, None, self, frame) if isinstance(a, SetV) and isinstance(a.element, ObjV) else a for a in args]
+            args = [self.held(a, frame) for a in args]
             found = fc.method(name, c, t, [column(a) for a in args], [type_of(a) for a in args])
             if found is None:
                 return self.helper(name, v, args, env, frame, missing=UnknownOperation(f"{t.kind}.{name}"))
@@ -325,6 +350,7 @@ class Compiler:
             raise missing or UnknownHelper(name)
         if isinstance(h, A.Query):
             return self.lower(h.body, {}, frame)
+        self.uses[f"helper {name}"] += 1
         params = h.params or ()
         if len(params) != len(args):
             raise InvalidOperation(f"{name} takes {len(params)} arguments, not {len(args)}")
@@ -477,7 +503,7 @@ class Compiler:
             if name == "one":
                 return self.aggregate(s, F.count_if(p) == 1, ty.BOOLEAN, F.lit(False), frame)
             if name == "isUnique":
-                return self.aggregate(s, F.count(F.lit(1)) == F.count_distinct(p), ty.BOOLEAN, F.lit(True), frame)
+                return self.aggregate(s, F.count(F.lit(1)) == F.count_distinct(F.struct(p)), ty.BOOLEAN, F.lit(True), frame)
             s.frame.df = s.frame.df.where(p)
             return self.pick(s, True, frame)
         if name in ("size", "count") and not args:
@@ -494,11 +520,13 @@ class Compiler:
             return self.pick(s, False, frame)
         if name == "at":
             n = self.lower(args[0], env, frame)
+            if not s.group() and isinstance(args[0], A.Lit):
+                return self.pick(self.ranked(self.head(s, args[0].value), lambda r: r == column(n)), True, frame)
             return self.pick(self.ranked(s, lambda r: r == column(n)), True, frame)
         if name in ("sum", "max", "min", "avg"):
             t, c = type_of(s.element), column(s.element)
             if name == "sum" and t == ty.REAL:
-                return self.aggregate(s, F.sum(c.cast("decimal(18,2)")).cast("double") if self.exact_sums else F.sum(c), t, F.lit(0.0), frame)
+                return self.aggregate(s, F.sum(c), t, F.lit(0.0), frame)
             expr = {"sum": F.sum, "max": F.max, "min": F.min, "avg": F.avg}[name](c)
             return self.aggregate(s, expr, ty.REAL if name == "avg" else t, F.lit(0).cast("bigint") if name == "sum" else None, frame)
         if name == "count":
@@ -511,10 +539,10 @@ class Compiler:
             return self.index_of(s, self.lower(args[0], env, frame), frame)
         if name in ("subSequence", "subOrderedSet"):
             lo, hi = (column(self.lower(a, env, frame)) for a in args)
-            if not s.group() and isinstance(args[0], A.Lit) and args[0].value == 1 and isinstance(args[1], A.Lit):
-                f = s.frame.copy()
-                f.df = f.df.orderBy(*s.order).limit(args[1].value)
-                return s.but(frame=f)
+            if not s.group() and isinstance(args[1], A.Lit):
+                s = self.head(s, args[1].value)
+                if isinstance(args[0], A.Lit) and args[0].value == 1:
+                    return s
             return self.ranked(s, lambda r: r.between(lo, hi))
         if name in ("asSequence", "asBag"):
             return s.but(kind=name[2:])
@@ -523,7 +551,9 @@ class Compiler:
         if name == "flatten":
             return self.flatten(s)
         if name in ("union", "intersection", "difference", "symmetricDifference", "including", "excluding"):
-            return self.combine(s, name, args[0], env, frame)
+            return self.combine(s, name, self.lower(args[0], env, frame), frame)
+        if name in ("includesAll", "excludesAll"):
+            return self.contains_all(s, self.lower(args[0], env, frame), name == "includesAll", frame)
         if name == "oclIsUndefined":
             return literal(False)
         if fn is None and name in ("select", "reject", "collect"):
@@ -533,7 +563,11 @@ class Compiler:
             return self.helper(name, s, [self.lower(a, env, frame) for a in args], env, frame)
         raise UnknownOperation(f"{s.kind}.{name}")
 
-    exact_sums = True
+    def head(self, s: SetV, n: int) -> SetV:
+        """The first n elements by the collection's order."""
+        f = s.frame.copy()
+        f.df = f.df.orderBy(*s.order).limit(max(0, n))
+        return s.but(frame=f)
 
     def pick(self, s: SetV, first: bool, frame: Frame | None):
         """The first or last element by the collection's order; null if there is none."""
@@ -554,18 +588,23 @@ class Compiler:
     def ranked(self, s: SetV, keep) -> SetV:
         f = s.frame.copy()
         name = f.fresh("rank")
-        w = Window.partitionBy(*[F.col(f"`{k}`") for k in s.group()]).orderBy(*s.order)
-        f.df = f.df.withColumn(name, F.row_number().over(w)).where(keep(F.col(f"`{name}`"))).drop(name)
+        f.df = self.numbered(f.df, s, name).where(keep(F.col(f"`{name}`"))).drop(name)
         return s.but(frame=f)
 
+    def numbered(self, df: DataFrame, s: SetV, name: str) -> DataFrame:
+        """df with the 1-based place of each element in its collection."""
+        if not s.group():
+            return global_rank(df, s.order, name)
+        w = Window.partitionBy(*[F.col(f"`{k}`") for k in s.group()]).orderBy(*s.order)
+        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
+
     def index_of(self, s: SetV, v, frame: Frame | None) -> V:
         """1-based place; 0 if absent."""
         f = s.frame.copy()
         name = f.fresh("place")
-        w = Window.partitionBy(*[F.col(f"`{k}`") for k in s.group()]).orderBy(*s.order)
         target = s.parent or frame
         at, link = target.fresh("item"), [target.fresh("k") for _ in s.group()]
-        places = f.df.select(*[F.col(f"`{k}`").alias(r) for k, r in zip(s.group(), link)], column(s.element).alias(at), F.row_number().over(w).cast("bigint").alias(name))
+        places = self.numbered(f.df, s, name).select(*[F.col(f"`{k}`").alias(r) for k, r in zip(s.group(), link)], column(s.element).alias(at), name)
         if type_of(s.element) is not None and not isinstance(s.element, ObjV):
             places = places.groupBy(*link, at).agg(F.min(name).alias(name))
         own = target.rowid if s.correlated else [p for p, _ in s.link]
@@ -623,28 +662,85 @@ class Compiler:
             return s.but(frame=f, element=V(F.col(f"`{name}`"), type_of(inner).element), order=[*s.order, F.col(f"`{place}`")])
         return s
 
-    def combine(self, s: SetV, name: str, arg: A.Expr, env: dict, frame: Frame | None) -> SetV:
-        if s.group():
-            raise InvalidOperation(f"{name} of a to-many reference")
-        other = self.lower(arg, env, frame)
-        left = s.frame.df.select(column(s.element).alias("item"))
+    def _sides(self, s: SetV, other, frame: Frame | None) -> tuple[list[str], Frame | None, list[str], DataFrame, DataFrame]:
+        """Two collections as rows: (keys of the parent's rows, the parent, the key columns' names, left, right).
+
+        The rows have the keys (none for collections of their own), ``item`` and ``o``: the place
+        in an ordered left side, else 0. ``other`` is a collection of rows, an array or an element.
+        """
+        parent = s.parent or frame
+        if not s.group():
+            if isinstance(other, SetV) and other.group():
+                raise InvalidOperation("a collection of one row combined with one of all rows")
+            keys: list[str] = []
+        else:
+            keys = list(parent.rowid) if s.correlated else [p for p, _ in s.link]
+            shared = isinstance(other, SetV) and not s.correlated and not other.correlated and [p for p, _ in other.link] == keys
+            if not shared and keys != parent.rowid:
+                s, keys = self.correlate(s, parent), list(parent.rowid)
+        names = [parent.fresh(f"m{i}") for i, _ in enumerate(keys)] if keys else []
+
+        def rows(c: SetV) -> DataFrame:
+            df, place = c.frame.df, F.lit(0).cast("bigint").alias("o")
+            if keys and c.kind in ("Sequence", "OrderedSet") and c.order:
+                df, place = self.numbered(df, c, "$place"), F.col("`$place`").alias("o")
+            return df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(c.group(), names)], column(c.element).alias("item"), place)
+
         if isinstance(other, SetV):
-            right = other.frame.df.select(column(other.element).alias("item"))
-        elif name in ("including", "excluding"):
-            right = s.frame.df.sparkSession.range(1).select(column(other).alias("item"))
+            if keys and not other.group():
+                raise InvalidOperation("a collection of all rows combined with those of one row")
+            if keys and (list(parent.rowid) if other.correlated else [p for p, _ in other.link]) != keys:
+                other = self.correlate(other, parent)
+            right = rows(other)
         else:
-            right = s.frame.df.sparkSession.range(1).select(F.explode(column(other)).alias("item"))
-        sets = s.kind in ("Set", "OrderedSet") and (not isinstance(other, SetV) or other.kind in ("Set", "OrderedSet"))
+            base = parent.df if keys else s.frame.df.sparkSession.range(1)
+            c = column(other)
+            items = F.explode(c) if isinstance(type_of(other), ty.CollType) else c
+            right = base.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names)], items.alias("item")).withColumn("o", F.lit(0).cast("bigint"))
+        return keys, parent if keys else None, names, rows(s), right
+
+    def combine(self, s: SetV, name: str, other, frame: Frame | None) -> SetV:
+        """Set operations, of whole collections or for each parent: one exchange by parent and element."""
+        sets = s.kind in ("Set", "OrderedSet") and (type_of(other).kind in ("Set", "OrderedSet") if isinstance(type_of(other), ty.CollType) else True)
+        keys, parent, names, left, right = self._sides(s, other, frame)
+        both = [*names, "item"]
         if name in ("union", "including"):
-            df = left.unionByName(right)
-            df = df.distinct() if sets else df
-        elif name == "intersection":
-            df = left.intersect(right) if sets else left.join(right.distinct(), "item", "left_semi")
+            df = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
         elif name == "symmetricDifference":
-            df = left.exceptAll(right).union(right.exceptAll(left)).distinct()
+            only = lambda a, b: a.join(b.select(*both).distinct(), both, "left_anti")
+            df = only(left, right).withColumn("side", F.lit(0)).unionByName(only(right, left).withColumn("side", F.lit(1)))
+            sets = True
         else:
-            df = left.subtract(right) if sets else left.join(right.distinct(), "item", "left_anti")
-        return SetV(Frame(df, ["item"] if sets else []), V(F.col("item"), type_of(s.element)), s.kind if sets else "Bag", order=[F.col("item")])
+            kept = "left_semi" if name == "intersection" else "left_anti"
+            df = left.join(right.select(*both).distinct(), both, kept).withColumn("side", F.lit(0))
+        order = F.struct("side", "o")
+        ordered = bool(keys) and s.kind in ("Sequence", "OrderedSet")
+        df = df.groupBy(*both).agg(F.min(order).alias("o")) if sets else df.select(*both, order.alias("o"))
+        prefix = self._prefix("both")
+        columns = {n: f"{prefix}$k{i}" for i, n in enumerate(names)} | {"item": f"{prefix}$item", "o": f"{prefix}$o"}
+        df = df.select(*[F.col(f"`{n}`").alias(c) for n, c in columns.items()])
+        item = F.col(f"`{prefix}$item`")
+        made = Frame(df, [*(columns[n] for n in names), f"{prefix}$item"] if sets else [])
+        link = [(k, columns[n]) for k, n in zip(keys, names)]
+        if isinstance(s.element, ObjV):
+            element = ObjV(f"{prefix}e", s.element.cls, s.element.alias, item, loaded=False)
+        elif isinstance(s.element, TupleV):
+            element = TupleV({n: V(item.getField(n), type_of(x)) for n, x in s.element.fields.items()})
+        else:
+            element = V(item, type_of(s.element))
+        kind = s.kind if sets or ordered else "Bag"
+        return SetV(made, element, kind, parent, link, order=[F.col(f"`{prefix}$o`"), item] if ordered else [item])
+
+    def contains_all(self, s: SetV, other, positive: bool, frame: Frame | None) -> V:
+        """includesAll and excludesAll: no element of ``other`` is missing, or found."""
+        keys, parent, names, left, right = self._sides(s, other, frame)
+        both = [*names, "item"]
+        against = right.join(left.select(*both).distinct(), both, "left_anti" if positive else "left_semi")
+        prefix = self._prefix("all")
+        against = against.select(*[F.col(f"`{n}`").alias(f"{prefix}$k{i}") for i, n in enumerate(names)])
+        link = [(k, f"{prefix}$k{i}") for i, k in enumerate(keys)]
+        n = self.aggregate(SetV(Frame(against, []), V(F.lit(1), ty.INTEGER), "Bag", parent, link), F.count(F.lit(1)), ty.INTEGER, F.lit(0), frame)
+        return self._with(n, V(column(n) == 0, ty.BOOLEAN))
 
     # folds
 
@@ -768,6 +864,15 @@ class Compiler:
                     cond = reduce(lambda a, b: a & b, [frame.df[p] == right[f"$r{i}"] for i, (p, _) in enumerate(made.link)])
                     frame.df = frame.df.join(right, cond, "left_semi" if has == positive else "left_anti")
                     return
+        if isinstance(inner, A.Call) and inner.source is not None and inner.name in ("includes", "excludes") and len(inner.args) == 1 and not self.constant(inner):
+            probe = frame.copy()
+            s = self.lower(inner.source, env, probe)
+            if isinstance(s, SetV) and not s.correlated and s.parent in (None, probe):
+                item = column(self.lower(inner.args[0], env, probe))
+                right = s.frame.df.select(*[F.col(f"`{c}`").alias(f"$r{i}") for i, (_, c) in enumerate(s.link)], column(s.element).alias("$item"))
+                cond = reduce(lambda a, b: a & b, [probe.df[p] == right[f"$r{i}"] for i, (p, _) in enumerate(s.link)], item == right["$item"])
+                frame.df, frame.joined = probe.df.join(right, cond, "left_semi" if (inner.name == "includes") == positive else "left_anti"), probe.joined
+                return
         kept = column(self.lower(e, env, frame))  # may add joins to the frame
         frame.df = frame.df.where(kept)
 

@@ -16,15 +16,16 @@ from morphspark import types as ty
 from morphspark.errors import InvalidOperation, UnknownFeature
 from morphspark.lang import ast as A
 from morphspark.metamodel import Model
-from morphspark.plans.compiler import Compiler
+from morphspark.plans.compiler import Compiler, packed
 from morphspark.plans.values import Frame, ObjV, SetV, V, column, type_of
 
 TRACE = "rule string, source_class string, source_id string, pattern_var string, target_class string, target_id string"
 
 
 class RuleSet:
-    def __init__(self, module: A.Module, models: dict[str, Model], targets: dict[str, Model], registered: dict | None = None):
-        self.module, self.models, self.targets = module, models, targets
+    def __init__(self, module: A.Module, models: dict[str, Model], targets: dict[str, Model], registered: dict | None = None, strict: bool = False):
+        """strict: a reference to an element that no rule matched is an error (of the job that reads it), not null."""
+        self.module, self.models, self.targets, self.strict = module, models, targets, strict
         self.compiler = Compiler(module, models, registered, self)
         self.requests: dict[str, list[tuple[DataFrame, list]]] = {}
         self._trace: DataFrame | None = None
@@ -95,7 +96,7 @@ class RuleSet:
         """The id of the target made for a source element, null if no rule matched it; the first rule that did wins."""
         if isinstance(v, SetV):
             element = self.resolve(v.element, var, compiler, v.frame)
-            return compiler.aggregate(v, F.array_sort(F.collect_list(element.col)), ty.CollType("Sequence", ty.STRING), F.array().cast("array<string>"), frame)
+            return compiler.aggregate(v, packed(element.col, v.order if v.kind in ("Sequence", "OrderedSet") else []), ty.CollType("Sequence", ty.STRING), F.array().cast("array<string>"), frame)
         if not isinstance(v, ObjV):
             raise InvalidOperation("resolveTemp takes a source element")
         found = None
@@ -106,7 +107,11 @@ class RuleSet:
             made = own.df.select(column(env[rule.sources[0].var]).alias(key), self.target_id(rule.name, pattern.var, self.source_id(rule, env)).alias(hit))
             frame.df = frame.df.join(made, v.key == made[key], "left").drop(key)
             found = F.col(f"`{hit}`") if found is None else F.coalesce(found, F.col(f"`{hit}`"))
-        return V(F.lit(None).cast("string") if found is None else found, ty.STRING)
+        found = F.lit(None).cast("string") if found is None else found
+        if self.strict:
+            text = F.concat(F.lit(f"no target for {v.cls}:"), v.key.cast("string"))
+            found = F.when(v.key.isNotNull() & found.isNull(), F.raise_error(text).cast("string")).otherwise(found)
+        return V(found, ty.STRING)
 
     def invoke(self, rule: A.Rule, args: list, compiler: Compiler, frame: Frame) -> V:
         """A lazy or called rule in an expression: the id of its first target, once per different argument."""
@@ -130,9 +135,8 @@ class RuleSet:
             if isinstance(v.element, ObjV):
                 return self.resolve(v, None, compiler, frame).col
             c = column(v.element)
-            packed = F.array_sort(F.collect_list(c)) if not v.order else F.transform(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(v.order)], c.alias("x")))), lambda s: s["x"])
             t = ty.CollType(v.kind, type_of(v.element))
-            return compiler.aggregate(v, packed, t, F.array().cast(ty.to_spark(t)), frame).col
+            return compiler.aggregate(v, packed(c, v.order), t, F.array().cast(ty.to_spark(t)), frame).col
         return column(v)
 
     def project(self, rule: A.Rule, frame: Frame, env: dict, source: Column) -> list[tuple[str, str, DataFrame]]:

@@ -24,6 +24,8 @@ def shop(spark: SparkSession, sf_dir: str) -> Model:
     add("Document", tables["Document"], "", "docId", [Reference("label", "Label", "doc_id")], {"doc_id": "docId", "n_chars": "nChars"})
     add("Label", tables["Label"], "", "docId", [], {"doc_id": "docId"})
     add("Turn", tables["Turn"], "", None, [], {"conv_id": "convId"})
-    # Customers and suppliers are both parties
-    mm.add("Party", {"name": "String", "acctbal": "Real"})
+    # Customers and suppliers are both parties, told apart by their names.
+    mm.add("Party", {"name": "String", "acctbal": "Real"}, key="name")
+    for name in ("Customer", "Supplier"):
+        mm.cls(name).supertypes = ("Party",)
     return Model(mm, tables)
