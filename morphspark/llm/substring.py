@@ -10,16 +10,19 @@ never built at once:
    and equal windows have equal prefixes. Neighbouring suffixes of a text mostly
    end at the same place; such a run is one row: the hash of its end (the group)
    and the hash of all words that its windows cover (the block). Some 7 % of the
-   suffixes begin a run. Rows are counted by (group, block), copies at once.
-2. A block that occurs again is repeated as a whole. A group with a single
-   block that occurs once has no repeat. Only groups with several different
-   blocks are in doubt; their blocks fetch their words, once for all copies.
-3. Subtrees. Each doubtful group is sorted as suffixes; the common prefixes of
-   neighbours give the inner nodes, and the leaves below nodes of at least
-   ``window`` words are the repeated starts. A group of more than ``GROUP``
-   blocks gets longer prefixes: it is split by the first ``window`` words
-   themselves, and its leaves are counted by an aggregate instead.
-4. Words covered by a repeated window are removed from the texts.
+   suffixes begin a run. Rows are counted by (group, block), which folds exact
+   copies of a block into one leaf for all of them: it is repeated as a whole.
+2. A group with a single block that occurs once has no repeat. The groups with
+   several different blocks, one of which occurs once, fetch their blocks' words.
+3. A group of more than ``BUDGET`` suffixes, whose tree would not be sure to fit in
+   memory, is split by prefixes of growing length (``LENGTHS`` words, counted
+   each time); only parts beyond the budget grow on. A prefix as long as the
+   window is itself an inner node of that depth, so its suffixes need no tree.
+4. Subtrees. The suffixes of a part are put in order by doubled ranks of their
+   words, and the common prefixes of neighbours (LCP) found from the same ranks.
+   The LCP intervals of ``window`` words or more are the deep inner nodes; the
+   leaves below them are the repeated starts.
+5. Words covered by a repeated window are removed from the texts.
 
 Texts are handled once for all their copies (a text that occurs twice is
 repeated as a whole). The texts cross the network once, into a table bucketed by
@@ -27,10 +30,13 @@ their key; every later step joins small rows to it. No step gathers a group
 without bound: counts are partial aggregates, joins back are sort-merge joins
 whose skewed partitions Spark splits.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` and never changed. Word sequences are compared by
-128-bit hashes. Null text: no words, empty result. Texts below ``window`` words
-lose nothing. Windows are judged on the input. Rows with the same text, null or
-repeated ids each get their result.
+Words are ``[^\\x20\\x09-\\x0D]+`` and never changed. They are told apart by 64-bit
+hashes, a run's words by a 64-bit hash beside that of its group; ranks are exact for
+these. Null text: no words, empty result. Texts below ``window`` words lose nothing.
+Windows are judged on the input. Rows with the same text, null or repeated ids each
+get their result; an empty table gives an empty one. Columns besides doc_id and text
+(and n_chars) are kept by strip_repeats whatever their names. A very long text is
+one row; its words are worked on at once.
 """
 
 from __future__ import annotations
@@ -44,7 +50,9 @@ from pyspark.sql import functions as F
 
 from morphspark.llm import common
 
-WINDOW, GRAM, GROUP = 35, 8, 2000
+WINDOW, GRAM, BUDGET = 35, 8, 1 << 16
+#: Words of the prefixes that split a group beyond BUDGET, before the whole window.
+LENGTHS = (4, 12, 20)
 SEP = common.separators()
 
 
@@ -86,14 +94,11 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(x[:n] for x in _POWERS[base])
 
 
-def block_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hash of the words lo..hi-1 of each run, from running sums of words times powers of two bases."""
-    out = []
-    for x, base in ((h, 0x51ED270B76F8AD3D), (common.mix(h + common.K3), 0x2545F4914F6CDD1D)):
-        up, down = powers(base, len(h) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(x * up[:-1])])
-        out.append(common.mix((total[hi] - total[lo]) * down[lo] + common.mix(group + (hi - lo).astype(np.uint64))))
-    return out[0], out[1]
+def block_hashes(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """64-bit hash of the words lo..hi-1 of each run, from running sums of words times powers of a base."""
+    up, down = powers(0x51ED270B76F8AD3D, len(h) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(common.mix(h + common.K3) * up[:-1])])
+    return common.mix((total[hi] - total[lo]) * down[lo] + common.mix(group + (hi - lo).astype(np.uint64)))
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -101,7 +106,7 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def run_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """th, copies, start, length (suffixes of the run), g (group), b1, b2 (block)."""
+    """th, copies, start, length (suffixes of the run), g (group), b (block)."""
 
     def run(batches):
         for batch in batches:
@@ -110,60 +115,108 @@ def run_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 h = common.word_hashes(buf, starts, ends)
                 text, first, last, group = runs(h, woff, window, gram)
                 if len(text):
-                    b1, b2 = block_hashes(h, first, last + window, group)
+                    block = block_hashes(h, first, last + window, group)
                     rows = pa.array(text + lo)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((first - woff[text]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), signed(group), signed(b1), signed(b2)],
-                        ["th", "copies", "start", "length", "g", "b1", "b2"])
+                        [batch.column(0).take(rows), batch.column(1).take(rows), pa.array((first - woff[text]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), signed(group), signed(block)],
+                        ["th", "copies", "start", "length", "g", "b"])
 
-    return texts.select("th", "copies", "text").mapInArrow(common.freed(run), "th binary, copies bigint, start int, length int, g bigint, b1 bigint, b2 bigint")
+    return texts.select("th", "copies", "text").mapInArrow(common.freed(run), "th binary, copies bigint, start int, length int, g bigint, b bigint")
 
 
-def deep_leaves(groups: np.ndarray, words: list[np.ndarray], window: int) -> list[np.ndarray]:
-    """Per block, which of its suffixes meet another one of its group at a depth of `window` words or more.
+class Subtree:
+    """The suffix trees of several parts at once: suffixes in order, common prefixes of neighbours, deep inner nodes.
 
-    The suffixes of each group are put in order (the leaves of its suffix tree, whose edges are
-    labelled by up to eight words); neighbours with the same first `window` words hang below a deep
-    inner node.
+    words: a block's word hashes; each of its places with ``window`` words from there on is a suffix.
     """
-    flat = np.concatenate(words)
-    n = np.array([len(w) - window + 1 for w in words])
-    at = np.repeat(np.cumsum([0, *map(len, words[:-1])]) - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    edges = common.ngram_hashes(flat, min(8, window))
-    steps = [*range(0, window - 7, 8), *([window - 8] if window > 8 else [])] if window >= 8 else [0]
-    keys = [edges[at + k] for k in dict.fromkeys(steps)]
-    own = np.repeat(groups, n)
-    order = np.lexsort([*keys[::-1], own])
-    same = own[order[1:]] == own[order[:-1]]
-    for k in keys:
-        same &= k[order[1:]] == k[order[:-1]]
-    deep = np.zeros(len(at), bool)
-    deep[order[1:][same]] = True
-    deep[order[:-1][same]] = True
-    return np.split(deep, np.cumsum(n)[:-1])
+
+    def __init__(self, trees: np.ndarray, words: list[np.ndarray], window: int):
+        size = np.array([len(w) for w in words])
+        first = np.cumsum(size) - size
+        self.window, self.count = window, size - window + 1
+        self.end = np.repeat(first + size, size)
+        self._rank(np.concatenate(words))
+        self.at = np.repeat(first - (np.cumsum(self.count) - self.count), self.count) + np.arange(self.count.sum())
+        self.tree = np.repeat(trees, self.count)
+        keys, k = [], 0
+        for step in sorted(self.ranks, reverse=True):  # the window's words in ranks of growing places
+            if window - k >= step:
+                keys.append(self.ranks[step][self.at + k])
+                k += step
+        self.order = np.lexsort([*keys[::-1], self.tree])
+        self.lcp = self._common()
+
+    def _rank(self, flat: np.ndarray) -> None:
+        """ranks[k][i]: the place of the k words from i on among all such runs of words (shorter at a block's end)."""
+        _, rank = np.unique(flat, return_inverse=True)
+        self.ranks, k, i = {1: rank}, 1, np.arange(len(flat))
+        while 2 * k <= self.window:
+            then = np.where(i + k < self.end, rank[np.minimum(i + k, len(flat) - 1)] + 1, 0)
+            _, rank = np.unique(rank * np.int64(len(flat) + 1) + then, return_inverse=True)
+            k *= 2
+            self.ranks[k] = rank
+
+    def _common(self) -> np.ndarray:
+        """Words that each suffix but the last shares with the next one in order (0 in another tree)."""
+        a, b = self.at[self.order[:-1]], self.at[self.order[1:]]
+        room = np.minimum(self.end[a] - a, self.end[b] - b) if len(a) else a
+        found = np.zeros(len(a), np.int64)
+        live = np.flatnonzero(self.tree[self.order[:-1]] == self.tree[self.order[1:]])
+        most = max(self.ranks)
+        todo = live
+        while len(todo):  # whole steps of the longest ranks, then shorter ones
+            todo = self._step(most, a, b, room, found, todo)
+        for step in sorted(self.ranks, reverse=True)[1:]:
+            self._step(step, a, b, room, found, live)
+        return found
+
+    def _step(self, step: int, a, b, room, found, todo) -> np.ndarray:
+        todo = todo[found[todo] + step <= room[todo]]
+        x = found[todo]
+        todo = todo[self.ranks[step][a[todo] + x] == self.ranks[step][b[todo] + x]]
+        found[todo] += step
+        return todo
+
+    def nodes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first leaf, last leaf, depth) in the order of suffixes: the topmost inner nodes of ``window`` words or more."""
+        deep = np.concatenate([[False], self.lcp >= self.window, [False]])
+        turn = np.flatnonzero(deep[1:] != deep[:-1])
+        first, last = turn[::2], turn[1::2]
+        depth = np.minimum.reduceat(np.append(self.lcp, self.window), np.stack([first, last], 1).ravel())[::2] if len(first) else first
+        return first, last, depth
+
+    def repeated(self) -> list[np.ndarray]:
+        """For each block, which of its suffixes are leaves below a deep inner node."""
+        cover = np.zeros(len(self.at) + 1, np.int64)
+        first, last, _ = self.nodes()
+        np.add.at(cover, first, 1)
+        np.add.at(cover, last + 1, -1)
+        deep = np.zeros(len(self.at), bool)
+        deep[self.order] = np.cumsum(cover[:-1]) > 0
+        return np.split(deep, np.cumsum(self.count)[:-1])
 
 
 def _leaves(window: int):
-    """Subtrees of a partition that is sorted by group: as many whole groups at once as a batch holds."""
-    names = ["th", "start", "length", "marks"]
+    """Subtrees of a partition that is sorted by tree: as many whole trees at once as a batch holds."""
+    names = ["th", "start", "length", "at", "marks"]
 
     def flush(table: pa.Table) -> pa.RecordBatch | None:
-        deep = deep_leaves(table.column("g").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("words")], window)
+        deep = Subtree(table.column("tree").to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("words")], window).repeated()
         asks = table.column("asks").to_numpy()
         keep = [i for i, d in enumerate(deep) if asks[i] and d.any()]
         if not keep:
             return None
         part = table.take(pa.array(keep)).combine_chunks()
-        return pa.RecordBatch.from_arrays([*(part.column(x).combine_chunks() for x in names[:3]), pa.array([deep[i].astype(np.uint8).tobytes() for i in keep])], names)
+        return pa.RecordBatch.from_arrays([*(part.column(x).combine_chunks() for x in names[:4]), pa.array([deep[i].astype(np.uint8).tobytes() for i in keep])], names)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            g = batch.column(batch.schema.get_field_index("g")).to_numpy()
-            last = int(np.searchsorted(g, g[-1]))
-            if last or held and held[-1].column("g")[-1].as_py() != g[0]:
+            tree = batch.column(batch.schema.get_field_index("tree")).to_numpy()
+            last = int(np.searchsorted(tree, tree[-1]))
+            if last or held and held[-1].column("tree")[-1].as_py() != tree[0]:
                 done = [*held, batch.slice(0, last)]
                 held = [batch.slice(last)]
                 if (out := flush(pa.Table.from_batches([x for x in done if x.num_rows]))) is not None:
@@ -176,37 +229,60 @@ def _leaves(window: int):
     return run
 
 
-def repeated_runs(texts: DataFrame, window: int, gram: int, group: int) -> DataFrame:
+LEAVES = "th binary, start int, length int, at int, marks binary"
+
+
+def _tree_rows(rows: DataFrame, parts: int, window: int) -> DataFrame:
+    """th, start, length, at, marks of the rows (tree, th, start, length, at, asks, words) that ask and have a repeated suffix."""
+    rows = rows.select("tree", "th", "start", "length", "at", "asks", "words")
+    return rows.repartition(parts, "tree").sortWithinPartitions("tree").mapInArrow(common.freed(_leaves(window)), LEAVES)
+
+
+def split_groups(large: DataFrame, window: int, budget: int, parts: int) -> DataFrame:
+    """Repeated suffixes (th, start, length, at) of groups beyond the budget, by prefixes of growing length."""
+    lengths = [k for k in LENGTHS if k < window]
+    keys = "".join(f", p{k} bigint" for k in [*lengths, window])
+    rest = common.stored(large.mapInArrow(common.freed(_prefixes(window, lengths)), f"g bigint, th binary, start int, length int, at int, asks boolean, words binary{keys}"), "prefixes")
+    found = None
+    for k in lengths:
+        sizes = rest.groupBy("g", f"p{k}").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        sized = common.stored(rest.join(common.apart(sizes, "g"), ["g", f"p{k}"]), "prefixes")
+        part = _tree_rows(sized.where(F.col("n") <= budget).withColumn("tree", F.xxhash64("g", f"p{k}")), parts, window).select("th", "start", "length", "at")
+        found = part if found is None else found.union(part)
+        rest = sized.where(F.col("n") > budget).drop("n")
+    nodes = rest.groupBy("g", f"p{window}").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    deep = rest.where("asks").join(common.apart(nodes, "g"), ["g", f"p{window}"], "left_semi").select("th", "start", "length", "at")
+    return deep if found is None else found.union(deep)
+
+
+def repeated_runs(texts: DataFrame, window: int, gram: int, budget: int) -> DataFrame:
     """th, start, length, whole (all windows repeat), marks (else one byte a suffix, 1: repeats); only runs with repeats."""
     rows = common.stored(run_rows(texts, window, gram), "suffixes")
     # A text with copies is repeated as a whole; its blocks still take part, as occurring twice.
-    blocks = rows.groupBy("g", "b1", "b2").agg(F.sum(F.least("copies", F.lit(2))).alias("n"))
-    groups = blocks.groupBy("g").agg(F.count(F.lit(1)).alias("blocks"), F.max("n").alias("most")).where("blocks > 1 or most > 1")
-    # Runs whose group may repeat, with what is known of their block.
-    open_runs = common.stored(rows.join(blocks.join(groups, "g"), ["g", "b1", "b2"]), "runs")
+    blocks = rows.groupBy("g", "b").agg(F.sum(F.least("copies", F.lit(2))).alias("n"), F.max("length").alias("length"))
+    groups = blocks.groupBy("g").agg(F.count(F.lit(1)).alias("blocks"), F.max("n").alias("most"), F.min("n").alias("least"), F.sum("length").alias("size")).where("blocks > 1 or most > 1")
+    # Runs whose group may repeat, with what is known of their block and group.
+    known = blocks.select("g", "b", "n").join(groups.select("g", "size", F.expr("blocks > 1 and least = 1").alias("doubt")), "g")
+    open_runs = common.stored(rows.join(known, ["g", "b"]), "runs")
     whole = open_runs.where("n > 1 and copies = 1").select("th", "start", "length", F.lit(True).alias("whole"), F.lit(None).cast("binary").alias("marks"))
-    # Blocks in doubt: one place of each of the blocks of a group with several, where some block occurs once.
-    places = open_runs.where("blocks > 1").groupBy("g", "b1", "b2").agg(
-        F.min(F.struct("th", "start", "length", "blocks", (F.col("n") == 1).alias("asks"))).alias("x")).select("g", "x.*")
-    asked = places.where("asks").select("g").distinct()
-    per_text = places.join(asked, "g", "left_semi").groupBy("th").agg(F.collect_list(F.struct("g", "start", "length", "blocks", "asks")).alias("places"))
-    fetched = common.stored(texts.select("th", "text").join(per_text, "th").mapInArrow(common.freed(_fetch(window)), "th binary, g bigint, start int, length int, blocks bigint, asks boolean, words binary"), "blocks")
+    # The blocks of groups in doubt, each at one place; those that occur once ask.
+    places = open_runs.where("doubt").groupBy("g", "b").agg(F.min(F.struct("th", "start", "length", "size", (F.col("n") == 1).alias("asks"))).alias("x")).select("g", "x.*")
+    per_text = places.groupBy("th").agg(F.collect_list(F.struct("g", "start", "length", "size", "asks")).alias("places"))
+    fetched = common.stored(texts.select("th", "text").join(per_text, "th").mapInArrow(common.freed(_fetch(window)), "th binary, g bigint, start int, length int, size bigint, asks boolean, words binary"), "blocks")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = (fetched.where(F.col("blocks") <= group).repartition(parts, "g").sortWithinPartitions("g")
-             .mapInArrow(common.freed(_leaves(window)), "th binary, start int, length int, marks binary"))
-    # Groups beyond that: each suffix's whole window is its prefix.
-    large = fetched.where(F.col("blocks") > group).mapInArrow(common.freed(_windows(window)), "g bigint, w1 bigint, w2 bigint, th binary, start int, length int, at int, asks boolean")
-    twice = large.groupBy("g", "w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "w1", "w2")
-    found = large.where("asks").join(twice, ["g", "w1", "w2"], "left_semi").groupBy("th", "start", "length").agg(F.collect_set("at").alias("ats"))
-    marks = F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda i: F.when(F.array_contains("ats", i), F.lit("01")).otherwise(F.lit("00")))
-    large_marks = found.select("th", "start", "length", F.unhex(F.array_join(marks, "")).alias("marks"))
-    partly = small.union(large_marks).select("th", "start", "length", F.lit(False).alias("whole"), "marks")
+    small = _tree_rows(fetched.where(F.col("size") <= budget).select(F.col("g").alias("tree"), "th", "start", "length", F.lit(0).alias("at"), "asks", "words"), parts, window)
+    partly = small.select("th", "start", "length", F.lit(False).alias("whole"), "marks")
+    large = fetched.where(F.col("size") > budget)
+    if large.head(1):
+        ats = split_groups(large, window, budget, parts).groupBy("th", "start", "length").agg(F.collect_set("at").alias("ats"))  # at most a run's suffixes
+        marks = F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda i: F.when(F.array_contains("ats", i), F.lit("01")).otherwise(F.lit("00")))
+        partly = partly.union(ats.select("th", "start", "length", F.lit(False).alias("whole"), F.unhex(F.array_join(marks, "")).alias("marks")))
     return whole.union(partly)
 
 
 def _fetch(window: int):
     def run(batches):
-        names = ["th", "g", "start", "length", "blocks", "asks", "words"]
+        names = ["th", "g", "start", "length", "size", "asks", "words"]
         types = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
         for batch in batches:
             th, places = batch.column(0), batch.column(2)
@@ -218,7 +294,7 @@ def _fetch(window: int):
                     own = h[woff[i - lo]:woff[i - lo + 1]]
                     for p in places[i].as_py():
                         words = own[p["start"]:p["start"] + p["length"] + window - 1].tobytes()
-                        out.append((th[i].as_py(), p["g"], p["start"], p["length"], p["blocks"], p["asks"], words))
+                        out.append((th[i].as_py(), p["g"], p["start"], p["length"], p["size"], p["asks"], words))
                         size += len(words)
                     if size > common.CHUNK_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
@@ -229,24 +305,28 @@ def _fetch(window: int):
     return run
 
 
-def _windows(window: int):
+def _prefixes(window: int, lengths: list[int]):
+    """A row for each suffix of a block: its window's words and the hashes of its prefixes."""
+
     def run(batches):
         for batch in batches:
             c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
                 w = np.frombuffer(c["words"][i].as_py(), np.uint64)
-                one, two = common.ngram_hashes(w, window), common.ngram_hashes(common.mix(w + common.K3), window)
-                same = lambda x, t, m=len(one): pa.array([x.as_py()] * m, t)
+                n = len(w) - window + 1
+                same = lambda name, t: pa.array([c[name][i].as_py()] * n, t)  # noqa: B023, E731
+                own = pa.array([w[k:k + window].tobytes() for k in range(n)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [same(c["g"][i], pa.int64()), signed(one), signed(two), same(c["th"][i], pa.binary()), same(c["start"][i], pa.int32()), same(c["length"][i], pa.int32()), pa.array(np.arange(len(one), dtype=np.int32)), same(c["asks"][i], pa.bool_())],
-                    ["g", "w1", "w2", "th", "start", "length", "at", "asks"])
+                    [same("g", pa.int64()), same("th", pa.binary()), same("start", pa.int32()), same("length", pa.int32()), pa.array(np.arange(n, dtype=np.int32)), same("asks", pa.bool_()), own,
+                     *(signed(common.ngram_hashes(w, k)[:n]) for k in [*lengths, window])],
+                    ["g", "th", "start", "length", "at", "asks", "words", *(f"p{k}" for k in [*lengths, window])])
 
     return run
 
 
-def removal(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def removal(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, budget: int = BUDGET) -> DataFrame:
     """Per different text: th, n_words, n_removed, kept (the kept words joined by a space)."""
-    found = repeated_runs(texts, window, gram, group).groupBy("th").agg(F.collect_list(F.struct("start", "length", "whole", "marks")).alias("runs"))
+    found = repeated_runs(texts, window, gram, budget).groupBy("th").agg(F.collect_list(F.struct("start", "length", "whole", "marks")).alias("runs"))
     joined = texts.join(found, "th", "left").select("th", "text", "copies", "runs")
 
     def run(batches):
@@ -291,15 +371,6 @@ def _join(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b" ".join([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
 
 
-def dedup(docs: DataFrame, **params) -> DataFrame:
-    """docs with its columns, text replaced by the kept words, plus n_words and n_removed (see module)."""
-    texts = common.distinct_texts(docs, "texts")
-    result = removal(texts, **params)
-    keyed = docs.withColumn("__th", common.text_key(F.col("text")))
-    back = result.select(F.col("th").alias("__th"), F.col("kept").alias("__kept"), F.col("n_words").alias("__n_words"), F.col("n_removed").alias("__n_removed"))
-    return keyed.join(back, "__th").drop("__th")
-
-
 def digests(docs: DataFrame, **params) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256."""
     texts = common.distinct_texts(docs.select("text"), "texts")
@@ -309,14 +380,16 @@ def digests(docs: DataFrame, **params) -> DataFrame:
 
 def strip_repeats(docs: DataFrame, **params) -> DataFrame:
     """A pipeline stage: every row of docs with the repeated passages taken out of its text; n_chars follows."""
-    out = dedup(docs, **params)
-    changed = F.col("__n_removed") > 0
+    result = removal(common.distinct_texts(docs.select("text"), "texts"), **params)
+    th, kept, removed = common.free_names(docs.columns, "th", "kept", "removed")
+    back = result.select(F.col("th").alias(th), F.col("kept").alias(kept), F.col("n_removed").alias(removed))
+    out = docs.withColumn(th, common.text_key(F.col("text"))).join(back, th)
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.when(changed, F.col("__kept")).otherwise(F.col("text")).alias("text"))
+            columns.append(F.when(F.col(removed) > 0, F.col(kept)).otherwise(F.col("text")).alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(changed, F.length("__kept").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
+            columns.append(F.when(F.col(removed) > 0, F.length(kept).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
-            columns.append(F.col(c))
+            columns.append(F.col(f"`{c}`"))
     return out.select(columns)

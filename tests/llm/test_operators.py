@@ -4,6 +4,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -38,6 +39,28 @@ def test_warc_round_trip(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_warc_members(spark, tmp_path):
+    """Each record is a gzip member of its own; payloads come back; small ones are never revisits."""
+    rows = [(i, f"u{i}", ["<p>same</p>" * 20, "x", None][i % 3]) for i in range(30)] + [(40, "long", "é\r\n\r\n" * 300_000), (3, "again", "<p>same</p>" * 20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write(pages, f"file://{tmp_path}/w", min_revisit_bytes=2)
+    records = 0
+    for f in (tmp_path / "w").glob("part-*"):
+        data = f.read_bytes()
+        while data:
+            d = zlib.decompressobj(31)
+            member = d.decompress(data)
+            data = d.unused_data
+            records += member.count(b"WARC/1.1\r\n") if member else 0
+            assert member.count(b"WARC/1.1\r\n") <= 1
+    assert records == len(rows)
+    got = warc.read(spark, f"file://{tmp_path}/w").collect()
+    payloads = {r.page_id: r for r in got}
+    assert sorted(r.page_id for r in got) == sorted(i for i, _, _ in rows)
+    assert all(r.record_type == ("revisit" if r.page_id % 3 == 0 and 0 < r.page_id < 40 else "response") for r in got)
+    assert bytes(payloads[40].payload) == ("é\r\n\r\n" * 300_000).encode() and bytes(payloads[1].payload) == b"x" and payloads[3].refers_to == 0
+
+
 def test_nearest(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     want, got = ann.exact(e), ann.nearest(e).collect()
@@ -61,12 +84,47 @@ def brute_substring(texts, window=35):
     return out
 
 
-@pytest.mark.parametrize("group", [substring.GROUP, 1])
-def test_substring(spark, docs, group):
+@pytest.mark.parametrize("budget", [substring.BUDGET, 20, 1])
+def test_substring(spark, docs, budget):
     passage = " ".join(f"w{i}" for i in range(60))
     texts = [*ODD, "head " + passage + " tail", passage + " end", "a b c " * 40, *(r.text for r in docs.limit(60).collect())]
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.digests(table(spark, texts), group=group).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.digests(table(spark, texts), budget=budget).collect()}
     assert [got[i] for i in range(len(texts))] == brute_substring(texts)
+    assert substring.digests(table(spark, texts).limit(0)).count() == 0 and substring.strip_repeats(table(spark, texts).limit(0)).count() == 0
+
+
+def test_substring_subtrees():
+    """Order, common prefixes, inner nodes and leaves of subtrees against brute force."""
+    rng = np.random.default_rng(0)
+    for trial in range(60):
+        window = int(rng.integers(1, 40))
+        words = [rng.integers(0, 3, int(rng.integers(window, window + 20))).astype(np.uint64) for _ in range(int(rng.integers(1, 12)))]
+        if trial % 3 == 0:
+            words = [np.concatenate([np.zeros(window, np.uint64), w]) for w in words]
+        trees = np.sort(rng.integers(0, 3, len(words)))
+        t = substring.Subtree(trees, words, window)
+        count = Counter((trees[i], tuple(w[k:k + window])) for i, w in enumerate(words) for k in range(len(w) - window + 1))
+        for i, (w, got) in enumerate(zip(words, t.repeated())):
+            assert [count[(trees[i], tuple(w[k:k + window]))] > 1 for k in range(len(w) - window + 1)] == list(got)
+        suffixes = [tuple(w[k:]) for w in words for k in range(len(w) - window + 1)]
+        for x, (a, b) in enumerate(zip(t.order[:-1], t.order[1:])):
+            n = 0
+            while t.tree[a] == t.tree[b] and n < min(len(suffixes[a]), len(suffixes[b])) and suffixes[a][n] == suffixes[b][n]:
+                n += 1
+            assert n == t.lcp[x] and (t.tree[a], suffixes[a][:window]) <= (t.tree[b], suffixes[b][:window])
+        for first, last, depth in zip(*t.nodes()):
+            assert depth == t.lcp[first:last].min() >= window
+
+
+def test_substring_long_text_and_other_columns(spark):
+    rng = np.random.default_rng(5)
+    long = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 200_000))
+    texts = [long, "start " + long[500_000:500_900] + " end", None]
+    d = table(spark, texts).selectExpr("*", "1 as __kept", "2 as `__th`", "3 as removed")
+    got = {r.doc_id: r for r in substring.strip_repeats(d).collect()}
+    want = brute_substring(texts)
+    assert substring.strip_repeats(d).columns == d.columns and [len((texts[i] or "").split()) - len((got[i].text or "").split()) for i in range(3)] == [w[1] for w in want]
+    assert want[1][1] > 50 and got[0]["__kept"] == 1 and got[2].text is None and got[1].n_chars == len(got[1].text)
 
 
 def test_near_duplicates(spark):
@@ -186,16 +244,38 @@ def test_components(spark):
 
 
 def test_token_counts(spark, docs):
-    d = docs.limit(40).select("doc_id", "text").union(spark.createDataFrame([(9000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string"))
+    """Counts before and after edits against the library's own encoder, from stored trees too."""
+    d = docs.limit(40).select("doc_id", "text").union(spark.createDataFrame([(9000 + i, t) for i, t in enumerate(ODD)] + [(9000, "again"), (None, "no id")], "doc_id long, text string"))
+    enc = tokens.Encoder(tokens.vocabulary())
+    n = lambda t: len(enc.tokenizer.encode(t, add_special_tokens=False).ids)
+    want = Counter()
+    for r in d.collect():
+        t = r.text or ""
+        after = t[:len(t) // 2] + " edited 2024" + t[len(t) // 2:]
+        after = after[:len(t) // 3] + after[len(t) // 3 + 5:]
+        want[(r.doc_id, n(t), n(after), len(after))] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.n_tokens_after, r.n_chars_after) for r in tokencount.count_tokens(d.selectExpr("*", "'x' as edits", "1 as leaves")).collect()) == want
+    trees = neardup.common.stored(tokencount.build(d), "trees")
+    edits = spark.createDataFrame([(9007, 1, 0, 4, "The"), (9007, 2, 0, 0, "More. "), (9000, 1, 0, 0, "new"), (9005, 1, 5000, 9, " end")], "doc_id long, seq int, at long, cut long, new string")
+    once = neardup.common.stored(tokencount.edit(trees, edits), "trees")
+    texts = {r.doc_id: "".join(x["text"] for x in r.leaves) for r in once.where("doc_id not in (9000)").collect()}
+    assert texts[9007] == "More. The" + ODD[7][4:] and texts[9005] == ODD[5] + " end"
+    assert sorted(r.n_tokens_after for r in once.where("doc_id = 9000").collect()) == sorted([n("new"), n("newagain")])
+    again = tokencount.edit(once.selectExpr("doc_id", "leaves", "n_chars_after as n_chars", "n_tokens_after as n_tokens", "n_pieces"), edits)
+    assert {r.doc_id: r.n_tokens_after for r in again.collect()}[9007] == n("More. The" + texts[9007][4:])
+    assert tokencount.count_tokens(d.limit(0)).count() == 0
+
+
+def test_token_edits_touch_little():
+    """An edit of a long text encodes a few leaves and updates the sums above them only, insertions included."""
     enc = tokens.Encoder(tokens.vocabulary())
-    n = lambda t: sum(enc.lengths(enc.pattern.findall(t)))
-    texts = {r.doc_id: r for r in tokencount.standard_edits(d).collect()}
-    for r in tokencount.count_tokens(tokencount.standard_edits(d)).collect():
-        t = texts[r.doc_id].text or ""
-        assert r.n_tokens == n(t)
-        for e in texts[r.doc_id].edits:
-            t = t[:e["at"]] + e["new"] + t[e["at"] + e["cut"]:]
-        assert (r.n_tokens_after, r.n_chars_after) == (n(t), len(t))
+    text = "some words of a long text, and more. " * 20_000
+    tree = tokencount.TokenTree(enc, text)
+    tree.touched = tree.recoded = 0
+    for k in range(200):
+        tree.edit(len(text) // 2, 0, " a few new words" * 8)
+    assert tree.recoded < 200 * 6 * tokencount.LEAF and tree.touched < 200 * 60
+    assert tree.n_tokens == len(enc.tokenizer.encode(tree.text(), add_special_tokens=False).ids)
 
 
 def test_token_counts_of_special_tokens():
@@ -284,6 +364,29 @@ def test_decontamination_equals_brute_force(spark):
     assert [got[i] for i in range(len(texts))] == want and all(2 * i in x for i, (x, _) in enumerate(want) if i % 2 == 0)
 
 
+@pytest.mark.parametrize("share", [0.01, 0.1, 0.5, 1.0])
+def test_decontamination_of_common_leaks(spark, share):
+    """A leak is found however many documents hold it."""
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 3000, n)]
+    item, texts = word(30), []
+    for i in range(400):
+        own = word(60)
+        texts.append(" ".join([*own[:20], *item, *own[20:]] if i < share * 400 else own))
+    b = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(word(30)))], "item_id long, text string")
+    got = {r.doc_id: r["items"] for r in decontam.contamination(table(spark, texts), b).collect()}
+    assert all(got[i] == ([1] if i < share * 400 else []) for i in range(400))
+
+
+def test_decontamination_keeps_other_columns(spark):
+    d = table(spark, ["a b c", None]).selectExpr("*", "1 as __leaks", "2 as `__LEAKS_`")
+    b = spark.createDataFrame([(1, "q w e r t y u i o p")], "item_id long, text string")
+    assert decontam.drop_contaminated(d, b).columns == d.columns and decontam.drop_contaminated(d, b).count() == 2
+    assert decontam.contamination(d.limit(0), b).count() == 0
+    long = " ".join(f"w{i % 5000}" for i in range(150_000)) + " q w e r t y u i o p"
+    assert [r["items"] for r in decontam.contamination(table(spark, [long]), b).collect()] == [[1]]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(3)
     texts, labels = [], []
@@ -301,6 +404,9 @@ def test_toxicity(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got)
     assert np.mean([r.predicted == (r.doc_id % 4 == 0) for r in held]) > 0.95
     assert {r.score for r in toxicity.toxicity(d, lab.limit(0)).collect()} == {0.0}
+    assert toxicity.toxicity(d.limit(0), lab).count() == 0
+    more = d.selectExpr("*", "1 as predicted", "2 as score", "3 as __toxic")
+    assert toxicity.drop_toxic(more, lab).columns == more.columns
 
 
 def test_packing(spark, docs):
@@ -339,6 +445,88 @@ def test_packing(spark, docs):
     assert packing.pack(d.limit(0)).count() == 0
 
 
+def test_packing_serves_by_deficits():
+    """What the closed form serves is a round robin of two queues at each node, with deficits carried from window to window."""
+    rng = np.random.default_rng(8)
+    sizes = [int(x) for x in rng.integers(1, 5000, 6)]
+    total, window = sum(sizes), 257
+
+    def nodes(lo, hi):  # the tree of queue_paths over 8 places
+        return sum(sizes[lo:hi])
+
+    def path(i, lo=0, hi=8):
+        if hi - lo == 1:
+            return []
+        mid = (lo + hi) // 2
+        return [(nodes(lo, mid), nodes(lo, hi), int(i >= mid)), *(path(i, lo, mid) if i < mid else path(i, mid, hi))]
+
+    deficit: Counter = Counter()
+
+    def serve(x, lo, hi, out):
+        if not x or hi - lo == 1:
+            if x:
+                out[lo] += x
+            return
+        mid = (lo + hi) // 2
+        quantum = Fraction(x * nodes(lo, mid), nodes(lo, hi)) + deficit[lo, hi]
+        left = int(quantum)
+        deficit[lo, hi] = quantum - left
+        serve(left, lo, mid, out)
+        serve(x - left, mid, hi, out)
+
+    got: Counter = Counter()
+    for w in range(-(-total // window)):
+        serve(min(window, total - w * window), 0, 8, got)
+        x = min((w + 1) * window, total)
+        for i, size in enumerate(sizes):
+            assert got[i] == packing.served(x, path(i))[0] and abs(got[i] - x * size / total) <= 3
+    assert [got[i] for i in range(6)] == sizes
+
+
+def test_packing_targets(spark):
+    """Windows hold the target shares until a queue runs dry, then the others' at the same proportions; everything is packed once."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 99, int(rng.integers(1, 200)))), "en", ["a", "b", "c", None, "d"][int(rng.choice(5, p=[.5, .2, .15, .1, .05]))], 0) for i in range(150)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = packing.pack(d, window=64, targets={"a": 0.25, "b": 0.5}).collect()
+    enc = tokens.Encoder(tokens.vocabulary())
+    size = {i: len(enc.tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t, *_ in rows}
+    total: Counter = Counter()
+    for i, _, _, source, _ in rows:
+        total[source] += size[i]
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append((r.start, r.length))
+    for i, n in size.items():  # every token in one piece
+        at = 0
+        for start, length in sorted(by[i]):
+            assert start == at
+            at += length
+        assert at == n
+    full: dict = {}
+    for r in got:
+        full.setdefault(r.sequence_id, []).append(r)
+    for w, parts in full.items():
+        at = 0
+        for r in sorted(parts, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at == 64 or w == max(full)
+    rest = sum(n for k, n in total.items() if k not in ("a", "b"))
+    share = lambda w: Counter({k: sum(r.length for r in full[w] if (r.source if r.source in ("a", "b") else "rest") == k) for k in ("a", "b", "rest")})
+    first = min(total["a"] / 0.25, total["b"] / 0.5, rest / 0.25)
+    for w in range(int(first // 64) - 1):
+        mine = share(w)
+        assert abs(mine["a"] - 16) <= 4 and abs(mine["b"] - 32) <= 4 and abs(mine["rest"] - 16) <= 6
+    assert total["b"] / 0.5 == first  # b runs dry; then a and the rest, one to one
+    w = int(first // 64) + 1
+    assert share(w)["b"] == 0 and abs(share(w)["a"] - 32) <= 4
+    with pytest.raises(ValueError):
+        packing.pack(d, targets={"a": 1.5})
+    many = packing.pack(d.withColumn("source", d.doc_id.cast("string")), window=64, targets={"3": 0.5}).collect()
+    assert sum(r.length for r in many) == sum(size.values())
+
+
 def test_encoder_equals_the_library(docs):
     enc = tokens.Encoder(tokens.vocabulary())
     for t in [*(r.text for r in docs.collect()), "a  b", " x", "x ", "a\n b", "<|endoftext|> a", "１２ ½ x", "it's 'S don't", "  y", "日本 語"]:
