@@ -26,7 +26,7 @@ def op4_substring_dedup(spark, sf_dir):
 
 
 def op5_token_counts(spark, sf_dir):
-    return tokencount.count_tokens(tokencount.standard_edits(_table(spark, sf_dir, "documents")))
+    return tokencount.count_tokens(_table(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark, sf_dir):
