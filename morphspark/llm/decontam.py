@@ -24,7 +24,11 @@ latent spaces.
 
 Words are ASCII letters and digits and all other characters beyond ASCII, in lower
 case. Null texts and items without words take no part; such documents are clean.
-Rows are judged one by one, so repeated rows and null ids get their results.
+Rows are judged one by one, so repeated rows and null ids get their results; of
+repeated items each counts. An empty table of documents gives an empty result, one of
+items leaves all clean. Other columns are kept by drop_contaminated whatever their
+names. Very long texts are taken a chunk of rows at a time; an item of n words needs
+n * n / 8 bytes for its comparison at most.
 """
 
 from __future__ import annotations
@@ -40,6 +44,10 @@ from morphspark.llm import common
 
 SLOTS, RANK, STEP, MATCH, SAME, PARAPHRASE, ANSWER = 18, 192, 32, 0.3, 0.75, 0.5, 5
 ITEMS, ROUNDS = 2_000, 2
+#: Words whose sums of the factorisation travel in one row.
+WIDE = 1024
+#: Words of items that are multiplied at once there.
+WORDS = 20_000
 #: Passages looked at at once.
 PASSAGES = 2048
 PART = 256 << 10
@@ -122,24 +130,46 @@ def latent_space(items: DataFrame, weight: np.ndarray, rank: int = RANK, rounds:
 
         def run(batches):
             place, m = sent.value
-            acc = {}
-            for batch in batches:
-                for s, w in zip(batch.column(0), batch.column(1)):
-                    at = place[s.values.to_numpy()]
-                    w = w.values.to_numpy()
-                    y = w @ m[at]
-                    for a, x in zip(at.tolist(), w.tolist()):
-                        acc[a] = acc.get(a, 0.0) + x * y
-            for i in range(0, len(acc), 1000):
-                part = list(acc.items())[i:i + 1000]
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in part], pa.int64()), pa.array([v.tobytes() for _, v in part])], ["at", "v"])
+            ats, sums = [], []
+            for part in (x for batch in batches for x in rows_of(batch)):
+                s, w = (part.column(i).flatten().to_numpy() for i in (0, 1))
+                if not len(s):
+                    continue
+                row = np.repeat(np.arange(part.num_rows), part.column(0).value_lengths().to_numpy())
+                own, at = np.unique(place[s], return_inverse=True)
+                y, z = np.zeros((part.num_rows, m.shape[1])), np.zeros((len(own), m.shape[1]))
+                np.add.at(y, row, w[:, None] * m[own[at]])
+                np.add.at(z, at, w[:, None] * y[row])
+                ats.append(own)
+                sums.append(z)
+            if ats:
+                yield from told_in_parts(np.concatenate(ats), np.concatenate(sums))
+
+        def rows_of(batch: pa.RecordBatch):
+            """The batch in runs of rows of about WORDS words."""
+            upto, lo = np.cumsum(batch.column(0).value_lengths().to_numpy()), 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + WORDS)))
+                yield batch.slice(lo, hi - lo)
+                lo = hi
+
+        def told_in_parts(at: np.ndarray, v: np.ndarray):
+            for k in np.unique(at // WIDE).tolist():
+                mine = at // WIDE == k
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([at[mine].astype(np.int64).tobytes()]), pa.array([v[mine].tobytes()])], ["part", "at", "v"])
 
         def total(table: pa.Table) -> pa.Table:
-            return pa.table({"at": table.column("at")[:1], "v": pa.array([sum(np.frombuffer(x.as_buffer()) for x in table.column("v")).tobytes()])})
-
-        out = np.zeros_like(m)
-        for r in rows.mapInArrow(common.freed(run), "at bigint, v binary").groupBy("at").applyInArrow(total, "at bigint, v binary").toLocalIterator():
-            out[r.at] = np.frombuffer(r.v)
+            at = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("at")])
+            v = np.concatenate([np.frombuffer(x.as_buffer()) for x in table.column("v")]).reshape(len(at), -1)
+            own, where = np.unique(at, return_inverse=True)
+            z = np.zeros((len(own), v.shape[1]))
+            np.add.at(z, where, v)
+            return pa.table({"part": table.column("part")[:1], "at": pa.array([own.tobytes()]), "v": pa.array([z.tobytes()])})
+
+        out, schema = np.zeros_like(m), "part bigint, at binary, v binary"
+        for r in rows.mapInArrow(common.freed(run), schema).groupBy("part").applyInArrow(total, schema).toLocalIterator():
+            own = np.frombuffer(r.at, np.int64)
+            out[own] = np.frombuffer(r.v).reshape(len(own), -1)
         sent.unpersist()
         return out
 
@@ -255,12 +285,12 @@ class Items:
         return found
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, items_per_block: int = ITEMS) -> DataFrame:
-    """docs with __leaks map<item_id, score> (empty: clean); all columns and rows stay."""
+def mark(docs: DataFrame, benchmark: DataFrame, items_per_block: int = ITEMS, name: str = "__leaks") -> DataFrame:
+    """docs with the column ``name`` map<item_id, score> (empty: clean); all columns and rows stay."""
     spark = docs.sparkSession
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     weight = idf(*document_frequencies(docs))
-    out = docs.withColumn("__leaks", F.create_map().cast("map<bigint,double>"))
+    out = docs.withColumn(name, F.create_map().cast("map<bigint,double>"))
     schema, at = out.schema, len(docs.columns)
     text_at = docs.columns.index("text")
     kind = pa.map_(pa.int64(), pa.float64())
@@ -312,6 +342,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without a leaked item."""
-    return mark(docs, benchmark).where(F.size("__leaks") == 0).select(docs.columns)
+    name = common.free_names(docs.columns, "leaks")[0]
+    return mark(docs, benchmark, name=name).where(F.size(name) == 0).drop(name)
 
 
