@@ -1,20 +1,22 @@
 """WARC archives without repeated payloads: write with revisit records, read back.
 
-Headers (row, digest, length) are small; the first row of each digest is found by
-a partial aggregate (min page_id), so a payload that a third of all pages share
-is one row per task. The rows then join their digest's first row (a sort-merge
-join whose skewed partitions Spark can split) and become records: ``response``
-with the payload, or ``revisit`` that refers to the response's record.
-
-Records go to gzipped WARC files through Spark's own committed writer: a
-record is one row, and the row delimiter is the two line breaks that close a
-WARC record. The reader takes each file whole (unpacked they stay below
+Headers (page_id, url, digest, length) alone are shuffled by payload digest and joined to
+the digest's first row, found by a partial aggregate (min page_id). Revisit records are
+made of headers only. Payloads go through one aggregate that keeps one of each digest, in
+every task before its shuffle too, so a payload that a third of all pages share crosses
+the network once a task; the headers of responses then join the payload of their digest.
+Spark can split the rows of a hot digest in either join.
+
+Each record is a gzip member of its own, in files written by Spark's own committed writer: a
+record is one row, and the row delimiter is an empty gzip member, which unpacks to
+nothing. The reader takes each file whole (unpacked they stay below
 ``FILE_BYTES`` or hold one record) and cuts it by Content-Length, so payloads may hold anything.
 
 Null html is the empty payload. A payload below ``min_revisit_bytes`` is always a
 response. The response of a digest is the row with the smallest page_id; null ids
 come last. Rows that repeat that page_id with the same payload are responses too.
-Other columns of the input are ignored.
+An empty table gives empty archives and an empty result. Other columns of the input are
+ignored, whatever their names. A very long payload is one record.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import base64
 import datetime
 import gzip
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +36,10 @@ from morphspark.llm import common
 
 FILE_BYTES = 32 << 20
 CRLF = "\r\n"
+#: A gzip member without content, as a string of its bytes.
+EMPTY = "\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
+#: Level of the gzip members.
+LEVEL = 1
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 #: The profile of revisit records with an identical payload, as the WARC 1.1 standard names it.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -55,15 +62,16 @@ def record_id(digest, page_id):
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)), F.lit(">"))
 
 
-def resolve(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """Rows with payload, digest, record_type and refers_to."""
+def resolve(pages: DataFrame, min_revisit_bytes: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(headers, payloads): a row a page with sha1, payload_bytes, payload_digest, first_id and revisit; one payload a sha1."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]", "").alias("url"), payload.alias("payload"))
-    rows = rows.select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    firsts = rows.groupBy("sha1").agg(F.min("page_id").alias("first_id"))
-    known = rows.join(firsts, "sha1")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\r\n]", "").alias("url"),
+                        F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("payload_bytes"))
+    firsts = common.apart(rows.groupBy("sha1").agg(F.min("page_id").alias("first_id")), "sha1")
     revisit = (F.col("payload_bytes") >= min_revisit_bytes) & F.coalesce(F.col("page_id") != F.col("first_id"), F.col("first_id").isNotNull())
-    return known.select("*", base32_of_hex(F.col("sha1")).alias("payload_digest"), revisit.alias("revisit"))
+    headers = rows.join(firsts, "sha1").select("*", base32_of_hex(F.col("sha1")).alias("payload_digest"), revisit.alias("revisit"))
+    payloads = pages.select(F.sha1(payload).alias("sha1"), payload.alias("payload")).groupBy("sha1").agg(F.any_value("payload").alias("payload"))
+    return headers, payloads
 
 
 def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: str | None = None) -> None:
@@ -89,10 +97,24 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: str | N
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", length.cast("string")),
         F.lit(CRLF), http)
-    body = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload"))
-    record = F.concat(F.encode(head, "UTF-8"), body).cast("string")  # bytes stay as they are
-    (resolve(pages, min_revisit_bytes).select(record.alias("value")).write
-     .option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", max(1, FILE_BYTES // (most + 2048))).text(path))
+    headers, payloads = resolve(pages, min_revisit_bytes)
+    headers = headers.select("sha1", "revisit", F.encode(head, "UTF-8").alias("head"))
+    revisits = headers.where("revisit").select("head", F.lit(None).cast("binary").alias("payload"))
+    responses = headers.where("not revisit").join(common.apart(payloads, "sha1") if min_revisit_bytes else payloads, "sha1").select("head", "payload")
+    packed = responses.union(revisits).mapInArrow(common.freed(_members), "member binary")
+    (packed.select(F.col("member").cast("string").alias("value")).write  # bytes stay as they are
+     .option("lineSep", EMPTY).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", max(1, FILE_BYTES // (most + 2048))).text(path))
+
+
+def _members(batches):
+    """Each record (head, payload) as a gzip member."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part, out = batch.slice(lo, 256), []
+            for head, payload in zip(part.column(0), part.column(1)):
+                c = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+                out.append(b"".join([c.compress(head.as_buffer()), c.compress(payload.as_buffer() if payload.is_valid else b""), c.compress(b"\r\n\r\n"), c.flush()]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
 
 def plain(data: bytes) -> bytes:
