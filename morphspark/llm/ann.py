@@ -9,8 +9,9 @@ original vectors in double precision.
 Every row is hashed, in the task that reads it: the tables of a batch are built,
 probed by the queries and dropped, so neither the index nor candidate pairs are
 ever shuffled. A task keeps its ``k`` nearest per query; one window over these
-gives the result. Queries come in blocks of at most ``BLOCK`` (the bound of what
-is broadcast); each block is a pass over the rows.
+gives the result. The stated queries come in blocks of at most ``BLOCK`` (the bound of
+what the driver holds and broadcasts at once); each block is a pass over the rows, whose
+nearest are written to the shared folder before the next block is read.
 
 Equal vectors of a batch are one entry with its smallest ids, as ties go to the
 smaller id and no more than k + 1 can appear: a hot group of copies costs one
@@ -161,7 +162,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 10, dim: int | None = N
                     a, i, d = search_batch(batch.column(0).to_numpy(), x, q_ids, q, lists, signs, k)
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(i), pa.array(d)], ["query_id", "vec_id", "score"])
 
-        return base.mapInArrow(common.freed(run), "query_id bigint, vec_id bigint, score double")
+        near = common.stored(base.mapInArrow(common.freed(run), "query_id bigint, vec_id bigint, score double"), "nearest")
+        told.unpersist()
+        return near
 
     ids, vectors = [], []
     for r in asked.toLocalIterator():
