@@ -62,6 +62,10 @@ class Result:
     def __getitem__(self, alias: str) -> dict[str, DataFrame]:
         return self.models[alias].tables
 
+    def together(self) -> DataFrame:
+        """All targets in one table (_model, _class, _id and every feature, null where a class has none), from one scan for each rule."""
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), self.rules.wide)
+
     def find_element(self, element_id: str) -> DataFrame:
         """model, _id, _class of the element with that id; of the targets if one of them has it, else of the sources."""
         parts = [t.select(F.lit(0).alias("side"), F.lit(a).alias("model"), "_id", "_class") for a, m in self.models.items() for t in m.tables.values()]

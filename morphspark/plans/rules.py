@@ -29,6 +29,8 @@ class RuleSet:
         self.compiler = Compiler(module, models, registered, self)
         self.requests: dict[str, list[tuple[DataFrame, list]]] = {}
         self._trace: DataFrame | None = None
+        #: For each rule run, all its targets together.
+        self.wide: list[DataFrame] = []
 
     def named(self, name: str) -> A.Rule | None:
         return next((r for r in self.module.rules if r.name == name and r.kind != "matched"), None)
@@ -71,8 +73,9 @@ class RuleSet:
                 frame, env = self.frame(rule)
                 source = self.source_id(rule, env)
                 cls = F.col(f"{rule.sources[0].var}___class")
-                for t in rule.targets:
-                    parts.append(frame.df.select(F.lit(rule.name).alias("rule"), cls.alias("source_class"), source.alias("source_id"), F.lit(t.var).alias("pattern_var"), F.lit(t.type.split("!")[-1]).alias("target_class"), self.target_id(rule.name, t.var, source).alias("target_id")))
+                links = [F.struct(F.lit(t.var).alias("pattern_var"), F.lit(t.type.split("!")[-1]).alias("target_class"), self.target_id(rule.name, t.var, source).alias("target_id")) for t in rule.targets]
+                made = frame.df.select(F.lit(rule.name).alias("rule"), cls.alias("source_class"), source.alias("source_id"), F.explode(F.array(*links)).alias("link"))  # one scan for all targets
+                parts.append(made.select("rule", "source_class", "source_id", "link.*"))
             spark = next(iter(next(iter(self.models.values())).tables.values())).sparkSession
             self._trace = reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], TRACE)
         return self._trace
@@ -149,7 +152,25 @@ class RuleSet:
             self._check(alias, cls, t)
             columns = [(b.feature, self.value(self.compiler.lower(b.value, scope, frame), frame, self.compiler)) for b in t.bindings]
             made.append((alias, cls, t.var, columns))
-        return [(alias, cls, frame.df.select(ids[var].alias("_id"), F.lit(cls).alias("_class"), *[c.alias(n) for n, c in columns])) for alias, cls, var, columns in made]
+        parts = [(alias, cls, frame.df.select(ids[var].alias("_id"), F.lit(cls).alias("_class"), *[c.alias(n) for n, c in columns])) for alias, cls, var, columns in made]
+        self.wide.append(self._together(frame, [(alias, cls, ids[var], columns, df) for (alias, cls, var, columns), (_, _, df) in zip(made, parts)]))
+        return parts
+
+    def _together(self, frame: Frame, targets: list) -> DataFrame:
+        """All targets of a rule from one scan of its source: _model, _class, _id and every feature, null where a class lacks it.
+
+        A feature whose type differs between the rule's classes is text.
+        """
+        types: dict[str, set[str]] = {}
+        for _, _, _, columns, df in targets:
+            for n, _ in columns:
+                types.setdefault(n, set()).add(df.schema[n].dataType.simpleString())
+        kinds = {n: next(iter(t)) if len(t) == 1 else "string" for n, t in types.items()}
+        rows = []
+        for alias, cls, key, columns, _ in targets:
+            has = dict(columns)
+            rows.append(F.struct(F.lit(alias).alias("_model"), F.lit(cls).alias("_class"), key.alias("_id"), *[(has[n] if n in has else F.lit(None)).cast(t).alias(n) for n, t in kinds.items()]))
+        return frame.df.select(F.inline(F.array(*rows)))
 
     def _check(self, alias: str, cls: str, t: A.TargetPattern) -> None:
         model = next((m for a, m in self.targets.items() if alias in (a, m.metamodel.name)), None)

@@ -189,8 +189,9 @@ def flagship_rule(spark, sf_dir):
 
 
 def rule_two_targets(spark, sf_dir):
-    bank = _run(spark, sf_dir)["BANK"]
-    return bank["Account"].select(F.lit("Account").alias("cls"), F.col("_id").alias("id"), F.col("owner").alias("v")).union(bank["Badge"].select(F.lit("Badge"), "_id", "account"))
+    rule = RULES[RULES.index("rule C2A"):RULES.index("rule Emp")]
+    both = _run(spark, sf_dir, f"module Two; create OUT : Bank from IN : Shop; {rule}").together()
+    return both.select(F.col("_class").alias("cls"), F.col("_id").alias("id"), F.coalesce("owner", "account").alias("v"))
 
 
 def rule_overlap(spark, sf_dir):

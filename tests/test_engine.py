@@ -2,13 +2,16 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from morphspark import queries as Q
 from morphspark.engine import Engine
-from morphspark.errors import MissingModel, ReadOnlyModel, UnknownFeature
+from morphspark.errors import MissingModel, ReadOnlyModel, UnknownFeature, UnsupportedFormat
 from morphspark.evaluate import Evaluator
 from morphspark.lang.parser import parse_expression
 from morphspark.metamodel import Metamodel, Model, Reference
+from morphspark.operators.ranks import global_rank
+from morphspark.sources.resource import load_model, save_model
 from tests.test_language import CASES
 
 SF = "/root/testdata/sf0.001"
@@ -34,48 +37,85 @@ def test_against_sql(spark, duck, name):
     assert got == sorted((tuple(x[names.index(c)] for c in columns) for x in r.fetchall()), key=str)
 
 
-def people(spark):
-    mm = Metamodel("People")
-    mm.add("Member", {"id": "Integer", "first": "String", "age": "Integer"}, [Reference("mother", "Family", "mother"), Reference("daughter", "Family", "daughter")], "id")
-    mm.add("Family", {"id": "Integer", "last": "String"}, [], "id")
-    return Model(mm, {"Member": spark.createDataFrame([(1, "John", 30, None, None), (2, "Jane", 28, None, None)], "id long, first string, age int, mother long, daughter long"), "Family": spark.createDataFrame([], "id long, last string")})
+def depot(spark):
+    mm = Metamodel("Depot")
+    mm.add("Parcel", {"id": "Integer", "label": "String", "weight": "Integer"}, [Reference("courier", "Courier", "courier")], "id")
+    mm.add("Courier", {"id": "Integer", "name": "String"}, [Reference("parcels", "Parcel", opposite="courier")], "id")
+    parcels = spark.createDataFrame([(1, "lamp", 3, 7), (2, "anvil", 60, 7), (3, "stool", 5, None)], "id long, label string, weight int, courier long")
+    return Model(mm, {"Parcel": parcels, "Courier": spark.createDataFrame([(7, "Ada"), (8, "Bo")], "id long, name string")})
 
 
-PERSONS = """module Families; create OUT : Persons from IN : People;
-helper context People!Member def : isFemale() : Boolean = if not self.mother.oclIsUndefined() then true else not self.daughter.oclIsUndefined() endif;
-rule Male { from s : People!Member (not s.isFemale()) to t : Persons!Male (fullName <- s.first + ' TestName') }
-rule Female { from s : People!Member (s.isFemale()) to t : Persons!Female (fullName <- s.first) }
+ROUTES = """module Routes; create OUT : Plan from IN : Depot;
+helper context Depot!Parcel def : needsVan() : Boolean = self.weight > 20 or self.courier.oclIsUndefined();
+rule Van { from p : Depot!Parcel (p.needsVan()) to t : Plan!Ride (title <- p.label + '!') }
+rule Bike { from p : Depot!Parcel (not p.needsVan()) to t : Plan!Trip (title <- p.label, by <- p.courier.name) }
 """
 
 
-def test_members_become_persons(spark):
-    out = Engine(spark, PERSONS).source("IN", people(spark)).run()
-    assert sorted(r.fullName for r in out["OUT"]["Male"].collect()) == ["Jane TestName", "John TestName"]
-    assert out["OUT"]["Female"].count() == 0
+def test_parcels_become_rides(spark):
+    engine = Engine(spark, ROUTES).source("IN", depot(spark))
+    out = engine.run()
+    assert sorted(r.title for r in out["OUT"]["Ride"].collect()) == ["anvil!", "stool!"]
+    assert [(r.title, r.by) for r in out["OUT"]["Trip"].collect()] == [("lamp", "Ada")]
     report = out.report()
-    assert report.rules == {"Male": 2} and report.created == 2 and "2 elements" in str(report)
+    assert report.rules == {"Van": 2, "Bike": 1} and report.created == 3 and "3 elements" in str(report)
+    assert report.uses["helper needsVan"] >= 2 and report.uses["navigation Courier"] >= 1
+    assert [x[2] for x in engine.diagnostics.timeline] == ["rule Van planned", "rule Bike planned"]
 
 
 def test_checks(spark):
+    engine = Engine(spark, ROUTES)
     with pytest.raises(MissingModel):
-        Engine(spark, PERSONS).run()
-    target = Metamodel("Persons")
-    target.add("Male", {"other": "String"})
-    target.add("Female", {"fullName": "String"})
+        engine.run()
+    assert engine.diagnostics.errors == ["MissingModel: no model for source IN"]
+    target = Metamodel("Plan")
+    target.add("Ride", {"other": "String"})
+    target.add("Trip", {"title": "String", "by": "String"})
     with pytest.raises(UnknownFeature):
-        Engine(spark, PERSONS).source("IN", people(spark)).run({"Persons": target})
+        Engine(spark, ROUTES).source("IN", depot(spark)).run({"Plan": target})
     with pytest.raises(ReadOnlyModel):
-        people(spark).add("Member", spark.range(1))
+        depot(spark).add("Parcel", spark.range(1))
 
 
-def test_model_services(spark):
-    m = people(spark)
-    assert m.all_elements().count() == 2 and m.find("Member", lambda f: f("age") > 29).first()._id == "Member:1"
-    assert m.contains(m.element("Member:2").select("_id")).count() == 1
+def test_model_services(spark, tmp_path):
+    m = depot(spark)
+    assert m.all_elements().count() == 5 and m.find("Parcel", lambda f: f("weight") > 29).first()._id == "Parcel:2"
+    assert m.contains(m.element("Parcel:2").select("_id")).count() == 1
     out = Model(m.metamodel, m.tables, writable=True)
-    out.add("Member", spark.createDataFrame([(3, "Al")], "id long, first string"))
-    out.remove("Member", spark.createDataFrame([(1,)], "id long"))
-    assert out.tables["Member"].count() == 2 and out.statistics()["created"] == 1
+    out.add("Parcel", spark.createDataFrame([(4, "bench")], "id long, label string"))
+    out.remove("Parcel", spark.createDataFrame([(1,)], "id long"))
+    assert out.tables["Parcel"].count() == 3 and out.statistics()["created"] == 1
+    for fmt in ("parquet", "json"):
+        save_model(m, f"file://{tmp_path}/{fmt}", fmt)
+        back = load_model(spark, m.metamodel, f"file://{tmp_path}/{fmt}", fmt)
+        assert sorted(r._id for r in back.all_elements().collect()) == sorted(r._id for r in m.all_elements().collect())
+    with pytest.raises(UnsupportedFormat):
+        save_model(m, str(tmp_path), "doc")
+
+
+def test_caches_and_plans(spark):
+    engine = Engine(spark, ROUTES).source("IN", depot(spark)).cache()
+    assert engine.cache_statistics() == {"IN": 2}
+    assert "InMemoryTableScan" in engine.explain("Depot!Parcel.allInstances()->collect(p | Tuple{l = p.label})", "simple")
+    engine.clear_caches()
+    assert engine.cache_statistics() == {"IN": 0}
+
+
+def test_order_of_results(spark):
+    engine = Engine(spark, ROUTES).source("IN", depot(spark))
+    assert [r.l for r in engine.evaluate("Depot!Parcel.allInstances()->sortedBy(p | p.label)->collect(p | Tuple{l = p.label})").collect()] == ["anvil", "lamp", "stool"]
+    assert [(r.l, r.i) for r in engine.evaluate("Depot!Parcel.allInstances()->sortedBy(p | -p.weight)->collect(p | Tuple{l = p.label})", position="i").orderBy("i").collect()] == [("anvil", 1), ("stool", 2), ("lamp", 3)]
+    rows = engine.evaluate("Depot!Courier.allInstances()->collect(c | Tuple{n = c.name, u = c.parcels->isUnique(p | p.courier), s = c.parcels->sortedBy(p | -p.weight)->collect(p | p.label)})").collect()
+    assert {r.n: list(r.s) for r in rows} == {"Ada": ["anvil", "lamp"], "Bo": []}
+
+
+def test_global_rank(spark):
+    df = spark.range(0, 5000).selectExpr("id % 700 as v", "id")
+    got = global_rank(df, [F.col("v"), F.col("id")], "i", bounds=7).orderBy("v", "id").select("i").collect()
+    assert [r.i for r in got] == list(range(1, 5001))
+    plan = global_rank(df, [F.col("v"), F.col("id")], "i")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("windowspecdefinition(") == plan.count("windowspecdefinition(i$range") > 0
+    assert global_rank(df.limit(0), [F.col("v")], "i").count() == 0
 
 
 @pytest.mark.parametrize("text,value", [c for c in CASES if c[0] not in ("3 <- 1",) and not isinstance(c[1], dict)])
@@ -107,6 +147,9 @@ def test_plans(spark):
     assert "PushedFilters: [IsNotNull(c_acctbal), GreaterThan(c_acctbal,5000.0)]" in plan("select_filter")
     assert "LeftSemi" in plan("exists_semi") and "LeftAnti" in plan("forall_anti")
     assert plan("nav_chain").count("FileScan") == 3
+    assert "LeftSemi" in plan("includes_semi") and "LeftAnti" in plan("excludes_anti")
+    assert "SinglePartition" not in plan("at_per_parent")
+    assert plan("rule_two_targets").count("FileScan") == 1 and plan("trace_links").count("FileScan") <= 2
 
 
 def test_entry(spark):

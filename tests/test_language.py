@@ -1,6 +1,6 @@
 import pytest
 
-from morphspark.errors import DivisionByZero, ParseError, TypeMismatch, UnknownOperation, UnknownVariable
+from morphspark.errors import Diagnostics, DivisionByZero, ParseError, TypeMismatch, UnknownOperation, UnknownVariable
 from morphspark.evaluate import Evaluator, Unique
 from morphspark.lang import ast as A
 from morphspark.lang.parser import parse_expression, parse_module
@@ -9,9 +9,11 @@ from morphspark.sources.resource import load_module, save_module
 from morphspark.sources.xmi import expression_from_xmi, expression_to_xmi, module_from_xmi, module_to_xmi
 
 CASES = [
-    ("10 + 5", 15), ("7 * 6", 42), ("100 / 4", 25.0), ("'test' = 'test'", True), ("10 > 5", True), ("true and false", False), ("true xor true", False), ("false implies false", True),
-    ("Sequence{1,2,3}->size()", 3), ("'Hello World'.size()", 11), ("Sequence{'apple','banana'}->includes('banana')", True), ("'Hello World'.toUpperCase()", "HELLO WORLD"),
-    ("15.mod(4)", 3), ("8.isEven()", True), ("5.square()", 25), ("3.power(4)", 81), ("-7 div 2", -3), ("0.5 + 1", 1.5), ("'abc'.reverse()", "cba"), ("'abcdef'.substring(2, 4)", "bcd"),
+    ("23 + 19", 42), ("12 * 11", 132), ("9 / 4", 2.25), ("'oak' = 'oak'", True), ("2 > 31", False), ("false or true", True), ("true xor false", True), ("true implies false", False),
+    ("Sequence{4,9}->size()", 2), ("'quay'.size()", 4), ("Sequence{'fig','yew'}->includes('elm')", False), ("'Parcel no 7'.toUpperCase()", "PARCEL NO 7"),
+    ("29.mod(6)", 5), ("13.isEven()", False), ("12.square()", 144), ("2.power(10)", 1024), ("-7 div 2", -3), ("0.5 + 1", 1.5), ("'drawer'.reverse()", "reward"), ("'abcdef'.substring(2, 4)", "bcd"),
+    ("'a.b.c'.split('.')->size()", 3), ("'x+y+z'.replaceAll('+', '-')", "x-y-z"), ("(0.1 + 0.2).toString()", "0.30000000000000004"), ("(5.0 * 2000000).toString()", "1.0E7"), ("0.00025.toString()", "2.5E-4"), ("12.5.toString()", "12.5"),
+    ("Sequence{1,2}->includesAll(Sequence{2})", True), ("Set{1,2} = Set{2,1}", True), ("Sequence{1,2} = Sequence{2,1}", False),
     ("Sequence{1,2,3,4,5,6}->select(n | n.mod(2) = 0)", [2, 4, 6]), ("Sequence{1,2,3}->reject(n | n > 2)", [1, 2]), ("Sequence{1,2}->collect(n | n * n)", [1, 4]), ("Sequence{1,2}->exists(n | n = 2)", True),
     ("Sequence{}->forAll(n | n = 2)", True), ("Sequence{1,2,2}->one(n | n = 2)", False), ("Sequence{3,1,2}->sortedBy(n | n)->first()", 1), ("Sequence{1,2,3}->any(n | n > 1)", 2), ("Set{1,1,2}->size()", 2),
     ("Sequence{1,2}->union(Sequence{2})", [1, 2, 2]), ("Set{1,2}->union(Set{2,3})", Unique([1, 2, 3])), ("Sequence{1,2,2}->intersection(Sequence{2})", [2, 2]), ("Sequence{Sequence{1},Sequence{2}}->flatten()", [1, 2]),
@@ -64,7 +66,7 @@ def test_module_and_xmi(tmp_path):
     save_module(m, tmp_path / "m.xmi")
     assert load_module(tmp_path / "m.xmi")[0] == m
     ev = Evaluator(m)
-    assert ev.eval(parse_expression("q")) if False else ev.eval(parse_expression("fact(5) + 4.twice()")) == 128
+    assert ev.eval(parse_expression("fact(5) + 4.twice()")) == 128
 
 
 def test_ecore():
@@ -72,3 +74,23 @@ def test_ecore():
       <eClassifiers xsi:type="ecore:EClass" name="Base"><eStructuralFeatures xsi:type="ecore:EAttribute" name="id" eType="ecore:EDataType http://www.eclipse.org/emf/2002/Ecore#//EString" iD="true"/></eClassifiers>
       <eClassifiers xsi:type="ecore:EClass" name="Member" eSuperTypes="#//Base"><eStructuralFeatures xsi:type="ecore:EReference" name="father" eType="#//Member"/></eClassifiers></ecore:EPackage>""")
     assert mm.key("Member") == "id" and mm.lineage("Member") == ["Member", "Base"] and not mm.feature("Member", "father").many
+
+
+def test_parsing_goes_on_after_errors():
+    errors = []
+    m = parse_module("module M; query a = ; query b = 2; rule R { to } helper def : c : Integer = 3;", errors)
+    assert [q.name for q in m.queries] == ["b"] and [h.name for h in m.helpers] == ["c"] and len(errors) == 2 and all(isinstance(e, ParseError) for e in errors)
+    with pytest.raises(ParseError):
+        parse_module("module M; query a = ;")
+
+
+def test_diagnostics():
+    d, other = Diagnostics(), Diagnostics()
+    d.event("begun")
+    d.warning("no semicolon")
+    d.error("no model")
+    other.errors, other.warnings = ["no model"], ["no semicolon"]
+    assert d == other and [x[1] for x in d.timeline] == ["event", "warning", "error"]
+    assert d.summary() == "1 errors\n  no model\n1 warnings\n  no semicolon"
+    d.clear()
+    assert not d.errors and not d.timeline and d.summary() == ""
