@@ -17,7 +17,8 @@ Equal vectors of a batch are one entry with its smallest ids, as ties go to the
 smaller id and no more than k + 1 can appear: a hot group of copies costs one
 comparison. Null, zero and non-finite vectors, vectors of another dimension than
 ``dim``, and null ids take no part. Rows that repeat a vec_id are ranked as they
-stand, except a query's own id.
+stand, except a query's own id; equal distances are ranked by vec_id. An empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

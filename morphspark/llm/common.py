@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,15 +27,41 @@ FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
+    """A new folder below ``spark.checkpoint.dir`` (or setCheckpointDir's), which every executor can reach.
 
-    Only where that setting is missing (tests) a folder of this machine is used.
+    Only where neither is set and Spark runs in this one process (tests) is it a folder of this machine.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(spark, "_morphspark_dir", None) or f"file://{tempfile.mkdtemp(prefix='morphspark-')}"
         spark._morphspark_dir = base
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _made(spark)[0].append(path)
+    return path
+
+
+def _made(spark: SparkSession) -> tuple[list[str], list[str]]:
+    """Folders and tables that this session has made."""
+    if not hasattr(spark, "_morphspark_made"):
+        spark._morphspark_made = ([], [])
+    return spark._morphspark_made
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete what the operators have stored in this session; results that still read it must be written before. Returns how many went."""
+    paths, tables = _made(spark)
+    n = len(paths) + len(tables)
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for name in tables:
+        spark.sql(f"drop table if exists {name}")
+    paths.clear()
+    tables.clear()
+    return n
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -96,6 +123,7 @@ def distinct_texts(docs: DataFrame, tag: str) -> DataFrame:
     name = f"{tag}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (once.repartition(n, "th").write.option("compression", "zstd").bucketBy(n, "th").sortBy("th").saveAsTable(name))
+    _made(spark)[1].append(name)
     return spark.table(name)
 
 

@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from morphspark.llm import common
 
-WINDOW, GRAM, BUDGET = 35, 8, 1 << 16
+WINDOW, GRAM, BUDGET = 35, 8, 1 << 14
 #: Words of the prefixes that split a group beyond BUDGET, before the whole window.
 LENGTHS = (4, 12, 20)
 SEP = common.separators()

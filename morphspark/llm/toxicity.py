@@ -13,7 +13,9 @@ term leaves few weights, which are broadcast.
 
 Nulls: a null text is empty and gets the score of the bias alone; a null doc_id
 is never trained on and counts as not held out. Repeated rows give repeated
-results. No labelled rows: every score is 0.
+results. No labelled rows: every score is 0. An empty table gives an empty result. Very
+long texts are taken whole, a chunk of rows at a time. drop_toxic keeps all other
+columns, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ import time
 import zlib
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -237,6 +238,15 @@ def test_near_duplicates_keep_other_columns(spark):
     assert got.columns == d.columns and sorted((r.doc_id, r.text or "", r[2], r[3]) for r in got.collect()) == [(1, "", 3, 9), (1, "a b c d e f", 2, 8)]
 
 
+def test_clean_up(spark):
+    before = neardup.common.clean_up(spark)
+    got = neardup.near_duplicates(table(spark, ["a b c d e f g", "a b c d e f g", "x"]))
+    assert got.count() == 3 and before >= 0
+    paths, tables = (list(x) for x in neardup.common._made(spark))
+    assert neardup.common.clean_up(spark) == len(paths) + len(tables) > 5
+    assert not any(spark.catalog.tableExists(t) for t in tables) and not any(Path(p.removeprefix("file://")).exists() for p in paths)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 200), (200, 100), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
@@ -409,6 +419,37 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(more, lab).columns == more.columns
 
 
+def test_ftrl_equals_brute_force():
+    """One pass of FTRL-proximal against per-coordinate arithmetic, and features against sets of words, stems, pairs and skips."""
+    rng = np.random.default_rng(1)
+    rows = [(np.unique(rng.integers(0, 40, int(rng.integers(1, 12)))).astype(np.int32), float(rng.integers(0, 2))) for _ in range(200)]
+    z, n = np.zeros(41), np.zeros(41)
+    toxicity.learn(rows, z, n)
+    zs, ns = [0.0] * 41, [0.0] * 41
+
+    def weight(i):
+        if abs(zs[i]) <= toxicity.L1:
+            return 0.0
+        return -(zs[i] - np.sign(zs[i]) * toxicity.L1) / ((toxicity.BETA + ns[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for slots, label in rows:
+        own = [*slots.tolist(), 40]
+        w = {i: weight(i) for i in own}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - label
+        for i in own:
+            sigma = ((ns[i] + g * g) ** 0.5 - ns[i] ** 0.5) / toxicity.ALPHA
+            zs[i] += g - sigma * w[i]
+            ns[i] += g * g
+    assert np.allclose(z, zs) and np.allclose(n, ns) and 0 < np.count_nonzero(toxicity.weights(z, n)) < 41
+    texts = ["one two three one", "", "internationally two", "a"]
+    raw = [t.encode() for t in texts]
+    slots, off = toxicity.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 30)
+    for i, t in enumerate(texts):
+        w = t.split()
+        want = {*w, *((k, x[:k]) for x in w for k in toxicity.STEMS if len(x) > k), *((g, a, b) for g in (1, 2) for a, b in zip(w, w[g:]))}
+        assert off[i + 1] - off[i] == len(want)
+
+
 def test_packing(spark, docs):
     d = docs.limit(60).union(table(spark, ODD)).union(docs.limit(1))
     enc = tokens.Encoder(tokens.vocabulary())
