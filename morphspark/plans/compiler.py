@@ -5,12 +5,14 @@ filter, collect a projection, quantifiers and folds are grouped aggregates that
 left join (in guards: a semi or anti join) brings back to the rows they belong to.
 Collections held in a column are handled by higher-order functions. Navigation to
 one element is a left join, made once per path and only if a feature is read.
-Nothing runs here; Catalyst plans and executes.
+Nothing runs here; Catalyst plans and executes. The exception is a helper that calls
+itself on other elements: it is solved for all elements of its class, level by level.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import fields, replace
 from functools import reduce
 
 import pandas as pd
@@ -28,6 +30,10 @@ from morphspark.operators.ranks import global_rank
 from morphspark.plans.values import Frame, ModuleV, ObjV, SetV, TupleV, TypeV, V, column, type_of
 
 
+#: Levels of elements that a recursive helper may pass.
+LEVELS = 200
+
+
 def literal(v):
     """A driver value as a constant column."""
     if v is None:
@@ -64,6 +70,9 @@ class Compiler:
         self.inlining: list[str] = []
         #: How often each helper was put in place and each class navigated to.
         self.uses: Counter[str] = Counter()
+        #: Helpers being solved: the values known so far of each element (key, value) and their type.
+        self.solving: dict[str, tuple[DataFrame, object]] = {}
+        self.solved: dict[tuple[str, str], tuple[DataFrame, object]] = {}
 
     # models
 
@@ -354,10 +363,12 @@ class Compiler:
         params = h.params or ()
         if len(params) != len(args):
             raise InvalidOperation(f"{name} takes {len(params)} arguments, not {len(args)}")
-        if name in self.inlining:
-            return self._recursive(h, receiver, args)
-        if self._recurses(h):
-            return self._recursive(h, receiver, args)
+        if name in self.inlining or self._recurses(h):
+            if isinstance(receiver, ObjV) and not args:
+                known = self.solving.get(name) or self._solve(h, receiver)
+                return self._lookup(known, receiver, frame)
+            counted = self._counted(h, args, env, frame) if receiver is None or h.context is None else None
+            return counted or self._recursive(h, receiver, args)
         self.inlining.append(name)
         try:
             scope = {p.name: a for p, a in zip(params, args)}
@@ -398,6 +409,74 @@ class Compiler:
             todo += A.children(x)
         return False
 
+    def _solve(self, h: A.Helper, receiver: ObjV) -> tuple[DataFrame, object]:
+        """(key, value) of a recursive helper for all elements of its context, and the value's type.
+
+        Each round works the body out with the values of the round before (null at first), so the elements
+        whose calls are answered gain theirs, a level a round; it ends when nothing changes. Every round is a
+        job; its table is checkpointed where the session has a folder for that, else kept by Spark.
+        """
+        alias, cls = receiver.alias, h.context.split("!")[-1] if h.context and "!" in h.context else receiver.cls
+        if (alias, h.name) in self.solved:
+            return self.solved[alias, h.name]
+        kind, before = ty.parse(h.result), None
+        for _ in range(LEVELS):
+            frame, obj = self.scan(alias, cls, self._prefix(cls))
+            spark = frame.df.sparkSession
+            if before is None:
+                before = frame.df.select(column(obj).alias("key"), F.lit(None).cast(ty.to_spark(kind)).alias("value")).limit(0)
+            self.solving[h.name] = (before, kind)
+            try:
+                value = self.lower(h.body, {"self": obj}, frame)
+            finally:
+                del self.solving[h.name]
+            now = frame.df.select(column(obj).alias("key"), column(value).cast(ty.to_spark(kind)).alias("value"))
+            now = now.checkpoint() if spark.sparkContext.getCheckpointDir() else now.persist()
+            old = before.select("key", F.col("value").alias("old"))
+            if not now.join(old, "key", "left").where(~F.col("value").eqNullSafe(F.col("old"))).head(1):
+                if not self.solving:  # else it holds for this round of another helper only
+                    self.solved[alias, h.name] = (now, kind)
+                return now, kind
+            before = now
+        raise InvalidOperation(f"{h.name}: recursion deeper than {LEVELS} levels, or without end")
+
+    def _lookup(self, known: tuple[DataFrame, object], obj: ObjV, frame: Frame) -> V:
+        """The solved value of an element, joined by its key."""
+        df, kind = known
+        key, name = frame.fresh("k"), frame.fresh("solved")
+        frame.df = frame.df.join(df.select(F.col("key").alias(key), F.col("value").alias(name)), column(obj) == F.col(f"`{key}`"), "left").drop(key)
+        return V(F.col(f"`{name}`"), kind)
+
+    def _counted(self, h: A.Helper, args: list, env: dict, frame: Frame | None) -> V | None:
+        """f(n) = if n < K then base else step(n, f(n - c)) as a fold over n's steps, without Python; None if h has another form."""
+        names, body = [p.name for p in h.params or ()], h.body
+        if not (isinstance(body, A.If) and isinstance(body.cond, A.Bin) and body.cond.op in ("<", "<=", "=") and isinstance(body.cond.left, A.Var) and body.cond.left.name in names):
+            return None
+        at, limit = names.index(body.cond.left.name), body.cond.right
+        calls = {x for x in _walk(body.other) if isinstance(x, A.Call) and x.name == h.name}
+        if len(calls) != 1 or any(isinstance(x, (A.Call, A.Nav)) and x.name == h.name for y in (body.then, *next(iter(calls)).args) for x in _walk(y)) or type_of(args[at]) != ty.INTEGER:
+            return None
+        call = next(iter(calls))
+        down = call.args[at] if call.source in (None, A.Var("thisModule")) and len(call.args) == len(names) else None
+        same = down is not None and all(a == A.Var(n) for i, (a, n) in enumerate(zip(call.args, names)) if i != at)
+        if not (same and isinstance(down, A.Bin) and down.op == "-" and down.left == A.Var(names[at]) and isinstance(down.right, A.Lit) and type(down.right.value) is int and down.right.value > 0
+                and isinstance(limit, A.Lit) and type(limit.value) is int):
+            return None
+        n, c, kind = column(args[at]), down.right.value, ty.parse(h.result)
+        last = limit.value - (body.cond.op == "<")  # no step is left at this n or below
+        steps = F.when(n > last, F.ceil((n - last) / F.lit(c)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+
+        def value(x: A.Expr, place: Column, acc: Column | None = None) -> Column:
+            scope = dict(zip(names, args)) | {names[at]: V(place, ty.INTEGER)} | ({"$acc": V(acc, kind)} if acc is not None else {})
+            return column(self.lower(x, scope, frame)).cast(ty.to_spark(kind))
+
+        base = value(body.then, n - steps * c)
+        if body.cond.op == "=":
+            base = F.when(n - steps * c == last, base).otherwise(F.raise_error(F.lit(f"{h.name}: recursion without end")).cast(ty.to_spark(kind)))
+        step = _swap(body.other, call, A.Var("$acc"))
+        folded = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(steps, F.lit(1))), base, lambda acc, i: value(step, n - (steps - i) * c, acc))
+        return V(F.when(n.isNotNull(), F.when(steps > 0, folded).otherwise(base)), kind)
+
     def _recursive(self, h: A.Helper, receiver, args: list) -> V:
         """A recursive helper over columns: Arrow batches through the driver's evaluator, once per different argument."""
         result = ty.parse(h.result)
@@ -877,6 +956,17 @@ class Compiler:
         frame.df = frame.df.where(kept)
 
 
+def _swap(e, old: A.Expr, new: A.Expr):
+    """e with ``old`` replaced everywhere."""
+    if e == old:
+        return new
+    if isinstance(e, tuple):
+        return tuple(_swap(x, old, new) for x in e)
+    if isinstance(e, A.Expr):
+        return replace(e, **{f.name: _swap(getattr(e, f.name), old, new) for f in fields(e)})
+    return e
+
+
 def _walk(e: A.Expr):
     yield e
     for x in A.children(e):

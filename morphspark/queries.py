@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from morphspark.engine import Engine
 from morphspark.errors import MorphError
 from morphspark.lang.parser import parse_expression, parse_module
-from morphspark.metamodel import Metamodel, Model
+from morphspark.metamodel import Metamodel, Model, Reference
 from morphspark.shop import shop
 from morphspark.sources.resource import load_module, save_module
 from morphspark.sources.xmi import expression_from_xmi, expression_to_xmi
@@ -340,6 +340,17 @@ def model_names(spark, sf_dir):
     return one.union(Engine(spark, MODULE).source("IN", model).evaluate("IN!Region.allInstances()->collect(r | Tuple{by = 'alias', name = r.name})"))
 
 
+def helper_recursive_elements(spark, sf_dir):
+    """Helpers that call themselves on other elements: up a chain of references, and down over collections."""
+    mm = Metamodel("Tree")
+    mm.add("Node", {"id": ("Integer", "c_custkey"), "name": ("String", "c_name")}, [Reference("parent", "Node", "parent"), Reference("children", "Node", opposite="parent")], "id")
+    nodes = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", F.when(F.col("c_custkey") > 1, F.floor(F.col("c_custkey") / 2)).alias("parent"))
+    module = """module T; create OUT : Out from IN : Tree;
+    helper context Tree!Node def : depth : Integer = if self.parent.oclIsUndefined() then 0 else self.parent.depth + 1 endif;
+    helper context Tree!Node def : size() : Integer = 1 + self.children->collect(c | c.size())->sum();"""
+    return Engine(spark, module).source("IN", Model(mm, {"Node": nodes})).evaluate("Tree!Node.allInstances()->collect(n | Tuple{k = n.id, d = n.depth, s = n.size()})")
+
+
 def sorted_rows(spark, sf_dir):
     return Engine(spark, MODULE).source("IN", shop(spark, sf_dir)).evaluate("Shop!Customer.allInstances()->select(c | c.acctbal > 0)->sortedBy(c | c.name.reverse())->collect(c | Tuple{k = c.custkey})", position="i")
 
@@ -457,6 +468,7 @@ RULE_SQL = {
     "model_add_remove": "select 'Region' as cls, r_name as name from region union all select 'Region', 'ATLANTIS' union all select 'Nation', n_name from nation where n_regionkey <> 2",
     "model_statistics": "select state, r + n as total, created from (values ('tracked', cast(1 as bigint)), ('cleared', 0)) t(state, created), (select count(*) + 1 as r from region), (select count(*) as n from nation where n_regionkey <> 2)",
     "model_names": "select b as by, r_name as name from region, (values ('metamodel'), ('alias')) t(b)",
+    "helper_recursive_elements": "with recursive up(k, a, d) as (select c_custkey, c_custkey, cast(0 as bigint) from customer where c_custkey >= 0 union all select k, a // 2, d + 1 from up where a > 1) select k, max(d) as d, any_value(s) as s from up join (select a as b, count(*) as s from up group by a) on b=k group by k",
     "sorted_rows": "select c_custkey as k, row_number() over (order by reverse(c_name), c_custkey) as i from customer where c_acctbal > 0",
     "parse_text": OUTLINE, "xmi_module_round_trip": OUTLINE,
     "parse_file_and_metamodel": "select * from (values ('path', 'Shop', 'shop.ecore'), ('feature', 'Thing', 'id'), ('feature', 'Order', 'id,price,next')) t(kind, name, detail)",
@@ -479,6 +491,6 @@ RULE_SQL = {
 QUERIES = {n: _expression(n) for n in EXPRESSIONS} | {f.__name__: f for f in (
     flagship_rule, rule_two_targets, rule_overlap, multi_source_cross, trace_links, resolve_temp, implicit_resolution, lazy_rule_memo, lazy_rule_in_collect, called_rule,
     ordered_binding, ordered_references, targets_beside_references, do_block, bare_class_using, rule_over_supertype, strict_references, find_element, extent_by_name, run_report,
-    model_all_elements, model_find, model_contains, model_element, model_add_remove, model_statistics, model_names, sorted_rows,
+    model_all_elements, model_find, model_contains, model_element, model_add_remove, model_statistics, model_names, sorted_rows, helper_recursive_elements,
     parse_text, parse_file_and_metamodel, xmi_module_round_trip, xmi_expression_round_trip, parse_with_errors, error_kinds, method_signatures)}
 ORACLES = {n: sql for n, (_, sql) in EXPRESSIONS.items()} | RULE_SQL

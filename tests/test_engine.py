@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from morphspark import queries as Q
 from morphspark.engine import Engine
-from morphspark.errors import MissingModel, ReadOnlyModel, UnknownFeature, UnsupportedFormat
+from morphspark.errors import InvalidOperation, MissingModel, ReadOnlyModel, UnknownFeature, UnsupportedFormat
 from morphspark.evaluate import Evaluator
 from morphspark.lang.parser import parse_expression
 from morphspark.metamodel import Metamodel, Model, Reference
@@ -109,6 +109,27 @@ def test_order_of_results(spark):
     assert {r.n: list(r.s) for r in rows} == {"Ada": ["anvil", "lamp"], "Bo": []}
 
 
+def test_recursive_helpers(spark, monkeypatch):
+    module = """module R; create OUT : O from IN : Depot;
+    helper def : fact(n : Integer) : Integer = if n < 2 then 1 else n * fact(n - 1) endif;
+    helper def : pow(b : Integer, n : Integer) : Integer = if n = 0 then 1 else b * thisModule.pow(b, n - 1) endif;
+    helper def : odd(n : Integer) : Integer = if n <= 0 then n else n + odd(n - 2) endif;
+    helper def : fib(n : Integer) : Integer = if n < 2 then n else fib(n - 1) + fib(n - 2) endif;
+    helper context Depot!Parcel def : round() : Integer = self.courier.load() + 1;
+    helper context Depot!Courier def : load() : Integer = self.parcels->collect(p | p.round())->sum();"""
+    engine = Engine(spark, module).source("IN", depot(spark))
+    df = engine.evaluate("Depot!Parcel.allInstances()->collect(p | Tuple{w = p.weight, f = fact(p.id + 3), p = pow(p.id, 4), o = odd(p.weight), z = odd(0 - p.id), b = fib(p.id + 5)})")
+    rows = sorted(df.collect(), key=lambda r: r.w)
+    odd = lambda n: n if n <= 0 else n + odd(n - 2)
+    assert [(r.w, r.f, r.p, r.o, r.z, r.b) for r in rows] == [(3, 24, 1, odd(3), -1, 8), (5, 720, 81, odd(5), -3, 21), (60, 120, 16, odd(60), -2, 13)]
+    assert "ArrowEvalPython" not in engine.evaluate("Depot!Parcel.allInstances()->collect(p | Tuple{f = fact(p.id)})")._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="without end"):
+        engine.evaluate("Depot!Parcel.allInstances()->collect(p | Tuple{p = pow(2, 0 - p.id)})").collect()
+    monkeypatch.setattr("morphspark.plans.compiler.LEVELS", 4)
+    with pytest.raises(InvalidOperation, match="without end"):
+        engine.evaluate("Depot!Courier.allInstances()->collect(c | Tuple{l = c.load()})")
+
+
 def test_global_rank(spark):
     df = spark.range(0, 5000).selectExpr("id % 700 as v", "id")
     got = global_rank(df, [F.col("v"), F.col("id")], "i", bounds=7).orderBy("v", "id").select("i").collect()
