@@ -28,8 +28,9 @@ which only moves the idf of shingles rarer than that).
 
    s is at most the part S of a text's differences that another text of the bucket
    has too, so a link needs e(y) <= g(x) and e(x) <= g(y), g = (1 + t) S - e + (1 - t) W.
-   Texts that meet no such partner drop out. Those left outside the bucket's largest
-   class meet, block by block, all those left. So no link of a bucket is lost.
+   Texts that meet no such partner drop out. Those left are cut into cells by g, and a
+   text outside the bucket's largest class meets, block by block, the cells that may
+   hold a partner. So no link of a bucket is lost.
 
 Two texts are linked if their weighted Jaccard similarity is ``THRESHOLD`` or more.
 A large group of near copies lowers the idf of what it shares; SPAN keeps weights
@@ -60,6 +61,8 @@ SHINGLE, THRESHOLD, BANDS, ROWS, BLOCK, LEVELS = 5, 0.8, 10, 3, 128, 4
 SLOTS, DEPTH, SPAN = 19, 2, 0.25
 #: Shingles of a bucket that one task holds in step 5, and room for rounding there.
 SLICE, SLACK = 1 << 20, 1e-6
+#: Cells of a bucket there, at most.
+CELLS = 64
 PART = 1 << 20
 SEP = common.separators()
 
@@ -343,6 +346,25 @@ def _partners(rows: DataFrame) -> DataFrame:
     return rows.where("x or y")
 
 
+def _dealt(rows: DataFrame, half: int) -> tuple[DataFrame, DataFrame]:
+    """(xs, ys): minor texts and possible partners in the cells where they meet, with the blocks of either side there.
+
+    A bucket's partners are cut into cells of about ``half`` (at most ``CELLS``) by g. A minor text goes
+    to the cells that hold a g of its e or more and an e of its g or less.
+    """
+    cuts = F.percentile_approx(F.when(F.col("y"), F.col("g")), [(k + 1) / CELLS for k in range(CELLS - 1)], 10_000)
+    known = rows.groupBy("bucket").agg(cuts.alias("cuts"), F.greatest(F.lit(1), F.floor(CELLS * half / F.greatest(F.count_if("y"), F.lit(1)))).cast("int").alias("stride"))
+    known = known.select("bucket", F.array_distinct(F.filter("cuts", lambda c, i: (i + 1) % F.col("stride") == 0)).alias("cuts"))
+    at = lambda c: F.size(F.filter("cuts", lambda x: x <= c))
+    placed = common.stored(rows.join(common.apart(known, "bucket"), "bucket").select("bucket", "th", "root", "e", "g", "x", "y", at(F.col("g")).alias("cell"), at(F.col("e") - SLACK).alias("low"), F.size("cuts").alias("high")), "placed")
+    blocks = F.ceil(F.count(F.lit(1)) / half).cast("bigint")
+    cells = placed.where("y").groupBy("bucket", "cell").agg(blocks.alias("all"), F.min("e").alias("least"))
+    asked = placed.where("x and low <= high").select("bucket", "th", "root", "e", "g", F.explode(F.sequence("low", "high")).alias("cell"))
+    xs = common.stored(asked.join(common.apart(cells, "bucket"), ["bucket", "cell"]).where(F.col("g") + SLACK >= F.col("least")).drop("least"), "minor")
+    few = common.apart(xs.groupBy("bucket", "cell", "all").agg(blocks.alias("few")), "bucket")
+    return xs.join(few.drop("all"), ["bucket", "cell"]), placed.where("y").join(few, ["bucket", "cell"])
+
+
 def cross_links(texts: DataFrame, members: DataFrame, found: DataFrame, table: np.ndarray, threshold: float, block: int) -> DataFrame | None:
     """Links a, b (roots of classes) between texts of one bucket in different classes of ``found``; None if no bucket can hold one.
 
@@ -359,10 +381,8 @@ def cross_links(texts: DataFrame, members: DataFrame, found: DataFrame, table: n
         return None
     known = common.stored(dealt.join(_profiles(texts, dealt, table, threshold), ["bucket", "th"]), "profiles")
     rows = common.stored(_partners(known), "partners")
-    half = max(block // 2, 1)
-    blocks = lambda side: F.ceil(F.count_if(F.col(side)) / half).cast("bigint")
-    sides = common.stored(rows.groupBy("bucket").agg(blocks("y").alias("all"), blocks("x").alias("few")).where("`all` > 0 and few > 0"), "sides")
-    if not sides.head(1):
+    xs, ys = _dealt(rows, max(block // 2, 1))
+    if not xs.head(1):
         return None
 
     def meet(t: pa.Table) -> pa.Table:
@@ -383,12 +403,12 @@ def cross_links(texts: DataFrame, members: DataFrame, found: DataFrame, table: n
                         label[label == label[j]] = label[i]
         return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
-    dealt, where = rows.join(sides, "bucket"), F.xxhash64("th", F.lit(-1))
     to = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
-    every = dealt.where("y").select("bucket", "th", "root", "e", "g", F.lit(False).alias("minor"), F.pmod(where, F.col("all")).alias("one"), to("few").alias("two"))
-    minor = dealt.where("x").select("bucket", "th", "root", "e", "g", F.lit(True).alias("minor"), to("all").alias("one"), F.pmod(where, F.col("few")).alias("two"))
+    where = lambda c: F.pmod(F.xxhash64("th", F.lit(-1)), F.col(c))
+    every = ys.select("bucket", "cell", "th", "root", "e", "g", F.lit(False).alias("minor"), where("all").alias("one"), to("few").alias("two"))
+    minor = xs.select("bucket", "cell", "th", "root", "e", "g", F.lit(True).alias("minor"), to("all").alias("one"), where("few").alias("two"))
     with_text = every.union(minor).join(texts.select("th", "text"), "th")
-    return common.stored(with_text.groupBy("bucket", "one", "two").applyInArrow(meet, "a binary, b binary"), "cross")
+    return common.stored(with_text.groupBy("bucket", "cell", "one", "two").applyInArrow(meet, "a binary, b binary"), "cross")
 
 
 def bucket_members(signed: DataFrame) -> DataFrame:
