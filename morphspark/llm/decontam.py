@@ -251,22 +251,30 @@ class Items:
         products, norms = np.zeros((m + 1, len(self.ids))), np.zeros(m + 1)
         np.cumsum(latent @ self.latent.T, axis=0, dtype=np.float64, out=products[1:])
         np.cumsum(np.sqrt(np.bincount(step, self.square[at], m)), out=norms[1:])
-        last = np.full((m, len(self.wide)), -1, np.int32)  # the last step up to this one that holds the word
-        last[step, at] = step
-        np.maximum.accumulate(last, axis=0, out=last)
-        out = []
+        found = []  # (item, passages, first and end step of each)
         for r in np.unique(self.reach[self.reach > 0]).tolist():
             items = np.flatnonzero(self.reach == r)
             lo, hi = np.maximum(own - r, np.maximum(start, 0)), np.minimum(own + 2 + r, np.minimum(end, m))
             got = products[hi][:, items] - products[lo][:, items] + 1e-5 * (norms[hi] - norms[lo])[:, None] * self.norm[items] >= 0.999 * self.least[items]
-            for j, k in enumerate(items.tolist()):
-                near = np.flatnonzero(got[:, j])
-                if not len(near):
-                    continue
-                there = last[(hi[near] - 1)[:, None], self.at[k]] >= lo[near, None]
-                held, size, answer = there.sum(1), len(self.at[k]), min(ANSWER, len(self.at[k]))
-                near = near[(there @ self.square[self.at[k]] >= (1 - 1e-9) * self.least[k]) & ((held >= SAME * size) | (held >= PARAPHRASE * size) & (there[:, -answer:].sum(1) >= 0.8 * answer))]
-                out += [(x, k) for x in (own[near] + shift).tolist()]
+            j, near = np.nonzero(got.T)
+            for x in np.split(np.arange(len(j)), np.flatnonzero(j[1:] != j[:-1]) + 1) if len(j) else ():
+                found.append((items[j[x[0]]], near[x], lo[near[x]], hi[near[x]]))
+        if not found:
+            return []
+        # The words of these items alone: the last step up to each that holds the word.
+        words_ = np.unique(np.concatenate([self.at[k] for k, *_ in found]))
+        place = np.full(len(self.wide), -1, np.int64)
+        place[words_] = np.arange(len(words_))
+        mine = np.flatnonzero(place[at] >= 0)
+        last = np.full((m, len(words_)), -1, np.int32)
+        last[step[mine], place[at[mine]]] = step[mine]
+        np.maximum.accumulate(last, axis=0, out=last)
+        out = []
+        for k, near, lo, hi in found:
+            there = last[(hi - 1)[:, None], place[self.at[k]]] >= lo[:, None]
+            held, size, answer = there.sum(1), len(self.at[k]), min(ANSWER, len(self.at[k]))
+            kept = near[(there @ self.square[self.at[k]] >= (1 - 1e-9) * self.least[k]) & ((held >= SAME * size) | (held >= PARAPHRASE * size) & (there[:, -answer:].sum(1) >= 0.8 * answer))]
+            out += [(x, k) for x in (own[kept] + shift).tolist()]
         return out
 
     def leaks(self, h: np.ndarray, woff: np.ndarray) -> dict[int, dict[int, float]]:
