@@ -22,8 +22,8 @@ END = 1
 FAST = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Latin, Greek and Cyrillic letters, ASCII and general punctuation: there FAST equals the pattern.
 SURE = re.compile(r"[\x09-\x0D\x20-\x7EÀ-ɏͰ-ͳΆ-҂Ҋ-ԯ‐-‧‰-⁞]*")
-#: Entries of a memory of pre-tokens or parts; beyond it that memory starts anew.
-MEMORY = 250_000
+#: Entries of a memory of pre-tokens or parts; beyond it a new one begins, and what is asked again moves to it from the last.
+MEMORY = 300_000
 
 
 def vocabulary(name: str = TOKENIZER) -> str:
@@ -42,6 +42,7 @@ class Encoder:
         self.splits = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})")
         self.known: dict[str, bytes] = {}
         self.parts: dict[str, bytes | None] = {}
+        self.old_known, self.old_parts = {}, {}
         self.single = self._single(path)
 
     def _single(self, path: str):
@@ -69,11 +70,11 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         if len(self.known) + len(pieces) > MEMORY:
-            self.known = {}
-        known, single = self.known, self.single
+            self.known, self.old_known = {}, self.known
+        known, old, single = self.known, self.old_known, self.single
         for x in pieces:
             if x not in known:
-                known[x] = array.array("I", self.tokenizer.encode(x, add_special_tokens=False).ids if x in self.special else single(x)).tobytes()
+                known[x] = old[x] if x in old else array.array("I", self.tokenizer.encode(x, add_special_tokens=False).ids if x in self.special else single(x)).tobytes()
 
     def _of_pieces(self, text: str) -> bytes:
         pieces = self.pieces(text)
@@ -96,10 +97,11 @@ class Encoder:
             ids = [self.parts[x] for x in parts]
         except KeyError:
             if len(self.parts) + len(parts) > MEMORY:
-                self.parts = {}
+                self.parts, self.old_parts = {}, self.parts
+            old = self.old_parts
             for x in parts:
                 if x not in self.parts:
-                    self.parts[x] = None if not x or x[0].isspace() or x[-1].isspace() else self._of_pieces(" " + x)
+                    self.parts[x] = old[x] if x in old else None if not x or x[0].isspace() or x[-1].isspace() else self._of_pieces(" " + x)
             ids = [self.parts[x] for x in parts]
         if None in ids or parts and (not head or head[-1].isspace()):
             return self._of_pieces(text)
