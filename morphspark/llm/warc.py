@@ -102,8 +102,14 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: str | N
     revisits = headers.where("revisit").select("head", F.lit(None).cast("binary").alias("payload"))
     responses = headers.where("not revisit").join(common.apart(payloads, "sha1") if min_revisit_bytes else payloads, "sha1").select("head", "payload")
     packed = responses.union(revisits).mapInArrow(common.freed(_members), "member binary")
-    (packed.select(F.col("member").cast("string").alias("value")).write  # bytes stay as they are
-     .option("lineSep", EMPTY).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", max(1, FILE_BYTES // (most + 2048))).text(path))
+    some, conf, key = max(1, FILE_BYTES // (most + 2048)), pages.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(key)
+    conf.set(key, str(min(some, 1000, int(before) if int(before) > 0 else 1000)))  # a batch stays below FILE_BYTES, or holds one record
+    try:
+        (packed.select(F.col("member").cast("string").alias("value")).write  # bytes stay as they are
+         .option("lineSep", EMPTY).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", some).text(path))
+    finally:
+        conf.set(key, before)
 
 
 def _members(batches):
