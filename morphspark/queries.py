@@ -296,6 +296,39 @@ def run_report(spark, sf_dir):
     return spark.createDataFrame([("rule", n, c) for n, c in report.rules.items()] + [("class", n, c) for n, c in report.elements.items()], "what string, name string, n long")
 
 
+def run_metrics(spark, sf_dir):
+    """How often the plans of a run hold each helper and each navigation."""
+    rule = "module M; create OUT : Out from IN : Shop; helper context Shop!Customer def : rich() : Boolean = self.acctbal > 5000; rule R { from c : Shop!Customer (c.rich()) to t : Out!Thing (n <- c.nation.name, r <- c.nation.region.name) }"
+    report = Engine(spark, rule).source("IN", shop(spark, sf_dir)).run().report()
+    return spark.createDataFrame([(n, c > 0) for n, c in report.uses.items()], "what string, used boolean")
+
+
+def run_diagnostics(spark, sf_dir):
+    """Errors, warnings and events that an engine keeps: of a run that fails for want of a model, and of one that does not."""
+    text = "module D; create OUT : Out from IN : Shop; query open = 1 rule R { from r : Shop!Region to t : Out!Thing (key <- r.name) }"
+    engine = Engine(spark, text)
+    for model in (None, shop(spark, sf_dir)):
+        try:
+            (engine.source("IN", model) if model else engine).run()
+        except MorphError:
+            pass
+    rows = [(level, message.split(":")[0].split(" before")[0].replace(chr(39), "")) for _, level, message in engine.diagnostics.timeline]
+    engine.diagnostics.clear()
+    return spark.createDataFrame([*rows, ("left", str(len(engine.diagnostics.timeline)))], "level string, message string")
+
+
+def cache_statistics(spark, sf_dir):
+    engine = Engine(spark, MODULE).source("IN", shop(spark, sf_dir))
+    rows = [("before", sum(engine.cache_statistics().values())), ("kept", sum(engine.cache().cache_statistics().values()))]
+    engine.clear_caches()
+    return spark.createDataFrame([*rows, ("cleared", sum(engine.cache_statistics().values()))], "state string, tables long")
+
+
+def plan_text(spark, sf_dir):
+    plan = Engine(spark, MODULE).source("IN", shop(spark, sf_dir)).explain("Shop!Customer.allInstances()->select(c | c.acctbal > 5000)->collect(c | Tuple{k = c.custkey})")
+    return spark.createDataFrame([(x, x in plan) for x in ("PushedFilters", "ReadSchema", "BroadcastHashJoin")], "part string, found boolean")
+
+
 def model_all_elements(spark, sf_dir):
     return shop(spark, sf_dir).all_elements().groupBy(F.col("_class").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -461,6 +494,10 @@ RULE_SQL = {
     "extent_by_name": "select lower(n_name) as name from nation where n_nationkey < 10 union all select r_name from region",
     "run_report": "select 'rule' as what, 'Bill' as name, (select count(*) from orders where o_orderstatus <> 'P') as n union all select 'rule', 'Book', (select count(*) from customer where c_acctbal > 5000) union all select 'rule', 'Bare', 10 union all select 'rule', 'Side', (select count(*) from customer where c_acctbal < 0) + (select count(*) from supplier where s_acctbal < 0)"
     " union all select 'class', 'OUT!Bill', (select count(*) from orders where o_orderstatus <> 'P') union all select 'class', 'OUT!Book', (select count(*) from customer where c_acctbal > 5000) union all select 'class', 'OUT!Tab', (select count(*) from customer where c_acctbal > 5000) union all select 'class', 'OUT!Land', 10 union all select 'class', 'OUT!Debt', (select count(*) from customer where c_acctbal < 0) + (select count(*) from supplier where s_acctbal < 0)",
+    "run_metrics": "select * from (values ('helper rich', true), ('navigation Nation', true), ('navigation Region', true)) t(what, used)",
+    "run_diagnostics": "select * from (values ('error', 'MissingModel'), ('warning', 'query open without ;'), ('warning', 'query open without ;'), ('event', 'rule R planned'), ('left', '0')) t(level, message)",
+    "cache_statistics": "select * from (values ('before', cast(0 as bigint)), ('kept', 11), ('cleared', 0)) t(state, tables)",
+    "plan_text": "select * from (values ('PushedFilters', true), ('ReadSchema', true), ('BroadcastHashJoin', false)) t(part, found)",
     "model_all_elements": " union all ".join(f"select '{c}' as cls, count(*) as n from {t}" for c, t in (("Region", "region"), ("Nation", "nation"), ("Customer", "customer"), ("Supplier", "supplier"), ("Part", "part"), ("Order", "orders"), ("Event", "events"), ("Document", "documents"), ("Label", "labels"))),
     "model_find": "select 'Customer:' || cast(c_custkey as varchar(20)) as id from customer where c_acctbal > 9500 and c_mktsegment = 'BUILDING'",
     "model_contains": "select 'Nation:' || cast(n_nationkey as varchar(20)) as id from nation where n_nationkey < 40",
@@ -490,7 +527,7 @@ RULE_SQL = {
 
 QUERIES = {n: _expression(n) for n in EXPRESSIONS} | {f.__name__: f for f in (
     flagship_rule, rule_two_targets, rule_overlap, multi_source_cross, trace_links, resolve_temp, implicit_resolution, lazy_rule_memo, lazy_rule_in_collect, called_rule,
-    ordered_binding, ordered_references, targets_beside_references, do_block, bare_class_using, rule_over_supertype, strict_references, find_element, extent_by_name, run_report,
+    ordered_binding, ordered_references, targets_beside_references, do_block, bare_class_using, rule_over_supertype, strict_references, find_element, extent_by_name, run_report, run_metrics, run_diagnostics, cache_statistics, plan_text,
     model_all_elements, model_find, model_contains, model_element, model_add_remove, model_statistics, model_names, sorted_rows, helper_recursive_elements,
     parse_text, parse_file_and_metamodel, xmi_module_round_trip, xmi_expression_round_trip, parse_with_errors, error_kinds, method_signatures)}
 ORACLES = {n: sql for n, (_, sql) in EXPRESSIONS.items()} | RULE_SQL
