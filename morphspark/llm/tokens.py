@@ -22,8 +22,24 @@ END = 1
 FAST = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Latin, Greek and Cyrillic letters, ASCII and general punctuation: there FAST equals the pattern.
 SURE = re.compile(r"[\x09-\x0D\x20-\x7EÀ-ɏͰ-ͳΆ-҂Ҋ-ԯ‐-‧‰-⁞]*")
-#: Entries of a memory of pre-tokens or parts; beyond it a new one begins, and what is asked again moves to it from the last.
-MEMORY = 300_000
+#: Entries of a generation of a memory of pre-tokens or parts.
+MEMORY = 400_000
+
+
+class Memory(dict):
+    """Values made where they are missing. Beyond MEMORY entries a new generation begins, and what is asked again moves to it from the last."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        value = self.old[key] if key in self.old else self.make(key)
+        if len(self) >= MEMORY:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 def vocabulary(name: str = TOKENIZER) -> str:
@@ -40,10 +56,9 @@ class Encoder:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.splits = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})")
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes | None] = {}
-        self.old_known, self.old_parts = {}, {}
+        self.ordinary = None
         self.single = self._single(path)
+        self.known, self.parts = Memory(self._ids), Memory(self._part)
 
     def _single(self, path: str):
         """The ids of one pre-token. Where ids follow the order of the merges, tiktoken's merger gives the same ones sooner."""
@@ -57,6 +72,7 @@ class Encoder:
         if model["type"] != "BPE" or any(model["vocab"][a + b] != 256 + i for i, (a, b) in enumerate(merges)) or sorted(ranks.values()) != list(range(256 + len(merges))):
             return lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         merger = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.ordinary = merger.encode_ordinary
         return lambda x: merger.encode_single_piece(x.encode("utf-8"))
 
     def pieces(self, text: str) -> list[str]:
@@ -68,21 +84,20 @@ class Encoder:
     def _split(self, text: str) -> list[str]:
         return (FAST if SURE.fullmatch(text) else self.pattern).findall(text)
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > MEMORY:
-            self.known, self.old_known = {}, self.known
-        known, old, single = self.known, self.old_known, self.single
-        for x in pieces:
-            if x not in known:
-                known[x] = old[x] if x in old else array.array("I", self.tokenizer.encode(x, add_special_tokens=False).ids if x in self.special else single(x)).tobytes()
+    def _ids(self, piece: str) -> bytes:
+        """The ids of a pre-token."""
+        return array.array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids if piece in self.special else self.single(piece)).tobytes()
+
+    def _part(self, part: str) -> bytes | None:
+        """The ids of a part and the space before it; None where white space beside that space would change them."""
+        if not part or part[0].isspace() or part[-1].isspace():
+            return None
+        if self.ordinary and SURE.fullmatch(part):  # few of them come again: their pre-tokens aren't kept
+            return array.array("I", self.ordinary(" " + part)).tobytes()
+        return self._of_pieces(" " + part)
 
     def _of_pieces(self, text: str) -> bytes:
-        pieces = self.pieces(text)
-        try:
-            return b"".join([self.known[x] for x in pieces])
-        except KeyError:
-            self._learn(pieces)
-            return b"".join([self.known[x] for x in pieces])
+        return b"".join(map(self.known.__getitem__, self.pieces(text)))
 
     def encode(self, text: str) -> bytes:
         """All ids of a text.
@@ -93,27 +108,16 @@ class Encoder:
         if any(x in text for x in self.special):
             return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         head, *parts = text.split(" ")
+        if parts and (not head or head[-1].isspace()):
+            return self._of_pieces(text)
         try:
-            ids = [self.parts[x] for x in parts]
-        except KeyError:
-            if len(self.parts) + len(parts) > MEMORY:
-                self.parts, self.old_parts = {}, self.parts
-            old = self.old_parts
-            for x in parts:
-                if x not in self.parts:
-                    self.parts[x] = old[x] if x in old else None if not x or x[0].isspace() or x[-1].isspace() else self._of_pieces(" " + x)
-            ids = [self.parts[x] for x in parts]
-        if None in ids or parts and (not head or head[-1].isspace()):
+            return self._of_pieces(head) + b"".join(map(self.parts.__getitem__, parts))
+        except TypeError:  # a part without ids of its own
             return self._of_pieces(text)
-        return self._of_pieces(head) + b"".join(ids)
 
     def lengths(self, pieces: list[str]) -> list[int]:
         """Number of ids of each pre-token."""
-        try:
-            return [len(self.known[x]) >> 2 for x in pieces]
-        except KeyError:
-            self._learn(pieces)
-            return [len(self.known[x]) >> 2 for x in pieces]
+        return [len(x) >> 2 for x in map(self.known.__getitem__, pieces)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
