@@ -45,3 +45,19 @@ def test_pipeline_by_stage(spark):
             assert sum(r.length for r in rows) == sum(len(x) // 4 for x in ids.values())
             assert all(zlib.crc32(ids[r.doc_id][4 * r.start:4 * (r.start + r.length)]) == r.ids_crc32 for r in rows)
     assert rows
+
+
+def test_stages_take_odd_tables(spark):
+    """Each stage takes nulls in any column, empty and repeated rows, columns of clashing names, and an empty table."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = [(1, "same words here " * 20, "en", "a", 5, 1, "x"), (1, "same words here " * 20, "en", "a", 5, 1, "x"), (None, None, None, None, None, None, None), (3, "", "", "", 0, None, "y"), (4, "w" * 50_000, "en", None, None, 2, None), (5, "one two", None, "a", 7, 3, "z")]
+    names = "`__th` int, `__root` string"
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {names}")
+    assert labels.count()
+    for d in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, d, SF)
+            if name == "packing":
+                assert sum(r.length for r in out.collect()) >= d.count()
+            else:
+                assert out.columns == d.columns and out.count() == {"near_duplicates": 4}.get(name, 6) * (d is docs)
