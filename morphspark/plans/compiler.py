@@ -419,7 +419,7 @@ class Compiler:
         alias, cls = receiver.alias, h.context.split("!")[-1] if h.context and "!" in h.context else receiver.cls
         if (alias, h.name) in self.solved:
             return self.solved[alias, h.name]
-        kind, before = ty.parse(h.result), None
+        kind, before, rounds = ty.parse(h.result), None, []
         for _ in range(LEVELS):
             frame, obj = self.scan(alias, cls, self._prefix(cls))
             spark = frame.df.sparkSession
@@ -433,7 +433,10 @@ class Compiler:
             now = frame.df.select(column(obj).alias("key"), column(value).cast(ty.to_spark(kind)).alias("value"))
             now = now.checkpoint() if spark.sparkContext.getCheckpointDir() else now.persist()
             old = before.select("key", F.col("value").alias("old"))
+            rounds.append(now)
             if not now.join(old, "key", "left").where(~F.col("value").eqNullSafe(F.col("old"))).head(1):
+                for earlier in rounds[:-1]:
+                    earlier.unpersist()
                 if not self.solving:  # else it holds for this round of another helper only
                     self.solved[alias, h.name] = (now, kind)
                 return now, kind
