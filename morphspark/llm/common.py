@@ -91,10 +91,20 @@ def apart(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(F.xxhash64(key))
 
 
-def freed(run: Callable) -> Callable:
-    """``run`` (for mapInArrow), which in the end gives the memory back that a reused Python worker would keep."""
+#: What a Python worker keeps from task to task: functions that give it up.
+KEPT: list[Callable[[], None]] = []
+
+
+def freed(run: Callable, keeps: bool = False) -> Callable:
+    """``run`` (for mapInArrow), which in the end gives the memory back that a reused Python worker would keep.
+
+    What tasks keep for each other (KEPT) goes too, unless this task is one of them.
+    """
 
     def wrapped(batches):
+        if not keeps:
+            for give_up in KEPT:
+                give_up()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         try:

@@ -205,7 +205,7 @@ def build(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                     sums = [[sum(map(f, x)) for x in leaves] for f in (lambda x: len(x[0]), lambda x: x[1], lambda x: x[2])]
                     yield pa.RecordBatch.from_arrays([some.column(0), pa.array([[dict(zip(("text", "tokens", "pieces"), x)) for x in own] for own in leaves], LEAF_TYPE), *(pa.array(c, pa.int64()) for c in sums)], [x.split()[0] for x in TREES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.freed(run), TREES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.freed(run, keeps=True), TREES)
 
 
 def edit(trees: DataFrame, edits, tokenizer: str | None = None) -> DataFrame:
@@ -237,7 +237,7 @@ def edit(trees: DataFrame, edits, tokenizer: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), n, chars, part.column(3), recoded, pa.array(after, LEAF_TYPE)], names)
 
     rows = trees.select("doc_id", "leaves", "n_tokens", "n_pieces", edits.cast(EDITS).alias("edits"))
-    return rows.mapInArrow(common.freed(run), SCHEMA)
+    return rows.mapInArrow(common.freed(run, keeps=True), SCHEMA)
 
 
 def standard_edits():

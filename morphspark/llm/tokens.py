@@ -15,6 +15,8 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
+from morphspark.llm import common
+
 TOKENIZER = "byte_bpe_50k.json"
 END = 1
 #: The pre-token pattern of the vocabulary for Python's re: [^\\W\\d_] for letters is exact only
@@ -23,7 +25,7 @@ FAST = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+
 #: Latin, Greek and Cyrillic letters, ASCII and general punctuation: there FAST equals the pattern.
 SURE = re.compile(r"[\x09-\x0D\x20-\x7EÀ-ɏͰ-ͳΆ-҂Ҋ-ԯ‐-‧‰-⁞]*")
 #: Entries of a generation of a memory of pre-tokens or parts.
-MEMORY = 400_000
+MEMORY = 300_000
 
 
 class Memory(dict):
@@ -121,6 +123,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+common.KEPT.append(_ENCODERS.clear)
 
 
 def encoder(path: str) -> Encoder:
