@@ -103,7 +103,9 @@ def freed(run: Callable, keeps: bool = False) -> Callable:
 
     def wrapped(batches):
         if not keeps:
-            for give_up in KEPT:
+            from morphspark.llm import common  # this function travels by value, the worker's own list is meant
+
+            for give_up in common.KEPT:
                 give_up()
         yield from run(batches)
         pa.default_memory_pool().release_unused()
