@@ -708,3 +708,20 @@ def test_html_odd_tables(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
     big = html_text.main_text(f"<article><p>{WORDS * 40_000}</p></article>")
     assert big == (WORDS * 40_000).strip()
+
+
+def test_other_tasks_give_up_token_memories(spark):
+    """What tokenizing tasks keep in a Python worker goes when another operator's task runs there."""
+    import pyarrow as pa
+
+    common = neardup.common
+    d = spark.createDataFrame([(1, "some text here")], "doc_id long, text string").coalesce(1)
+    tokencount.build(d).collect()
+
+    def probe(batches):
+        from morphspark.llm import tokens as own
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(own._ENCODERS)])], ["n"])
+
+    assert [r.n for r in d.mapInArrow(common.freed(probe), "n bigint").collect()] == [0]
