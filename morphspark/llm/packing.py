@@ -20,10 +20,13 @@ border carry the same deficits without any task waiting for another.
 
 A queue holds a source's documents in the order of the stored token table
 (task, place in the task). That table is written once to the shared folder; the
-second pass reads it and joins one small row per task and source. More than
-``QUEUES`` sources are dealt over as many queues by their hash. Padding: only
-the last sequence, which is padded to ``window`` unless its length is a power of
-two. Memory: one document at a time beside one counter per source and task.
+second pass reads it and joins one small row per task and source. Every source has a
+queue of its own, at any number of sources: they are ranked in ranges and their paths
+are found by joins, a row a source and level of the tree. With more even sources than
+tokens in a window most pieces are one token, so a result has at most a row a token. Padding:
+only the last sequence, which is padded to ``window`` unless its length is a power of
+two. Memory: one document at a time beside one counter per source of the task and
+the paths of ``PATHS`` queues.
 
 Nulls: a null text is empty and yields only the end id; a null source is a queue
 of its own; doc_id may be null or repeated, each row is packed. An empty table
@@ -33,6 +36,7 @@ gives an empty result. Columns besides doc_id, source and text are ignored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +45,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from morphspark.llm import common, tokens
+from morphspark.operators.ranks import global_rank
 
 WINDOW = 2048
 ROWS = 20_000
-#: Sources that have a queue of their own, at most.
-QUEUES = 4096
+#: Queues whose paths a task holds at once; others are read again from their rows.
+PATHS = 4096
 PIECES = "doc_id bigint, source string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, target_length bigint"
 
 
@@ -87,26 +92,28 @@ def served(x: int, path: list[tuple[int, int, int]]) -> tuple[int, int]:
     return x, before
 
 
-def pieces_of(first: int, n: int, path: list[tuple[int, int, int]], total: int, window: int, base: int = 0) -> list[tuple[int, int, int, int]]:
+def place(y: int, path: list[tuple[int, int, int]]) -> int:
+    """The smallest x of which ``served`` gives y tokens (1 or more) to the queue: its y-th token is the x-th of all."""
+    for left, node, side in reversed(path):
+        y = (y - 1) * node // (node - left) + 1 if side else -(-y * node // left)
+    return y
+
+
+def pieces_of(first: int, n: int, path: list[tuple[int, int, int]], total: int, window: int, base: int = 0) -> Iterator[tuple[int, int, int, int]]:
     """(window, start, length, offset) of the queue's places first .. first + n - 1 in a phase of ``total`` tokens after ``base`` others."""
     upto = lambda w: min(max(0, w * window - base), total)  # noqa: E731  tokens of the phase before window w
-    lo, hi = base // window, -(-(base + total) // window)
-    while lo < hi:  # the first window that serves beyond `first`
-        mid = (lo + hi) // 2
-        if served(upto(mid + 1), path)[0] > first:
-            hi = mid
-        else:
-            lo = mid + 1
-    w, at, out = lo, first, []
-    got, before = served(upto(w), path)
+    at, w = first, -1
     while at < first + n:
+        if w < 0:  # the window that serves the queue's place `at`
+            w = (base + place(at + 1, path) - 1) // window
+            got, before = served(upto(w), path)
         then, then_before = served(upto(w + 1), path)
-        end = min(then, first + n)
-        if end > at:
-            out.append((w, at - first, end - at, max(0, base - w * window) + then_before - before + at - got))
-            at = end
-        w, got, before = w + 1, then, then_before
-    return out
+        if then > at:
+            end = min(then, first + n)
+            yield w, at - first, end - at, max(0, base - w * window) + then_before - before + at - got
+            at, w, got, before = end, w + 1, then, then_before
+        else:  # a rare queue: not served by each window
+            w = -1
 
 
 def phases(totals: DataFrame, targets: dict[str | None, float] | None) -> DataFrame:
@@ -137,13 +144,14 @@ def queue_paths(totals: DataFrame, targets: dict[str | None, float] | None = Non
     parts = common.stored(phases(totals, targets), "phases")
     by = {r.phase: (r.n, r.queues) for r in parts.groupBy("phase").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("queues")).collect()}  # a row a phase
     levels = max([1, *((q - 1).bit_length() for _, q in by.values())])
-    base, bases = 0, []
+    base, skip, bases = 0, 0, []
     for k in sorted(by):
-        bases.append((k, base, by[k][0]))
-        base += by[k][0]
-    known = totals.sparkSession.createDataFrame(bases, "phase int, base long, total long")
-    # One row a source: at most QUEUES, not the number of documents.
-    ranked = common.stored(parts.select("*", (F.row_number().over(Window.partitionBy("phase").orderBy("queue")) - 1).alias("i")), "queues")
+        bases.append((k, base, by[k][0], skip))
+        base, skip = base + by[k][0], skip + by[k][1]
+    known = totals.sparkSession.createDataFrame(bases, "phase int, base long, total long, skip long")
+    # One row a source, as many as there are documents at most: no task ranks them all.
+    places = global_rank(parts, [F.col("phase"), F.col("queue")], "place").join(F.broadcast(known), "phase")
+    ranked = common.stored(places.select(*parts.columns, (F.col("place") - 1 - F.col("skip")).alias("i")), "queues")
     nodes = (ranked.select("phase", "n", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"), "i")
              .select("phase", "level", F.expr("shiftright(i, level)").alias("k"), "n").groupBy("phase", "level", "k").agg(F.sum("n").alias("t")))
     steps = ranked.select("queue", "phase", "first", "n", F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("level"), "i").select(
@@ -168,11 +176,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, ta
     """
     table = tokenized(docs, tokenizer or tokens.vocabulary())
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
-    if table.select("source").distinct().limit(QUEUES + 1).count() > QUEUES:
-        dealt = F.concat(F.lit("hash"), F.pmod(F.xxhash64("source"), F.lit(QUEUES)).cast("string"))
-        name = F.when(name.isin([_queue_name(k) for k in targets]), name).otherwise(dealt) if targets else dealt
     sums = common.stored(table.groupBy("task", name.alias("queue")).agg(F.sum("n").alias("n")), "sums")
-    # A row a source, then a row a task and source: far fewer than documents.
+    # A row a source, then a row a task and source.
     paths = queue_paths(sums.groupBy("queue").agg(F.sum("n").alias("total")), targets)
     before = F.sum("n").over(Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     base = sums.select("task", "queue", before.alias("base")).join(paths, "queue")
@@ -188,6 +193,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, ta
             for i in range(batch.num_rows):
                 n, source, queue = cols[2][i], cols[1][i], cols[6][i]
                 if queue not in known:
+                    if len(known) >= PATHS:
+                        known.clear()
                     known[queue] = [(x["first"], x["n"], x["base"], x["total"], [(y["left"], y["node"], y["side"]) for y in x["path"]]) for x in cols[5][i].as_py()]
                 raw, first = cols[3][i].as_buffer(), cols[4][i]
                 ids = np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
@@ -201,9 +208,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, ta
                         row = (cols[0][i], source, start, length, zlib.crc32(ids[start:start + length].tobytes()), n, w, offset, size if size & (size - 1) == 0 else window)
                         for c, v in zip(out, row):
                             c.append(v)
-                if len(out[0]) >= ROWS:
-                    yield _batch(out)
-                    out = [[] for _ in range(9)]
+                        if len(out[0]) >= ROWS:
+                            yield _batch(out)
+                            out = [[] for _ in range(9)]
         if out[0]:
             yield _batch(out)
 

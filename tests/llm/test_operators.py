@@ -568,6 +568,72 @@ def test_packing_targets(spark):
     assert sum(r.length for r in many) == sum(size.values())
 
 
+def test_packing_many_sources(spark):
+    """Each source has a queue of its own, however many there are: nothing overlaps, and every window holds each one's share."""
+    rows = [(i, f"w{i % 7} x" * (1 + i % 3), "en", "big" if i % 3 == 0 else None if i % 300 == 1 else f"s{i}", 0) for i in range(6600)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = packing.pack(d, window=512).collect()
+    enc = tokens.Encoder(tokens.vocabulary())
+    ids = {i: np.array([*enc.tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t, *_ in rows}
+    source = {r[0]: r[3] for r in rows}
+    assert len(set(source.values())) > 4096
+    by: dict = {}
+    full: dict = {}
+    for r in got:
+        assert r.source == source[r.doc_id] and r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes())
+        by.setdefault(r.doc_id, []).append((r.start, r.length))
+        full.setdefault(r.sequence_id, []).append(r)
+    for i, x in ids.items():  # every id in one piece
+        at = 0
+        for start, length in sorted(by[i]):
+            assert start == at and length > 0
+            at += length
+        assert at == len(x)
+    total, size = sum(map(len, ids.values())), Counter()
+    for i, x in ids.items():
+        size[source[i]] += len(x)
+    assert sorted(full) == list(range(-(-total // 512)))
+    so_far: Counter = Counter()
+    for w in sorted(full):
+        at = 0
+        for r in sorted(full[w], key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+            so_far[r.source] += r.length
+        x = min(total, (w + 1) * 512)
+        assert at == x - w * 512
+        assert all(abs(so_far[s] - x * n / total) <= 13 for s, n in size.items())  # log2 of the number of sources
+
+
+def test_packing_pieces_of_rare_queues():
+    """A queue's pieces are those found by a look at every window, also where few windows serve it."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        path, node = [], int(rng.integers(1, 4000))
+        total = node
+        while node > 1 and rng.random() < 0.8:
+            left = int(rng.integers(1, node + 1))
+            side = int(left < node and rng.random() < 0.5)
+            path.append((left, node, side))
+            node = node - left if side else left
+        window, base = int(rng.integers(1, 300)), int(rng.integers(0, 500))
+        first = int(rng.integers(0, node))
+        n = int(rng.integers(1, node - first + 1))
+        want, w = [], base // window
+        while w * window < base + total:
+            lo, hi = (min(max(0, x * window - base), total) for x in (w, w + 1))
+            (a, before), (b, upto) = packing.served(lo, path), packing.served(hi, path)
+            begin, end = max(a, first), min(b, first + n)
+            if begin < end:
+                want.append((w, begin - first, end - begin, max(0, base - w * window) + upto - before + begin - a))
+            w += 1
+        assert list(packing.pieces_of(first, n, path, total, window, base)) == want
+        for y in range(first + 1, first + n + 1):
+            x = packing.place(y, path)
+            assert packing.served(x, path)[0] == y and packing.served(x - 1, path)[0] == y - 1
+
+
 def test_encoder_equals_the_library(docs):
     enc = tokens.Encoder(tokens.vocabulary())
     for t in [*(r.text for r in docs.collect()), "a  b", " x", "x ", "a\n b", "<|endoftext|> a", "１２ ½ x", "it's 'S don't", "  y", "日本 語"]:
