@@ -18,6 +18,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, NumericType
 
 from morphspark import types as ty
 from morphspark.errors import InvalidOperation, MorphError, TypeMismatch, UnknownFeature, UnknownHelper, UnknownOperation, UnknownVariable
@@ -26,12 +27,16 @@ from morphspark.functions import collections as fc
 from morphspark.functions import scalar as fs
 from morphspark.lang import ast as A
 from morphspark.metamodel import Attribute, Model
-from morphspark.operators.ranks import global_rank
+from morphspark.operators.ranks import MERGE, global_rank, totals_upto
 from morphspark.plans.values import Frame, ModuleV, ObjV, SetV, TupleV, TypeV, V, column, type_of
 
 
 #: Levels of elements that a recursive helper may pass.
 LEVELS = 200
+#: Comparisons with their sides exchanged, and their opposites.
+SWAPPED = {"=": "=", "<>": "<>", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
+OPPOSITE = {"=": "<>", "<>": "=", "<": ">=", ">=": "<", ">": "<=", "<=": ">"}
+COUNTS = {"size": lambda n: n, "count": lambda n: n, "isEmpty": lambda n: n == 0, "forAll": lambda n: n == 0, "notEmpty": lambda n: n > 0, "exists": lambda n: n > 0, "one": lambda n: n == 1}
 
 
 def literal(v):
@@ -265,6 +270,9 @@ class Compiler:
             if self.rules and (rule := self.rules.named(name)):
                 return self.rules.invoke(rule, [self.lower(a, env, frame) for a in e.args], self, frame)
             return self.helper(name, env.get("self"), [self.lower(a, env, frame) for a in e.args], env, frame)
+        compared = self.compared(e, env, frame)
+        if compared is not None:
+            return compared
         v = self.lower(e.source, env, frame)
         if isinstance(v, ModuleV):
             args = [self.lower(a, env, frame) for a in e.args]
@@ -547,6 +555,124 @@ class Compiler:
         target.df = target.df.join(grouped, cond, "left").drop(*renamed)
         return target
 
+    def compared(self, e: A.Call, env: dict, frame: Frame | None) -> V | None:
+        """A count, quantifier, sum or extreme over the elements that compare with the row's own values, without pairs of rows; None for other forms.
+
+        The form: ``all->select(x | ..)->size()`` and the like, where the conditions joined by ``and`` are each about x alone, about the row
+        alone, or compare a value of x with one of the row; at most one of these by order. What a row is told is then the total of the elements with equal
+        values up to its own (totals_upto); ``<>`` is all elements less the equal ones.
+        """
+        if frame is None or not frame.rowid or e.name not in COUNTS and e.name not in MERGE:
+            return None
+        counts, source, tests, made = e.name in COUNTS, e.source, [], None
+        fn = e.args[0] if e.args else None
+        if e.args and not (len(e.args) == 1 and isinstance(fn, A.Lambda) and e.name in ("exists", "forAll", "one")):
+            return None
+        if fn is not None:
+            if e.name == "forAll" and not (isinstance(fn.body, A.Bin) and fn.body.op in OPPOSITE):
+                return None
+            tests.append(A.Lambda(fn.param, replace(fn.body, op=OPPOSITE[fn.body.op])) if e.name == "forAll" else fn)
+        elif e.name == "forAll":
+            return None
+        elif not counts and isinstance(source, A.Call) and source.name == "collect" and len(source.args) == 1 and isinstance(source.args[0], A.Lambda):
+            made, source = source.args[0], source.source
+        while isinstance(source, A.Call) and source.name == "select" and len(source.args) == 1 and isinstance(source.args[0], A.Lambda):
+            tests.insert(0, source.args[0])
+            source = source.source
+        if any(isinstance(x, (A.Call, A.Iterate)) and not (isinstance(x, A.Call) and x.name == "allInstances") for x in _walk(source)):
+            return None
+
+        def outer(x: A.Expr, param: str) -> bool:
+            return any(isinstance(env.get(n), (V, ObjV, TupleV)) for n in A.free_vars(x) - {param})
+
+        own, rows, pairs = [], [], []  # conditions of the elements, of the row, and (op, param, element's side, row's side)
+        for test in tests:
+            for c in _conjuncts(test.body):
+                if "self" in env and any(isinstance(x, A.Call) and x.source is None for x in _walk(c)):
+                    return None  # such a call may read self
+                if not outer(c, test.param):
+                    own.append((test.param, c))
+                elif test.param not in A.free_vars(c):
+                    rows.append(c)
+                elif isinstance(c, A.Bin) and c.op in SWAPPED:
+                    op, x, y = c.op, c.left, c.right
+                    if test.param in A.free_vars(y):
+                        op, x, y = SWAPPED[op], y, x
+                    if outer(x, test.param) or test.param in A.free_vars(y):
+                        return None
+                    pairs.append((op, test.param, x, y))
+                else:
+                    return None
+        ops = [p[0] for p in pairs]
+        ordered = sum(op in ("<", ">", "<=", ">=") for op in ops)
+        if not pairs or ordered > 1 or ops.count("<>") > (2 if counts else 0) or made is not None and outer(made.body, made.param):
+            return None
+        probe = frame.copy()
+        s = self.lower(source, env, probe)
+        if not isinstance(s, SetV) or isinstance(s.element, SetV) or s.correlated or s.parent not in (None, probe) or s.link and [p for p, _ in s.link] == probe.rowid:
+            return None  # of the last, an element meets one row only
+        child = s.frame.copy()
+        scope = lambda param: {**env, param: s.element}
+        for param, c in own:
+            self.filter(child, c, scope(param))
+        sides = []
+        for op, param, x, y in pairs:
+            a, b = self.held(self.lower(x, scope(param), child), child), self.held(self.lower(y, env, probe), probe)
+            self.binary(op, a, b)  # checks the types
+            sides.append((op, column(a), column(b)))
+        sides += [("=", F.col(f"`{c}`"), F.col(f"`{p}`")) for p, c in s.link]
+        where = [column(self.lower(c, env, probe)) for c in rows]
+        element = s.element if made is None else self.lower(made.body, scope(made.param), child)
+        if not isinstance(element, V) and not counts or not self._comparable(sides, child, probe):
+            return None
+        t = ty.INTEGER if counts else type_of(element)
+        how, x = ("sum", F.lit(1).cast("bigint")) if counts else (e.name, column(element))
+        frame.df, frame.joined = probe.df, probe.joined
+        spread = not s.link
+        asking = reduce(lambda df, c: df.where(c), where, frame.df)
+        names, ids = [f"k{i}" for i, _ in enumerate(sides)], [f"id{i}" for i, _ in enumerate(frame.rowid)]
+        tie = child.rowid or [f.name for f in child.df.schema if isinstance(f.dataType, AtomicType)]
+        known = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])  # NaN stays: it is the greatest number
+        given = child.df.select(*[c.alias(n) for (_, c, _), n in zip(sides, names)], x.alias("x"), F.xxhash64(*[F.col(f"`{n}`") for n in tie]).alias("tie")).where(known)
+        asking = asking.select(*[c.alias(n) for (_, _, c), n in zip(sides, names)], *[F.col(f"`{r}`").alias(i) for r, i in zip(frame.rowid, ids)]).where(known).withColumn("tie", F.xxhash64(*ids))
+        by = {n: op for (op, _, _), n in zip(sides, names)}
+        n = self._totals(asking, given, by, how, ids, spread)
+        renamed = {i: frame.fresh("k") for i in ids} | {"total": frame.fresh("agg")}
+        n = n.select(*[F.col(i).alias(r) for i, r in renamed.items()])
+        cond = reduce(lambda a, b: a & b, [frame.df[r] == n[renamed[i]] for r, i in zip(frame.rowid, ids)])
+        frame.df = frame.df.join(n, cond, "left").drop(*[renamed[i] for i in ids])
+        total = F.col(f"`{renamed['total']}`")
+        if counts:
+            v = COUNTS[e.name](F.coalesce(total, F.lit(0).cast("bigint")))
+            return V(v, ty.INTEGER if e.name in ("size", "count") else ty.BOOLEAN)
+        if e.name != "sum":
+            return V(total, t)
+        return V(F.coalesce(total, F.lit(0.0) if t == ty.REAL else F.lit(0).cast("bigint")), t)
+
+    def _totals(self, asking: DataFrame, given: DataFrame, by: dict[str, str], how: str, ids: list[str], spread: bool) -> DataFrame:
+        """(ids, total) of the rows that have one: columns ``by`` (name to comparison) of both sides."""
+        fn = MERGE[how][0]
+        groups, unequal = ([n for n, op in by.items() if op == wanted] for wanted in ("=", "<>"))
+        last = next((n for n, op in by.items() if op not in ("=", "<>")), None)
+        if unequal and (spread or not last or len(unequal) > 1):
+            every = self._totals(asking, given, {n: op for n, op in by.items() if n != unequal[0]}, how, ids, spread)
+            same = self._totals(asking, given, {**by, unequal[0]: "="}, how, ids, spread)
+            return every.unionByName(same.withColumn("total", -F.col("total"))).groupBy(*ids).agg(fn("total").alias("total"))
+        if last:
+            kept = [*groups, *unequal, F.col(last).alias("v"), "tie"]
+            out = totals_upto(asking.select(*kept, *ids), given.select(*kept, "x"), groups, how, by[last], spread, less=tuple(unequal))
+        elif groups:
+            out = asking.join(given.groupBy(*groups).agg(fn("x").alias("total")), groups)
+        else:
+            out = asking.crossJoin(F.broadcast(given.agg(fn("x").alias("total"))))
+        return out.groupBy(*ids).agg(fn("total").alias("total"))  # rows of one key are one row
+
+    def _comparable(self, sides: list[tuple[str, Column, Column]], child: Frame, parent: Frame) -> bool:
+        """Whether a union of the two sides' columns has the values that their comparison has."""
+        a, b = ([f.dataType for f in df.select(*[c.alias(f"c{i}") for i, c in enumerate(cs)]).schema] for df, cs in ((child.df, [x for _, x, _ in sides]), (parent.df, [y for _, _, y in sides])))
+        numbers = lambda t: isinstance(t, NumericType)
+        return all(numbers(x) and numbers(y) or x == y and isinstance(x, AtomicType) for x, y in zip(a, b))
+
     def aggregate(self, s: SetV, expr: Column, t, default, frame: Frame | None) -> V:
         target = s.parent or frame
         name = target.fresh("agg") if target is not None else "value"
@@ -970,6 +1096,10 @@ def _swap(e, old: A.Expr, new: A.Expr):
     return e
 
 
+def _conjuncts(e: A.Expr) -> list[A.Expr]:
+    return [*_conjuncts(e.left), *_conjuncts(e.right)] if isinstance(e, A.Bin) and e.op == "and" else [e]
+
+
 def _walk(e: A.Expr):
     yield e
     for x in A.children(e):

@@ -1,4 +1,6 @@
+import math
 import random
+from itertools import product
 
 import duckdb
 import pytest
@@ -10,7 +12,7 @@ from morphspark.errors import InvalidOperation, MissingModel, ReadOnlyModel, Unk
 from morphspark.evaluate import Evaluator
 from morphspark.lang.parser import parse_expression
 from morphspark.metamodel import Metamodel, Model, Reference
-from morphspark.operators.ranks import global_rank
+from morphspark.operators.ranks import global_rank, totals_upto
 from morphspark.sources.resource import load_model, save_model
 from tests.test_language import CASES
 
@@ -139,6 +141,59 @@ def test_global_rank(spark):
     assert global_rank(df.limit(0), [F.col("v")], "i").count() == 0
 
 
+def test_totals_upto(spark):
+    """Ties, NaN and a group over many ranges, by brute force."""
+    rng = random.Random(5)
+    value = lambda: rng.choice([math.nan, math.inf, -0.0, 0.0, 1.0, 1.0, 1.0, round(rng.uniform(-2, 2), 1)])
+    asking, given = ([(rng.choice([1, 1, 1, 2, 3]), value(), i) for i in range(n)] for n in (90, 70))
+    a, g = spark.createDataFrame(asking, "g long, v double, tie long"), spark.createDataFrame([(*r, r[2] % 7) for r in given], "g long, v double, tie long, x long")
+    key = lambda v: (1, 0.0) if math.isnan(v) else (0, v)
+    tests = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
+    for (op, test), groups in product(tests.items(), (["g"], [])):
+        for how, fn in (("sum", sum), ("max", max)):
+            met = {t: [r[2] % 7 for r in given if (r[0] == k or not groups) and test(key(r[1]), key(v))] for k, v, t in asking}
+            wanted = {t: fn(x) if x else None for t, x in met.items()}
+            for spread in (True, False) if groups else (True,):
+                assert {r.tie: r.total for r in totals_upto(a, g, groups, how, op, spread, bounds=6).collect()} == wanted, (op, how, spread)
+
+
+def _most_rows(plan) -> int:
+    """The largest number of rows that an operator of an executed plan put out."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return _most_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return _most_rows(plan.plan())
+    own = plan.metrics().get("numOutputRows")
+    below = plan.children()
+    return max([own.get().value() if own.isDefined() else 0, *(_most_rows(below.apply(i)) for i in range(below.size()))])
+
+
+@pytest.mark.parametrize("test,made,want", [
+    ("Shop!Lot.allInstances()->select(l | l.hall = b.hall and l.price > b.purse)->size()", "n", lambda b, l: l[1] == b[1] and l[2] > b[2]),
+    ("Shop!Lot.allInstances()->select(l | l.hall = b.hall)->exists(l | l.price > b.purse)", "any", lambda b, l: l[1] == b[1] and l[2] > b[2]),
+    ("Shop!Lot.allInstances()->select(l | l.price <= b.purse and l.id < 1500)->collect(l | l.id)->sum()", "sum", lambda b, l: l[2] <= b[2] and l[0] < 1500),
+    ("b.hall.lots->select(l | l.id <> b.id and b.purse > l.price)->size()", "n", lambda b, l: l[1] == b[1] and l[0] != b[0] and b[2] > l[2]),
+])
+def test_comparisons_make_no_pairs(spark, test, made, want):
+    """Elements compared with each row's values: right, and no operator has the pairs (here up to 4,000,000) as rows."""
+    rng = random.Random(11)
+    price = lambda: rng.choice([None, 5.0, 5.0, round(rng.uniform(0, 10), 1)])
+    bidders = [(i, rng.choice([None, 1, 1, 1, 1, 1, 2]), price()) for i in range(2000)]
+    lots = [(i, rng.choice([None, 1, 1, 1, 1, 1, 3]), price()) for i in range(2000)]
+    mm = Metamodel("Shop")
+    mm.add("Hall", {"id": "Integer"}, [Reference("lots", "Lot", opposite="hall")], "id")
+    mm.add("Bidder", {"id": "Integer", "purse": "Real"}, [Reference("hall", "Hall", "hall")], "id")
+    mm.add("Lot", {"id": "Integer", "price": "Real"}, [Reference("hall", "Hall", "hall")], "id")
+    model = Model(mm, {"Hall": spark.range(1, 4), "Bidder": spark.createDataFrame(bidders, "id long, hall long, purse double"), "Lot": spark.createDataFrame(lots, "id long, hall long, price double")})
+    df = Engine(spark, "module A; create OUT : O from IN : Shop;").source("IN", model).evaluate(f"Shop!Bidder.allInstances()->collect(b | Tuple{{k = b.id, v = {test}}})")
+    got = {r.k: r.v for r in df.collect()}
+    full = lambda b, l: None not in (b[2], l[2]) and ("hall" not in test or None not in (b[1], l[1])) and want(b, l)
+    met = {b[0]: [l[0] for l in lots if full(b, l)] for b in bidders}
+    assert got == {k: {"n": len, "any": bool, "sum": sum}[made](x) for k, x in met.items()}
+    assert _most_rows(df._jdf.queryExecution().executedPlan()) < 100_000
+
+
 @pytest.mark.parametrize("text,value", [c for c in CASES if c[0] not in ("3 <- 1",) and not isinstance(c[1], dict)])
 def test_columns_agree_with_the_driver(spark, text, value):
     """Every case again over columns: literals become variables of a one-row extent."""
